@@ -41,7 +41,7 @@ _LAG_NAMES = series.lag_names(P)
     f"WITH {cte(E)} SELECT client_id, ts, volume_next, {', '.join(_LAG_NAMES)} FROM ({_SUPERVISED.format(view=E)})",
 )
 def _(spark, sf):
-    df = series.lag_columns(_blocks(spark, sf), "volume", P).core()
+    df = series.lag_columns(series.lag_arrays(_blocks(spark, sf), "volume", P).core(), P)
     return df.select("client_id", "ts", "volume_next", *_LAG_NAMES)
 
 
@@ -50,7 +50,7 @@ def _(spark, sf):
     f"WITH {cte(O)} SELECT client_id, ts, src_ord, volume_next, vf_lag23, t_lag11 FROM ({_SUPERVISED.format(view=O)})",
 )
 def _(spark, sf):
-    df = series.lag_columns(_blocks(spark, sf, O), "volume", P).core()
+    df = series.lag_columns(series.lag_arrays(_blocks(spark, sf, O), "volume", P).core(), P)
     return df.select("client_id", "ts", "src_ord", "volume_next", "vf_lag23", "t_lag11")
 
 
@@ -64,11 +64,10 @@ _SHOWN = [(a, b) for a, b in _DESIGN.pairs if a in ("vf_lag0", "vf_lag5", "p_lag
         {', '.join(f'round({a} * {b}, 4) AS {a}_x_{b}' for a, b in _SHOWN)} FROM t""",
 )
 def _(spark, sf):
-    df = series.lag_columns(_blocks(spark, sf), "volume", P).core()
-    made = _DESIGN.columns()
-    return df.select(
-        "client_id", "ts", *[F.round(made[f"{a}*{b}"], 4).alias(f"{a}_x_{b}") for a, b in _SHOWN]
-    )
+    df = series.lag_arrays(_blocks(spark, sf), "volume", P).core()
+    made = df.select("client_id", "ts", forecast.design_array(P).alias("x"))
+    at = lambda a, b: F.get("x", F.lit(_DESIGN.names.index(f"{a}*{b}")))
+    return made.select("client_id", "ts", *[F.round(at(a, b), 4).alias(f"{a}_x_{b}") for a, b in _SHOWN])
 
 
 _SCALED = ["vf_lag0", "vf_lag1", "p_lag0", "t_lag0"]
@@ -102,7 +101,7 @@ def _(spark, sf):
 
 
 def _scaler_columns(spark, sf, p):
-    rows = series.lag_columns(_blocks(spark, sf), "volume", p).core()
+    rows = series.lag_arrays(_blocks(spark, sf), "volume", p).core()
     fitted = forecast.fit_scaler(rows, p)
     at = {c: _DESIGN.names.index(c) for c in _SCALED}
     named = [(c, at[c]) for c in _SCALED] + [("product", _DESIGN.names.index("vf_lag0*p_lag1"))]
@@ -127,16 +126,16 @@ _RESID = f"""r AS (SELECT client_id, ts, src_ord, volume - 100 AS resid FROM {E}
 
 @query(
     "residual_features",
-    f"""WITH {cte(E)}, {_RESID} SELECT client_id, ts, round(resid, 4) AS resid, round(r_mean, 4) AS r_mean,
-        round(r_std, 4) AS r_std, round(CASE WHEN z_abs > 1e5 THEN round(z_abs / 1e5) ELSE z_abs END, 4) AS z_abs,
-        round(CASE WHEN dz_abs > 1e5 THEN round(dz_abs / 1e5) ELSE dz_abs END, 4) AS dz_abs, round(dr_abs, 4) AS dr_abs FROM f""",
+    f"""WITH {cte(E)}, {_RESID} SELECT client_id, ts, round(resid, 6) AS resid, round(r_mean, 6) AS r_mean,
+        round(r_std, 6) AS r_std, round(CASE WHEN z_abs > 1e5 THEN round(z_abs / 1e5) ELSE z_abs END, 6) AS z_abs,
+        round(CASE WHEN dz_abs > 1e5 THEN round(dz_abs / 1e5) ELSE dz_abs END, 6) AS dz_abs, round(dr_abs, 6) AS dr_abs FROM f""",
 )
 def _(spark, sf):
     df = readings(spark, sf, E).withColumn("resid", F.col("volume") - 100)
     made = series.residual_features(series_blocks(df, 16, 0), first_pos=0).core()
     big = lambda c: F.when(F.col(c) > 1e5, F.round(F.col(c) / 1e5)).otherwise(F.col(c)).alias(c)
     made = made.withColumns({"z_abs": big("z_abs"), "dz_abs": big("dz_abs")})
-    return _round(made.select("client_id", "ts", "resid", "r_mean", "r_std", "z_abs", "dz_abs", "dr_abs"))
+    return _round(made.select("client_id", "ts", "resid", "r_mean", "r_std", "z_abs", "dz_abs", "dr_abs"), 6)
 
 
 @query(
@@ -162,7 +161,7 @@ def _(spark, sf):
     from meterlens.plans.train import number_rows
 
     p = ForecastParams(max_train_samples=500)
-    rows = number_rows(series.lag_columns(_blocks(spark, sf), "volume", p), p).core()
+    rows = number_rows(series.lag_arrays(_blocks(spark, sf), "volume", p), p).core()
     return rows.select("client_id", "ts", "train_pos", "is_train", "in_cap")
 
 
@@ -178,21 +177,21 @@ def _(spark, sf):
 
 
 @query(
-    "interpolate_hourly",
+    "interpolate_hourly",  # the small shift keeps the values off the rounding ties
     f"""WITH {cte(E)}, h AS (SELECT client_id, date_trunc('hour', ts)::TIMESTAMP AS ts, volume, src_ord FROM {E}),
         k AS (SELECT client_id, ts, arg_max(volume, src_ord) AS volume FROM h GROUP BY ALL),
         g AS (SELECT client_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM k GROUP BY client_id),
         j AS (SELECT client_id, ts, volume, row_number() OVER (PARTITION BY client_id ORDER BY ts) AS i FROM g LEFT JOIN k USING (client_id, ts)),
         m AS (SELECT *, max(CASE WHEN volume IS NOT NULL THEN i END) OVER (PARTITION BY client_id ORDER BY ts) AS a,
             min(CASE WHEN volume IS NOT NULL THEN i END) OVER (PARTITION BY client_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM j)
-        SELECT m.client_id, m.ts, round(CASE WHEN m.volume IS NOT NULL THEN m.volume
+        SELECT m.client_id, m.ts, round(0.0000123 + CASE WHEN m.volume IS NOT NULL THEN m.volume
             ELSE x.volume + (y.volume - x.volume) * (m.i - m.a) / (m.b - m.a) END, 4) AS volume
         FROM m LEFT JOIN j x ON x.client_id = m.client_id AND x.i = m.a LEFT JOIN j y ON y.client_id = m.client_id AND y.i = m.b""",
 )
 def _(spark, sf):
     grid = series.hourly_grid(readings(spark, sf, E), truncate=True)
     filled = series.interpolate(series_blocks(grid, 0, 0, order=("ts",))).core()
-    return filled.select("client_id", "ts", F.round("volume", 4).alias("volume"))
+    return filled.select("client_id", "ts", F.round(F.col("volume") + 0.0000123, 4).alias("volume"))
 
 
 # --- scores to flags ---------------------------------------------------------------------------

@@ -93,8 +93,12 @@ def series_blocks(
             }
         )
 
+    # A fixed number of partitions: the windows are heavy for their size, so merging small shuffle
+    # partitions would leave cores idle.
+    conf, context = df.sparkSession.conf, df.sparkSession.sparkContext
+    parts = max(int(conf.get("spark.sql.shuffle.partitions")), context.defaultParallelism)
     if n_hot == 0:
-        return Blocks(numbered(df), tuple(keys), tuple(order), None)
+        return Blocks(numbered(df.repartition(parts, *keys)), tuple(keys), tuple(order), None)
 
     size = max(max_rows // 4, 1)
     side = checked_broadcast(hot, n_hot)
@@ -103,7 +107,8 @@ def series_blocks(
     cold = _spread(cold.drop("block", "is_core"), size, back, ahead)
     ranked = running_totals(df.join(side, keys), keys, order, {"pos": F.lit(1)})
     split = _spread(ranked.withColumn("pos", F.col("pos") - 1), size, back, ahead)
-    return Blocks(cold.unionByName(split), tuple(keys), tuple(order), size)
+    both = cold.unionByName(split).repartition(parts, *keys, "block")
+    return Blocks(both, tuple(keys), tuple(order), size)
 
 
 def _spread(df: DataFrame, size: int, back: int, ahead: int) -> DataFrame:

@@ -43,11 +43,6 @@ class Design:
     def names(self) -> list[str]:
         return [*self.base, *self.expanded, *[f"{a}*{b}" for a, b in self.pairs]]
 
-    def columns(self) -> dict[str, Column]:
-        """The expansion as column products, by name."""
-        linear = {c: F.col(c) for c in self.expanded}
-        return linear | {f"{a}*{b}": F.col(a) * F.col(b) for a, b in self.pairs}
-
     def matrix(self, base: np.ndarray) -> np.ndarray:
         """The full design matrix of a batch whose columns are ``base``."""
         if not self.expanded:
@@ -59,52 +54,93 @@ class Design:
         return np.concatenate([base, linear, base[:, left] * base[:, right]], axis=1)
 
 
-def fit_scaler(
-    train: DataFrame, p: ForecastParams, *, max_values: int | None = None
-) -> DataFrame:
-    """One row per segment: ``center`` and ``scale`` arrays over the design matrix columns."""
+def _unnest(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _nested(x: np.ndarray) -> pa.ListArray:
+    offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def design_array(p: ForecastParams) -> Column:
+    """The full design matrix row as an array over ``base``."""
     design = Design.of(p)
-    # Quoted product names are awkward in expressions: number the distinct columns instead.
-    distinct = list(dict.fromkeys(design.names))
-    products = design.columns()
-    wide = train.select(
-        S.SEGMENT,
-        *[(products[c] if c in products else F.col(c)).alias(f"x{i}") for i, c in enumerate(distinct)],
-    )
-    slot = {c: f"x{i}" for i, c in enumerate(distinct)}
-    cols = list(slot.values())
+    width = len(design.base)
+
+    @F.arrow_udf("array<double>")
+    def expand(base: pa.Array) -> pa.Array:
+        return _nested(design.matrix(_unnest(base, width)))
+
+    return expand(F.col("base"))
+
+
+# Up to this many training rows a column of the design matrix is small enough for one task.
+COLUMN_ROWS = 4_000_000
+
+
+def fit_scaler(train: DataFrame, p: ForecastParams, *, column_rows: int = COLUMN_ROWS) -> DataFrame:
+    """One row per segment: ``center`` and ``scale`` arrays over the design matrix columns."""
     if p.scaler == "robust":
-        stats = exact_quantiles(wide, [S.SEGMENT], cols, [0.25, 0.5, 0.75], max_values=max_values)
-        centre = {c: F.get(c, F.lit(1)) for c in cols}
-        spread = {c: F.get(c, F.lit(2)) - F.get(c, F.lit(0)) for c in cols}
+        counts = train.groupBy(S.SEGMENT).agg(F.count(F.lit(1)).alias("n"))
+        largest = counts.agg(F.max("n")).first()[0] or 0
+        if largest <= column_rows:
+            quartiles = _column_quartiles(train, p)
+        else:
+            long = train.select(S.SEGMENT, F.posexplode(design_array(p)).alias("i", "x"))
+            quartiles = exact_quantiles(
+                long, [S.SEGMENT, "i"], ["x"], [0.25, 0.5, 0.75], max_values=column_rows
+            ).withColumnRenamed("x", "q")
+        at = lambda k: F.get("q", F.lit(k))
+        stats = quartiles.select(S.SEGMENT, "i", at(1).alias("m"), (at(2) - at(0)).alias("s"))
     else:
-        stats = wide.groupBy(S.SEGMENT).agg(
-            *[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in cols]
-        )
-        centre = {c: F.col(f"{c}.m") for c in cols}
-        spread = {c: F.col(f"{c}.s") for c in cols}
-    unit = lambda c: F.when(spread[c] == 0, F.lit(1.0)).otherwise(spread[c])
-    return stats.select(
-        S.SEGMENT,
-        F.array(*[centre[slot[c]] for c in design.names]).alias("center"),
-        F.array(*[unit(slot[c]) for c in design.names]).alias("scale"),
+        long = train.select(S.SEGMENT, F.posexplode(design_array(p)).alias("i", "x"))
+        stats = long.groupBy(S.SEGMENT, "i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    unit = F.when(F.col("s") == 0, F.lit(1.0)).otherwise(F.col("s"))
+    rows = F.array_sort(F.collect_list(F.struct("i", "m", unit.alias("s"))))
+    return stats.groupBy(S.SEGMENT).agg(rows.alias("_r")).select(
+        S.SEGMENT, F.col("_r.m").alias("center"), F.col("_r.s").alias("scale")
     )
 
 
-def base_array(p: ForecastParams) -> Column:
-    return F.array(*[F.col(c) for c in lag_names(p)]).alias("base")
+def _column_quartiles(train: DataFrame, p: ForecastParams) -> DataFrame:
+    """Quartiles of every design matrix column, for segments whose columns fit one task each.
 
+    Batches are cut into column pieces before the shuffle, so values travel packed.
+    """
+    design = Design.of(p)
+    width = len(design.base)
 
-def _unnest(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            segments = batch.column(0).to_numpy(zero_copy_only=False)
+            x = design.matrix(_unnest(batch.column(1), width))
+            for seg in pd.unique(segments):
+                mine = x[segments == seg]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        S.SEGMENT: pa.array([seg] * x.shape[1]),
+                        "i": pa.array(np.arange(x.shape[1], dtype="int32")),
+                        "piece": _nested(mine.T),
+                    }
+                )
+
+    def quartiles(rows: pd.DataFrame) -> pd.DataFrame:
+        values = np.concatenate(rows["piece"].to_list())
+        out = rows[[S.SEGMENT, "i"]].iloc[:1].copy()
+        out["q"] = [np.quantile(values, [0.25, 0.5, 0.75])]
+        return out
+
+    cut_up = train.select(S.SEGMENT, "base").mapInArrow(pieces, f"{S.SEGMENT} string, i int, piece array<double>")
+    return cut_up.groupBy(S.SEGMENT, "i").applyInPandas(quartiles, f"{S.SEGMENT} string, i int, q array<double>")
 
 
 def moment_rows(train: DataFrame, scaler: DataFrame, p: ForecastParams) -> DataFrame:
     """Sums of products of (1, scaled features, target) per segment, one row per matrix row.
 
-    Each task adds up its own rows; the sums of all tasks are then added per matrix row.
+    Each task adds up its own rows; the sums of all tasks are then added, a few matrix rows per group.
     """
     design = Design.of(p)
     scales = {
@@ -133,19 +169,23 @@ def moment_rows(train: DataFrame, scaler: DataFrame, p: ForecastParams) -> DataF
             )
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum(np.stack(rows["row"].to_numpy()), axis=0)
-        return pd.DataFrame({S.SEGMENT: rows[S.SEGMENT].iloc[:1], "i": rows["i"].iloc[:1], "row": [total]})
+        at, which = np.unique(rows["i"], return_inverse=True)
+        total = np.zeros((len(at), size))
+        np.add.at(total, which, np.stack(rows["row"].to_list()))
+        return pd.DataFrame({S.SEGMENT: rows[S.SEGMENT].iloc[0], "i": at, "row": list(total)})
 
     layout = f"{S.SEGMENT} string, i int, row array<double>"
-    parts = train.select(S.SEGMENT, base_array(p), "volume_next").mapInArrow(partial, layout)
-    return parts.groupBy(S.SEGMENT, "i").applyInPandas(add, layout)
+    parts = train.select(S.SEGMENT, "base", "volume_next").mapInArrow(partial, layout)
+    # A few matrix rows per group: enough groups to spread, few enough to be cheap.
+    page = F.floor(F.col("i") / 16).alias("page")
+    return parts.groupBy(S.SEGMENT, page).applyInPandas(add, layout)
 
 
 def elastic_net(gram: np.ndarray, xy: np.ndarray, n: float, yy: float, p: ForecastParams) -> np.ndarray:
     """Minimise 1/(2n)|y-Xw|^2 + a*r|w|_1 + a*(1-r)/2|w|^2 by cyclic coordinate descent.
 
-    Works on centred moments only. Stops when the duality gap is below ``tol`` times the variance,
-    checked once the coefficients have settled.
+    Works on centred moments only. Stops on a duality gap far below ``tol`` times the variance, which
+    is checked once a sweep moves no coefficient by more than ``tol``.
     """
     l1, l2 = p.alpha * p.l1_ratio * n, p.alpha * (1 - p.l1_ratio) * n
     w = np.zeros(len(xy))
@@ -163,7 +203,7 @@ def elastic_net(gram: np.ndarray, xy: np.ndarray, n: float, yy: float, p: Foreca
             largest, step = max(largest, abs(new)), max(step, abs(new - old))
         if largest == 0.0 or step <= 1e-9 * largest:
             break
-        if step <= p.tol * largest and _gap(w, residual, gram, xy, yy, l1, l2) <= 1e-6 * p.tol * yy:
+        if step <= p.tol * largest and _gap(w, residual, gram, xy, yy, l1, l2) <= 1e-3 * p.tol * yy:
             break
     return w
 
@@ -201,7 +241,7 @@ def fit_elastic_net(moments: DataFrame, p: ForecastParams) -> DataFrame:
 
 
 def predictor(models: DataFrame, p: ForecastParams) -> Column:
-    """The forecast as a column over ``segment`` and the lags.
+    """The forecast as a column over ``segment`` and ``base``.
 
     ``models`` has one row per segment (a few hundred numbers), so it travels with the function. A
     model whose width fits the lags only is applied without the expansion.
@@ -229,7 +269,7 @@ def predictor(models: DataFrame, p: ForecastParams) -> Column:
                 out[mine] = layout.matrix(x[mine]) @ slope + constant
         return pa.array(out, from_pandas=True)
 
-    return forecast(F.col(S.SEGMENT), base_array(p))
+    return forecast(F.col(S.SEGMENT), F.col("base"))
 
 
 def forecast_errors(

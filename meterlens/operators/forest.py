@@ -35,18 +35,18 @@ def draw_samples(
     """
     psi = p.max_samples
     # Draw more than needed: the surplus covers repeats. Small tables are taken whole instead.
-    surplus = 4 * psi
+    surplus = 2 * psi
     trees = F.explode(F.sequence(F.lit(0), F.lit(p.n_estimators - 1))).alias("tree")
     random = F.pmod(F.xxhash64(S.SEGMENT, "tree", "draw", F.lit(seed)), F.col("n_train"))
     drawn = (
-        sizes.where(F.col("n_train") > 2 * psi)
+        sizes.where(F.col("n_train") > 8 * psi)
         .select(S.SEGMENT, "n_train", trees)
         .withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(surplus - 1).cast("long"))))
         .groupBy(S.SEGMENT, "tree", random.alias(pos))
         .agg(F.min("draw").alias("draw"))
     )
     whole = (
-        sizes.where(F.col("n_train").between(1, 2 * psi))
+        sizes.where(F.col("n_train").between(1, 8 * psi))
         .select(S.SEGMENT, "n_train", trees)
         .withColumn(pos, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_train") - 1)))
         .withColumn("draw", F.xxhash64(S.SEGMENT, "tree", pos, F.lit(seed)))
@@ -61,9 +61,10 @@ def draw_samples(
     return train.select(S.SEGMENT, pos, *FEATURES).join(F.broadcast(chosen), [S.SEGMENT, pos])
 
 
-def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
+def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[list]:
     """Node rows of one tree: random feature, uniform cut between its minimum and maximum."""
-    nodes: list[tuple] = []
+    nodes: list[list] = []
+    rest = average_path(np.arange(len(x) + 1))
     todo = [(x, 0, -1, 0)]  # points, depth, parent, side
     while todo:
         points, depth, parent, side = todo.pop()
@@ -73,9 +74,9 @@ def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
         low, high = points.min(axis=0), points.max(axis=0)
         open_ = np.flatnonzero(high > low)
         if depth >= limit or len(points) <= 1 or not len(open_):
-            nodes.append([me, -1, 0.0, -1, -1, depth + float(average_path(len(points)))])
+            nodes.append([me, -1, 0.0, -1, -1, depth + rest[len(points)]])
             continue
-        f = int(rng.choice(open_))
+        f = int(open_[rng.integers(len(open_))])
         cut_at = rng.uniform(low[f], high[f])
         below = points[:, f] <= cut_at
         if below.all():  # the draw hit the maximum
@@ -87,12 +88,14 @@ def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
     return nodes
 
 
-def fit_forest(samples: DataFrame, p: AnomalyParams, seed: int) -> DataFrame:
+def fit_forest(
+    samples: DataFrame, p: AnomalyParams, seed: int, pos: str = "train_pos"
+) -> DataFrame:
     """Node table of the forest, one task group per tree (at most ``max_samples`` rows each)."""
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         segment, tree = key
-        x = rows.sort_values(FEATURES)[FEATURES].to_numpy(dtype=float)
+        x = rows[FEATURES].to_numpy(dtype=float)[np.argsort(rows[pos].to_numpy())]
         limit = int(np.ceil(np.log2(max(len(x), 2))))
         rng = np.random.default_rng([seed, int(tree), *segment.encode()])
         nodes = _grow(x, limit, rng)
@@ -101,7 +104,10 @@ def fit_forest(samples: DataFrame, p: AnomalyParams, seed: int) -> DataFrame:
         out.insert(0, S.SEGMENT, segment)
         return out
 
-    return samples.groupBy(S.SEGMENT, "tree").applyInPandas(grow, NODES)
+    # The samples are few but growing is not free: keep every core busy.
+    tasks = samples.sparkSession.sparkContext.defaultParallelism
+    spread = samples.repartition(tasks, S.SEGMENT, "tree")
+    return spread.groupBy(S.SEGMENT, "tree").applyInPandas(grow, NODES)
 
 
 def forest_arrays(nodes: pd.DataFrame, max_samples: int) -> dict:

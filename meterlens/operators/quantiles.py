@@ -22,16 +22,20 @@ def exact_quantiles(
     probs: Sequence[float],
     *,
     max_values: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """One row per key with, for each column, the array of its quantiles at ``probs``.
 
     Groups are counted first. Groups that fit go through ``percentile``; larger ones are searched by
     narrowing: each pass counts the values per bin between the current bounds and keeps the bin
     that holds the wanted rank, until the bounds meet. No pass moves more than the bin counts.
+    ``largest`` is the row count of the largest group where the caller knows it; it saves the count.
     """
     keys, cols, probs = list(keys), list(cols), [float(p) for p in probs]
     limit = (max_values or MAX_VALUES) // len(cols)
     data = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    if largest is not None and largest <= limit:
+        return _direct(data, keys, cols, probs)
     hot = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).drop("_n")
     n_hot = hot.count()
     if n_hot == 0:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterlens import schema as S
 from meterlens.config import ForecastParams
@@ -18,19 +18,33 @@ def lag_names(p: ForecastParams) -> list[str]:
     return [f"vf_lag{k}" for k in range(p.lags_v)] + exo
 
 
-def lag_columns(blocks: Blocks, smoothed: str, p: ForecastParams) -> Blocks:
-    """Add the lags of the smoothed volume, pressure and temperature and the next volume.
+def lag_arrays(blocks: Blocks, smoothed: str, p: ForecastParams) -> Blocks:
+    """Add ``base``, the lags in the order of ``lag_names``, and the next volume.
 
-    Keeps the rows that have every lag and a next reading; margins stay.
+    Keeps the rows that have every lag and a next reading; margins stay. The measures must not be null.
     """
     w = blocks.window
-    cols = {f"vf_lag{k}": F.lag(smoothed, k).over(w) for k in range(p.lags_v)}
-    for k in range(p.lags_exo):
-        cols[f"p_lag{k}"] = F.lag(S.PRESSURE, k).over(w)
-        cols[f"t_lag{k}"] = F.lag(S.TEMPERATURE, k).over(w)
-    cols["volume_next"] = F.lead(S.VOLUME).over(w)
+
+    def lags(col: str, n: int) -> Column:
+        return F.reverse(F.collect_list(col).over(w.rowsBetween(1 - n, 0)))
+
+    df = blocks.df.withColumns(
+        {
+            "_vf": lags(smoothed, p.lags_v),
+            "_p": lags(S.PRESSURE, p.lags_exo),
+            "_t": lags(S.TEMPERATURE, p.lags_exo),
+            "volume_next": F.lead(S.VOLUME).over(w),
+        }
+    )
     inside = (F.col("pos") >= p.maxlag) & (F.col("pos") <= F.col("n_rows") - 2)
-    return blocks.on(blocks.df.withColumns(cols).where(inside))
+    exo = F.flatten(F.zip_with("_p", "_t", lambda a, b: F.array(a, b)))
+    return blocks.on(df.where(inside).withColumn("base", F.concat("_vf", exo)).drop("_vf", "_p", "_t"))
+
+
+def lag_columns(df: DataFrame, p: ForecastParams) -> DataFrame:
+    """``base`` spread over one named column per lag."""
+    named = {c: F.get("base", F.lit(i)) for i, c in enumerate(lag_names(p))}
+    return df.withColumns(named).drop("base")
 
 
 def residual_features(

@@ -1,15 +1,15 @@
 """Singular spectrum smoothing of every client's series.
 
 The smoothed value is a linear filter of the neighbouring readings. The filter follows from the
-leading eigenvectors of a small matrix of lag products, so the work is: one aggregation per client,
-one small eigenproblem per client, and one windowed dot product per reading. The trajectory matrix
-is never built.
+leading eigenvectors of a small matrix of lag products, so a series needs its lag products, one small
+eigenproblem and one filter pass; the trajectory matrix is never built. A series that fits one task is
+done in one step; a longer one adds up the products of its blocks first and is filtered block by block.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meterlens import schema as S
@@ -17,103 +17,140 @@ from meterlens.config import SsaParams
 from meterlens.operators.blocks import Blocks
 
 
-def lag_products(blocks: Blocks, col: str, window: int) -> DataFrame:
-    """Per series: sums of v[t]*v[t+d] over the trajectory columns, and both ends of the series."""
-    w = blocks.window
-    pos, n, v = F.col("pos"), F.col("n_rows"), F.col(col)
-    columns = n - window + 1  # number of trajectory columns
-    # Only the rows before the last window start a column; their later partners lie in the window.
-    ahead = {f"_d{d}": F.lead(col, d).over(w) for d in range(1, window)}
-    df = blocks.df.withColumns(ahead | {"_d0": v})
-    if blocks.size:
-        df = df.where("is_core")
-    sums = [F.sum(F.when(pos < columns, v * F.col(f"_d{d}"))) for d in range(window)]
-    head = [F.max(F.when(pos == i, v)) for i in range(window - 1)]
-    tail = [F.max(F.when(pos == columns + i, v)) for i in range(window - 1)]
-    return (
-        df.groupBy(*blocks.keys)
-        .agg(
-            F.max("n_rows").alias("n_rows"),
-            F.array(*sums).alias("sums"),
-            F.array(*head).alias("head"),
-            F.array(*tail).alias("tail"),
-        )
-    )
+def lag_products(v: np.ndarray, pos: np.ndarray, core: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Sums of v[t]*v[t+d] over the trajectory columns, then both ends of the series, as one vector.
 
-
-def _gram(sums: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """Lag-product matrices of a batch of series from their first row and both series ends."""
-    batch, size = sums.shape
-    g = np.empty((batch, size, size))
-    g[:, 0, :] = sums
+    ``v`` is a run of consecutive rows; only its ``core`` rows are counted, so the vectors of the
+    blocks of a series add up to that of the series.
+    """
+    columns = n - size + 1
+    out = np.zeros(3 * size - 2)
+    first, last = np.flatnonzero(core)[[0, -1]]
+    stop = min(last + 1, first + max(columns - int(pos[first]), 0))
+    for d in range(size):
+        a, b = v[first:stop], v[first + d : stop + d]
+        out[d] = a @ b
+    head = core & (pos < size - 1)
+    out[size + pos[head]] = v[head]
+    tail = core & (pos >= columns)
+    out[2 * size - 1 + pos[tail] - columns] = v[tail]
+    return out
+
+
+def _gram(products: np.ndarray, size: int) -> np.ndarray:
+    """Matrix of lag products from its first row and the two ends of the series."""
+    sums, head, tail = np.split(products, [size, 2 * size - 1])
+    g = np.zeros((size, size))
+    g[0] = sums
     for i in range(size - 1):
         # Moving both indices on by one drops the first product and gains one past the end.
         width = size - 1 - i
-        step = tail[:, i : i + 1] * tail[:, i:] - head[:, i : i + 1] * head[:, i:]
-        g[:, i + 1, i + 1 :] = g[:, i, i : i + width] + step[:, :width]
-    upper = np.triu(np.ones((size, size), dtype=bool))
-    return np.where(upper, g, np.swapaxes(g, 1, 2))
+        g[i + 1, i + 1 :] = g[i, i : i + width] + tail[i] * tail[i:] - head[i] * head[i:]
+    return np.triu(g) + np.triu(g, 1).T
 
 
-def _taps(sums: np.ndarray, head: np.ndarray, tail: np.ndarray, n: np.ndarray, rank: int) -> np.ndarray:
-    """Filter weights: batch x (2L-1 row kinds) x (2L-1 offsets).
+def filter_taps(products: np.ndarray, n: int, size: int, rank: int) -> np.ndarray:
+    """Filter weights: (2L-1 row kinds) x (2L-1 offsets).
 
     Kind r < L-1 is the r-th row of a series, kind L-1 any inner row, the rest count from the end.
     A series of at most 2L-1 rows has one kind per row.
     """
-    batch, size = sums.shape
-    _, vectors = np.linalg.eigh(_gram(sums, head, tail))
-    lead = vectors[:, :, -rank:]
-    projector = lead @ np.swapaxes(lead, 1, 2)
+    _, vectors = np.linalg.eigh(_gram(products, size))
+    lead = vectors[:, -rank:]
+    projector = lead @ lead.T
     kinds = 2 * size - 1
-    by_offset = np.zeros((batch, size + 1, kinds))  # running sums over projector rows
+    upto = np.zeros((size + 1, kinds))  # running sums over projector rows, by offset
     for i in range(size):
-        by_offset[:, i + 1] = by_offset[:, i]
-        by_offset[:, i + 1, size - 1 - i : 2 * size - 1 - i] += projector[:, i, :]
+        upto[i + 1] = upto[i]
+        upto[i + 1, size - 1 - i : kinds - i] += projector[i]
     kind = np.arange(kinds)
-    short = (n <= kinds)[:, None]
-    from_end = np.where(kind < size, 0, kind - size + 1)
-    first = np.where(short, np.maximum(0, kind[None, :] - (n[:, None] - size)), from_end[None, :])
-    final = np.minimum(kind, size - 1)[None, :].repeat(batch, axis=0)
+    final = np.minimum(kind, size - 1)
+    first = np.maximum(0, kind - (n - size if n <= kinds else size - 1))
     first = np.minimum(first, final)  # kinds past the end of a short series are never used
-    rows = np.arange(batch)[:, None]
-    total = by_offset[rows, final + 1] - by_offset[rows, first]
-    return total / (final - first + 1)[:, :, None]
+    return (upto[final + 1] - upto[first]) / (final - first + 1)[:, None]
 
 
-def series_filters(blocks: Blocks, col: str, p: SsaParams) -> DataFrame:
-    """Per series: ``taps``, the weights of every row kind, flattened; null up to ``window`` rows."""
-    window, rank = p.window, p.rank
+def apply_taps(v: np.ndarray, pos: np.ndarray, n: int, taps: np.ndarray) -> np.ndarray:
+    """Filtered values of a run of consecutive rows (rows cut off from neighbours come out partial)."""
+    kinds = len(taps)
+    size = (kinds + 1) // 2
+    padded = np.concatenate([np.zeros(size - 1), v, np.zeros(size - 1)])
+    out = np.convolve(padded, taps[size - 1][::-1], mode="valid")
+    edge = np.flatnonzero((pos < size - 1) | (pos > n - size))
+    kind = np.where((n <= kinds) | (pos < size - 1), pos, pos - n + kinds)
+    for i in edge:
+        out[i] = taps[kind[i]] @ padded[i : i + kinds]
+    return out
 
-    @F.pandas_udf("array<double>")
-    def taps(sums: pd.Series, head: pd.Series, tail: pd.Series, n: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(n), dtype=object)
-        long = np.flatnonzero(n.to_numpy() > window)
-        if len(long):
-            parts = [np.stack(x.iloc[long].to_numpy()) for x in (sums, head, tail)]
-            made = _taps(*parts, n.to_numpy()[long], rank).reshape(len(long), -1)
-            out.iloc[long] = pd.Series(list(made), index=long)
-        return out
 
-    products = lag_products(blocks, col, p.window)
-    return products.select(*blocks.keys, "n_rows", taps("sums", "head", "tail", "n_rows").alias("taps"))
+def _in_order(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    pos = table["pos"].to_numpy()
+    if np.any(np.diff(pos) < 0):
+        order = np.argsort(pos)
+        return table.take(pa.array(order)), pos[order]
+    return table, pos
 
 
 def smooth(
     blocks: Blocks, p: SsaParams = SsaParams(), col: str = S.VOLUME, out: str = "v_filt"
 ) -> Blocks:
     """Add the smoothed series; a series of at most ``window`` rows passes through."""
-    size, kinds = p.window, 2 * p.window - 1
-    around = blocks.window.rowsBetween(1 - size, size - 1)
-    wide = blocks.on(blocks.df.withColumn("_near", F.collect_list(col).over(around)))
-    wide = wide.attach(series_filters(blocks, col, p)).df
-    pos, n = F.col("pos"), F.col("n_rows")
-    from_end = pos - n + kinds
-    kind = F.when((n <= kinds) | (pos < size - 1), pos).otherwise(F.greatest(from_end, F.lit(size - 1)))
-    # The first rows have fewer neighbours before them: skip the weights of the missing ones.
-    skipped = F.greatest(F.lit(size - 1) - pos, F.lit(0).cast("long"))
-    own = F.slice("taps", (kind * kinds + skipped + 1).cast("int"), F.size("_near"))
-    products = F.zip_with("_near", own, lambda v, tap: v * tap)
-    dot = F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-    value = F.when(n > size, dot).otherwise(F.col(col))
-    return blocks.on(wide.withColumn(out, value).drop("taps", "_near"))
+    size, rank = p.window, p.rank
+    layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.df.schema.fields)
+    layout += f", {out} double"
+
+    def filtered(table: pa.Table) -> pa.Table:
+        table, pos = _in_order(table)
+        v, n = table[col].to_numpy(), table["n_rows"][0].as_py()
+        if n <= size:
+            values = v
+        elif "taps" in table.column_names:
+            taps = np.asarray(table["taps"][0].as_py()).reshape(2 * size - 1, -1)
+            values = apply_taps(v, pos, n, taps)
+        else:
+            products = lag_products(v, pos, np.ones(n, dtype=bool), n, size)
+            values = apply_taps(v, pos, n, filter_taps(products, n, size, rank))
+        if "taps" in table.column_names:
+            table = table.drop_columns(["taps"])
+        return table.append_column(out, pa.array(values))
+
+    df = blocks.df
+    if blocks.size:
+        df = blocks.attach(_series_taps(blocks, col, p)).df.select(*df.columns, "taps")
+    return blocks.on(df.groupBy(*blocks.group).applyInArrow(filtered, layout))
+
+
+def _series_taps(blocks: Blocks, col: str, p: SsaParams) -> DataFrame:
+    """Per series cut into blocks: its length and filter weights."""
+    size, rank, keys = p.window, p.rank, list(blocks.keys)
+    fields = {f.name: f.dataType.simpleString() for f in blocks.df.schema.fields}
+    layout = ", ".join(f"{k} {fields[k]}" for k in keys) + ", n_rows bigint, products array<double>"
+
+    def products(table: pa.Table) -> pa.Table:
+        table, pos = _in_order(table)
+        n = table["n_rows"][0].as_py()
+        core = table["is_core"].to_numpy(zero_copy_only=False)
+        made = np.zeros(3 * size - 2)
+        if n > size and core.any():
+            made = lag_products(table[col].to_numpy(), pos, core, n, size)
+        return table.slice(0, 1).select([*keys, "n_rows"]).append_column("products", pa.array([made]))
+
+    slim = blocks.df.select(*blocks.group, "pos", "n_rows", "is_core", col)
+    per_block = slim.groupBy(*blocks.group).applyInArrow(products, layout)
+    summed = (
+        per_block.select(*keys, "n_rows", F.posexplode("products").alias("i", "x"))
+        .groupBy(*keys, "n_rows", "i")
+        .agg(F.sum("x").alias("x"))
+        .groupBy(*keys, "n_rows")
+        .agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_p"))
+    )
+
+    @F.arrow_udf("array<double>")
+    def solve(n: pa.Array, vectors: pa.Array) -> pa.Array:
+        made = [
+            filter_taps(np.asarray(x.as_py()), a.as_py(), size, rank).ravel() if a.as_py() > size else None
+            for a, x in zip(n, vectors)
+        ]
+        return pa.array(made, type=pa.list_(pa.float64()))
+
+    return summed.select(*keys, "n_rows", solve("n_rows", F.col("_p.x")).alias("taps"))

@@ -10,7 +10,7 @@ from meterlens import schema as S
 from meterlens.config import ForecastParams, JobParams
 from meterlens.operators import clean, flags, forest, series
 from meterlens.operators import forecast as fc
-from meterlens.operators.blocks import Blocks, checked_broadcast, series_blocks
+from meterlens.operators.blocks import Blocks, series_blocks
 from meterlens.operators.ordering import running_totals
 from meterlens.operators.ssa import smooth
 from meterlens.session import cut
@@ -65,10 +65,12 @@ def number_rows(lagged: Blocks, p: ForecastParams) -> Blocks:
     ).select(S.SEGMENT, S.CLIENT, "n_rows")
     usable = F.col("n_rows") - first - 1
     run = running_totals(lengths, [S.SEGMENT], [S.CLIENT], {"_upto": usable})
-    totals = run.groupBy(S.SEGMENT).agg(F.max("_upto").alias("_n"))
-    n_segments = totals.count()
-    offsets = run.join(checked_broadcast(totals, n_segments), S.SEGMENT).select(
-        S.SEGMENT, S.CLIENT, "n_rows", (F.col("_upto") - usable).alias("_before"), "_n"
+    totals = lengths.groupBy(S.SEGMENT).agg(F.sum(usable).alias("_n"))
+    # One row per client, read by every pass over the lag rows.
+    offsets = cut(
+        run.join(totals, S.SEGMENT).select(
+            S.SEGMENT, S.CLIENT, "n_rows", (F.col("_upto") - usable).alias("_before"), "_n"
+        )
     )
     cut_at = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_n") * (1.0 - p.test_size)))
     nth = F.col("pos") - first
@@ -90,10 +92,10 @@ def number_rows(lagged: Blocks, p: ForecastParams) -> Blocks:
 
 def train(readings: DataFrame, p: JobParams = JobParams(), *, max_rows: int | None = None) -> TrainResult:
     f, a = p.forecast, p.anomaly
-    smoothed = smoothed_series(prepare(readings), p, max_rows=max_rows)
+    smoothed = smoothed_series(cut(prepare(readings)), p, max_rows=max_rows)
     # Read by the lag pass of the scaler, the fit and the forecast.
     smoothed = smoothed.on(cut(smoothed.df))
-    rows = number_rows(series.lag_columns(smoothed, "v_filt", f), f)
+    rows = number_rows(series.lag_arrays(smoothed, "v_filt", f), f)
     core = rows.core()
 
     train_rows = core.where("is_train")

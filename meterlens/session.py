@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the written copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to a new table in the shared folder and go on from the written copy.
+
+    Computed once, and no lost executor makes it run again (an eager RDD checkpoint would run the last
+    stage twice). The folder belongs to the cluster, which also clears it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/meterlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
