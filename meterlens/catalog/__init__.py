@@ -1,4 +1,4 @@
 """All named queries."""
 
-from meterlens.catalog import cleaning, jobs, reports, scoring  # noqa: F401
+from meterlens.catalog import cleaning, jobs, reports, scoring, segments  # noqa: F401
 from meterlens.catalog.registry import ORACLES, QUERIES  # noqa: F401

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from meterlens.catalog.registry import query
 from meterlens.catalog.views import readings
+from meterlens.plans.clean import clean_readings
+from meterlens.plans.score import evaluate_labelled, score, score_client
 from meterlens.plans.train import train
+from meterlens.sources.writers import log_table
 
-E = "readings_e"
+E, L = "readings_e", "readings_l"
+_DAYS = 24 * 3_600_000_000
 
 
 @query("train_flags")
@@ -16,4 +22,31 @@ def _(spark, sf):
 
 @query("train_metrics")
 def _(spark, sf):
-    return train(readings(spark, sf, E)).metrics
+    return log_table(train(readings(spark, sf, E)).metrics, "run", "train")
+
+
+@query("score_stored_models")
+def _(spark, sf):
+    df = readings(spark, sf, E)
+    return score(df, train(df).models, thresholds="stored")
+
+
+@query("score_one_client")
+def _(spark, sf):
+    df = readings(spark, sf, E)
+    hourly = df.selectExpr(
+        "client_id", "CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS ts", "segment", "pressure", "temperature", "volume", "src_ord"
+    )
+    return score_client(hourly, "3", train(df).models, first=date(2024, 1, 1), last=date(2024, 2, 1))
+
+
+@query("evaluate_models")
+def _(spark, sf):
+    df = readings(spark, sf, E)
+    return evaluate_labelled(df, train(df).models).metrics
+
+
+@query("clean_readings")
+def _(spark, sf):
+    raw = readings(spark, sf, L).drop("segment", "label")
+    return clean_readings(raw, lookback=3 * _DAYS).readings
