@@ -335,66 +335,264 @@ def _durbin_levinson(rho: np.ndarray) -> list[float]:
     return out
 
 
-def kpss(blocks: Blocks, sums: DataFrame, col: str) -> DataFrame:
+def kpss(blocks: Blocks, col: str) -> DataFrame:
     """Level-stationarity test per series: squared partial sums over the long-run variance.
 
     The bandwidth follows Hobijn et al. (1998); p is read off the published table between its ends.
-    ``sums`` must reach lag ceil(12 (n/100)^(1/4)); a bandwidth beyond what it holds gives null.
+    A first pass finds the bandwidths, a second sums the lag products up to the widest one.
     """
     keys = list(blocks.keys)
-    # A series is one block unless it is huge: running sums inside blocks, then block offsets.
+    longest = blocks.df.agg(F.max("n_rows")).first()[0] or 1
+    first = cut(_lag_products(lag_sums(blocks, col, int(longest ** (2.0 / 9.0))), keys))
+    widest = first.agg(F.max(_bandwidth("n", "gamma"))).first()[0] or 0
+    gamma = first if widest < int(longest ** (2.0 / 9.0)) else _lag_products(lag_sums(blocks, col, widest), keys)
+    # Running sums inside blocks, then the total of the earlier blocks on top.
     mean = blocks.core().groupBy(*keys).agg(F.avg(col).alias("_mean"), F.max("n_rows").alias("n_rows"))
     centred = blocks.attach(mean)
     e = F.col(col) - F.col("_mean")
     local = centred.df.where("is_core") if blocks.size else centred.df
     inside = blocks.window.rowsBetween(Window.unboundedPreceding, 0)
-    local = local.withColumn("_s", F.sum(e).over(inside))
-    block = F.floor(F.col("pos") / (blocks.size or 1)) if blocks.size else F.lit(0)
-    per_block = local.groupBy(*keys, block.alias("_b")).agg(
-        F.sum(e).alias("t"), F.sum("_s").alias("s1"), F.sum(F.col("_s") ** 2).alias("s2"), F.count(F.lit(1)).alias("m")
+    per_block = (
+        local.withColumn("_s", F.sum(e).over(inside))
+        .groupBy(*keys, "block")
+        .agg(
+            F.sum(e).alias("t"), F.sum("_s").alias("s1"), F.sum(F.col("_s") ** 2).alias("s2"), F.count(F.lit(1)).alias("m")
+        )
     )
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     shifted = per_block.withColumn("o", F.coalesce(F.sum("t").over(before), F.lit(0.0)))
     eta = shifted.groupBy(*keys).agg(
-        F.sum("m").alias("n"),
-        F.sum(F.col("s2") + 2 * F.col("o") * F.col("s1") + F.col("m") * F.col("o") ** 2).alias("eta"),
+        F.sum(F.col("s2") + 2 * F.col("o") * F.col("s1") + F.col("m") * F.col("o") ** 2).alias("eta")
     )
-    gamma = F.transform(F.sort_array(F.collect_list(F.struct("lag", "sxy"))), lambda p: p["sxy"])
-    arrays = sums.groupBy(*keys).agg(gamma.alias("gamma"))
 
     @F.pandas_udf("lags int, kpss_stat double, kpss_p double")
     def test(n: pd.Series, eta: pd.Series, gamma: pd.Series) -> pd.DataFrame:
         rows = [_kpss(int(a), b, np.asarray(c)) for a, b, c in zip(n, eta, gamma)]
         return pd.DataFrame(rows, columns=["lags", "kpss_stat", "kpss_p"])
 
-    solved = eta.join(arrays, keys).select(*keys, "n", test("n", "eta", "gamma").alias("t"))
+    solved = gamma.join(eta, keys).select(*keys, "n", test("n", "eta", "gamma").alias("t"))
+    long = lambda c: F.when(F.col("n") >= MIN_POINTS, c)
     return solved.select(
         *keys,
         "n",
-        F.when(F.col("n") >= MIN_POINTS, F.col("t.lags")).alias("lags"),
-        F.when(F.col("n") >= MIN_POINTS, F.col("t.kpss_stat")).alias("kpss_stat"),
-        F.when(F.col("n") >= MIN_POINTS, F.col("t.kpss_p")).alias("kpss_p"),
-        F.when(F.col("n") >= MIN_POINTS, F.col("t.kpss_p") > ALPHA).alias("kpss_stationary"),
+        long(F.col("t.lags")).alias("lags"),
+        long(F.col("t.kpss_stat")).alias("kpss_stat"),
+        long(F.col("t.kpss_p")).alias("kpss_p"),
+        long(F.col("t.kpss_p") > ALPHA).alias("kpss_stationary"),
     )
 
 
-def _kpss(n: int, eta: float, gamma: np.ndarray) -> tuple:
-    reach = int(n ** (2.0 / 9.0))
-    if n < MIN_POINTS or reach >= len(gamma):
-        return (None, None, None)
+def _lag_products(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("lag", "sxy")))
+    return sums.groupBy(*keys).agg(
+        F.max(F.when(F.col("lag") == 0, F.col("n"))).alias("n"), F.transform(ordered, lambda p: p["sxy"]).alias("gamma")
+    )
+
+
+def _kpss_lags(n: int, gamma: np.ndarray) -> int | None:
+    reach = min(int(n ** (2.0 / 9.0)), len(gamma) - 1)
     s0, s1 = gamma[0] / n, 0.0
     for i in range(1, reach + 1):
         product = 2.0 * gamma[i] / n
         s0, s1 = s0 + product, s1 + i * product
     if s0 == 0:
+        return None
+    return min(int(1.1447 * ((s1 / s0) ** 2) ** (1.0 / 3.0) * n ** (1.0 / 3.0)), n - 1)
+
+
+def _bandwidth(n: str, gamma: str) -> Column:
+    @F.pandas_udf("int")
+    def lags(n: pd.Series, gamma: pd.Series) -> pd.Series:
+        return pd.Series([_kpss_lags(int(a), np.asarray(b)) or 0 for a, b in zip(n, gamma)], dtype="int32")
+
+    return lags(n, gamma)
+
+
+def _kpss(n: int, eta: float, gamma: np.ndarray) -> tuple:
+    lags = _kpss_lags(n, gamma)
+    if lags is None:
         return (None, None, None)
-    ratio = s1 / s0
-    lags = min(int(1.1447 * (ratio**2) ** (1.0 / 3.0) * n ** (1.0 / 3.0)), n - 1)
-    if lags >= len(gamma):
-        return (lags, None, None)
     weights = 1 - np.arange(1, lags + 1) / (lags + 1.0)
     spread = (gamma[0] + 2 * weights @ gamma[1 : lags + 1]) / n
     if spread <= 0:
         return (lags, None, None)
     stat = eta / n**2 / spread
     return (lags, float(stat), float(np.interp(stat, KPSS_CRIT, KPSS_P)))
+
+
+# MacKinnon's published p-value surface and critical values, constant, one series.
+ADF_STAR, ADF_MIN, ADF_MAX = -1.61, -18.83, 2.74
+ADF_SMALL_P = [2.1659, 1.4412, 0.038269]
+ADF_LARGE_P = [1.7339, 0.93202, -0.12745, -0.010368]
+ADF_CRIT = {
+    "1%": [-3.43035, -6.5393, -16.786, -79.433],
+    "5%": [-2.86154, -2.8903, -4.234, -40.040],
+    "10%": [-2.56677, -1.5384, -2.809, 0.0],
+}
+
+
+def adf_max_lag(n: int) -> int:
+    return max(0, min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2))
+
+
+def adf(blocks: Blocks, col: str) -> DataFrame:
+    """Augmented Dickey-Fuller test per series, lag count by AIC; under 20 points all null.
+
+    Each block adds up the products of (1, level, lagged differences, difference); the sums of a
+    series are all the regressions need. ``blocks`` must reach back ``adf_max_lag(n) + 1`` rows.
+    """
+    keys, group = list(blocks.keys), blocks.group
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.df.schema.fields if f.name in keys}
+    layout = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n bigint, parts array<double>"
+    mean = blocks.core().groupBy(*keys).agg(F.avg(col).alias("_mean"), F.max("n_rows").alias("n_rows"))
+    centred = blocks.attach(mean).df.withColumn("x", F.col(col) - F.col("_mean"))
+
+    def products(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        n, pos, x = int(rows["n_rows"].iloc[0]), rows["pos"].to_numpy(), rows["x"].to_numpy()
+        p = adf_max_lag(n)
+        gram, head = np.zeros((p + 3, p + 3)), np.zeros(p + 2)
+        core = np.flatnonzero(rows["is_core"].to_numpy() & (pos >= p + 1))
+        for a in range(0, len(core), 20_000):
+            z = _adf_rows(x, core[a : a + 20_000], p)
+            gram += z.T @ z
+        early = rows["is_core"].to_numpy() & (pos < p + 2)
+        head[pos[early]] = x[early]
+        out = rows[keys].iloc[:1].copy()
+        out["n"] = n
+        out["parts"] = [np.concatenate([gram.ravel(), head])]
+        return out
+
+    parts = centred.select(*group, "pos", "n_rows", "is_core", "x").groupBy(*group).applyInPandas(products, layout)
+    if blocks.size:
+        parts = (
+            parts.select(*keys, "n", F.posexplode("parts").alias("i", "v"))
+            .groupBy(*keys, "n", "i")
+            .agg(F.sum("v").alias("v"))
+            .groupBy(*keys, "n")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda q: q["v"]).alias("parts"))
+        )
+
+    @F.pandas_udf("used_lag int, adf_stat double, adf_p double")
+    def solve(n: pd.Series, parts: pd.Series) -> pd.DataFrame:
+        rows = [_adf(int(a), np.asarray(b)) for a, b in zip(n, parts)]
+        return pd.DataFrame(rows, columns=["used_lag", "adf_stat", "adf_p"])
+
+    solved = parts.select(*keys, "n", solve("n", "parts").alias("t"))
+    obs = F.col("n") - F.col("t.used_lag") - 1
+    crit = F.create_map(
+        *[
+            x
+            for level, (b0, b1, b2, b3) in ADF_CRIT.items()
+            for x in (F.lit(level), b0 + b1 / obs + b2 / obs**2 + b3 / obs**3)
+        ]
+    )
+    return solved.select(
+        *keys,
+        "n",
+        F.col("t.used_lag").alias("used_lag"),
+        F.col("t.adf_stat").alias("adf_stat"),
+        F.col("t.adf_p").alias("adf_p"),
+        (F.col("t.adf_p") < ALPHA).alias("adf_stationary"),
+        F.when(F.col("t.adf_stat").isNotNull(), crit).alias("adf_crit"),
+    )
+
+
+def _adf_rows(x: np.ndarray, at: np.ndarray, p: int) -> np.ndarray:
+    """Rows (1, x[t-1], dx[t-1] .. dx[t-p], dx[t]) for every t in ``at``."""
+    dx = np.diff(x)
+    lagged = [dx[at - 1 - k] for k in range(1, p + 1)]
+    return np.column_stack([np.ones(len(at)), x[at - 1], *lagged, dx[at - 1]])
+
+
+def _ols(gram: np.ndarray, k: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Coefficients, residual sum of squares and inverse for the first ``k`` regressors."""
+    inverse = np.linalg.pinv(gram[:k, :k], hermitian=True)
+    beta = inverse @ gram[:k, -1]
+    return beta, float(gram[-1, -1] - beta @ gram[:k, -1]), inverse
+
+
+def _adf(n: int, parts: np.ndarray) -> tuple:
+    if n < MIN_POINTS:
+        return (None, None, None)
+    p = adf_max_lag(n)
+    gram, head = parts[: (p + 3) ** 2].reshape(p + 3, p + 3), parts[(p + 3) ** 2 :]
+    obs = n - p - 1
+    criteria = []
+    for lag in range(p + 1):
+        _, ssr, _ = _ols(gram, lag + 2)
+        if ssr <= 0:
+            return (None, None, None)
+        criteria.append(obs * math.log(ssr / obs) + 2 * (lag + 2))
+    used = int(np.argmin(criteria))
+    # With fewer lags the regression gains the rows near the start.
+    early = np.arange(used + 1, p + 1)
+    keep = np.r_[0 : used + 2, p + 2]
+    total = gram[np.ix_(keep, keep)]
+    if len(early):
+        z = _adf_rows(head, early, used)
+        total = total + z.T @ z
+    beta, ssr, inverse = _ols(total, used + 2)
+    rows = n - used - 1
+    error = ssr / (rows - used - 2) * inverse[1, 1]
+    if error <= 0:
+        return (used, None, None)
+    stat = float(beta[1] / math.sqrt(error))
+    if stat > ADF_MAX:
+        return (used, stat, 1.0)
+    if stat < ADF_MIN:
+        return (used, stat, 0.0)
+    curve = ADF_SMALL_P if stat <= ADF_STAR else ADF_LARGE_P
+    z = sum(c * stat**i for i, c in enumerate(curve))
+    return (used, stat, 0.5 * math.erfc(-z / math.sqrt(2)))
+
+
+def decompose(blocks: Blocks, col: str, period: int) -> Blocks:
+    """Additive decomposition: ``trend``, ``seasonal`` and ``resid``.
+
+    The trend is a centred moving average; at both ends it goes on along the least-squares line
+    through the nearest ``period`` trend points. Series of less than two periods drop out. ``blocks``
+    must reach ``period // 2`` rows both ways.
+    """
+    keys, half = list(blocks.keys), period // 2
+    blocks = blocks.on(blocks.df.where(F.col("n_rows") >= 2 * period))
+    pos, n, x = F.col("pos"), F.col("n_rows"), F.col(col)
+    w = blocks.window
+    if period % 2:
+        smooth = F.avg(x).over(w.rowsBetween(-half, half))
+    else:
+        inner = F.sum(x).over(w.rowsBetween(1 - half, half - 1))
+        smooth = (inner + (F.lag(x, half).over(w) + F.lead(x, half).over(w)) / 2) / period
+    front, back = F.lit(half), n - 1 - half  # first and last row with a full average
+    inside = (pos >= front) & (pos <= back)
+    df = blocks.on(blocks.df.withColumn("trend", F.when(inside, smooth)))
+
+    own = df.df.where("is_core") if blocks.size else df.df
+    at_front = (pos >= front) & (pos < F.least(front + period, back))
+    at_back = (pos >= F.greatest(front, back - period)) & (pos < back)
+    t = F.col("trend")
+    ends = own.groupBy(*keys).agg(
+        F.max("n_rows").alias("n_rows"),
+        *[
+            f(F.when(where, t), F.when(where, from_end)).alias(name)
+            for where, from_end, tag in ((at_front, pos, "f"), (at_back, pos - n, "b"))
+            for f, name in ((F.regr_slope, f"_{tag}k"), (F.regr_intercept, f"_{tag}n"))
+        ],
+    )
+    line = F.when(pos < front, F.col("_fk") * pos + F.col("_fn")).otherwise(F.col("_bk") * (pos - n) + F.col("_bn"))
+    full = df.attach(ends)
+    full = full.on(full.df.withColumn("trend", F.coalesce(t, line)).drop("_fk", "_fn", "_bk", "_bn"))
+
+    own = full.df.where("is_core") if blocks.size else full.df
+    phases = own.groupBy(*keys, (pos % period).alias("phase")).agg(
+        F.max("n_rows").alias("n_rows"), F.avg(x - t).alias("m")
+    )
+    seasons = phases.groupBy(*keys).agg(
+        F.max("n_rows").alias("n_rows"),
+        F.avg("m").alias("_level"),
+        F.transform(F.array_sort(F.collect_list(F.struct("phase", "m"))), lambda q: q["m"]).alias("_season"),
+    )
+    done = full.attach(seasons)
+    seasonal = F.get("_season", (pos % period).cast("int")) - F.col("_level")
+    out = done.df.withColumn("seasonal", seasonal).withColumn("resid", x - t - F.col("seasonal"))
+    return blocks.on(out.drop("_season", "_level"))
