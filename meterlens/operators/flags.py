@@ -43,16 +43,19 @@ def normalised(score: str = "score") -> Column:
 
 def flag(
     df: DataFrame,
-    thresholds: DataFrame,
+    thresholds: DataFrame | None,
     p: AnomalyParams,
     keys: Sequence[str] = (S.SEGMENT,),
     score: str = "score",
 ) -> DataFrame:
     """Add ``proba``, ``flag_if``, ``flag_z`` and their fusion ``flag_final``.
 
-    ``thresholds`` has one row per segment, taken from this batch or stored at training time.
+    ``thresholds`` has one row per segment, taken from this batch or stored at training time; None
+    where ``df`` carries its columns already.
     """
-    joined = df.join(thresholds, list(keys), "left").withColumn("proba", normalised(score))
+    if thresholds is not None:
+        df = df.join(thresholds, list(keys), "left")
+    joined = df.withColumn("proba", normalised(score))
     by_score = F.col("proba") >= F.col("thr_if")
     by_z = F.col("z_abs") >= p.z_threshold
     fused = (by_score | by_z) if p.fusion == "or" else (by_score & by_z)
