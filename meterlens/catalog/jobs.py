@@ -4,49 +4,82 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from meterlens.catalog.registry import query
 from meterlens.catalog.views import readings
-from meterlens.plans.clean import clean_readings
+from meterlens.config import ForecastParams, JobParams
+from meterlens.plans.clean import add_upload, clean_readings
 from meterlens.plans.score import evaluate_labelled, score, score_client
-from meterlens.plans.train import train
+from meterlens.plans.train import TrainResult, train
 from meterlens.sources.writers import log_table
 
 E, L = "readings_e", "readings_l"
 _DAYS = 24 * 3_600_000_000
 
 
+_TRAINED: dict[tuple[str, str], TrainResult] = {}
+
+
+def trained(spark, sf) -> TrainResult:
+    """One training run per application and input; its tables lie in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = train(readings(spark, sf, E))
+    return _TRAINED[key]
+
+
+def trained_models(spark, sf):
+    return trained(spark, sf).models
+
+
 @query("train_flags")
 def _(spark, sf):
-    return train(readings(spark, sf, E)).flags
+    return trained(spark, sf).flags
 
 
 @query("train_metrics")
 def _(spark, sf):
-    return log_table(train(readings(spark, sf, E)).metrics, "run", "train")
+    return log_table(trained(spark, sf).metrics, "run", "train")
+
+
+@query("train_standard_scaler")
+def _(spark, sf):
+    """The other scaler, the cut inside every client, and no expansion."""
+    p = JobParams(forecast=ForecastParams(scaler="standard", split="time", poly_degree=1))
+    return train(readings(spark, sf, L), p).flags
 
 
 @query("score_stored_models")
 def _(spark, sf):
-    df = readings(spark, sf, E)
-    return score(df, train(df).models, thresholds="stored")
+    return score(readings(spark, sf, E), trained_models(spark, sf), thresholds="stored")
 
 
 @query("score_one_client")
 def _(spark, sf):
-    df = readings(spark, sf, E)
-    hourly = df.selectExpr(
-        "client_id", "CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS ts", "segment", "pressure", "temperature", "volume", "src_ord"
-    )
-    return score_client(hourly, "3", train(df).models, first=date(2024, 1, 1), last=date(2024, 2, 1))
+    hourly = readings(spark, sf, E).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    return score_client(hourly, "3", trained_models(spark, sf), first=date(2024, 1, 1), last=date(2024, 2, 1))
 
 
 @query("evaluate_models")
 def _(spark, sf):
-    df = readings(spark, sf, E)
-    return evaluate_labelled(df, train(df).models).metrics
+    return evaluate_labelled(readings(spark, sf, E), trained_models(spark, sf)).metrics
+
+
+@query("evaluate_roc_curve")
+def _(spark, sf):
+    return evaluate_labelled(readings(spark, sf, E), trained_models(spark, sf)).curve
 
 
 @query("clean_readings")
 def _(spark, sf):
     raw = readings(spark, sf, L).drop("segment", "label")
     return clean_readings(raw, lookback=3 * _DAYS).readings
+
+
+@query("add_upload")
+def _(spark, sf):
+    """A second batch merged into cleaned readings: known clients keep their segment."""
+    raw = readings(spark, sf, L).drop("segment", "label")
+    early = clean_readings(raw.where("ts < timestamp_ntz'2000-01-01 00:00:00'"), lookback=3 * _DAYS).readings
+    return add_upload(early, raw.where("ts >= timestamp_ntz'1999-12-01 00:00:00'"))

@@ -269,8 +269,8 @@ def lag_sums(blocks: Blocks, col: str, lags: int) -> DataFrame:
         out = []
         for lag in range(lags + 1):
             stop = min(last + 1, len(x) - lag)
-            a, b = x[first:stop], x[first + lag : stop + lag]
-            if len(a):
+            if stop > first:
+                a, b = x[first:stop], x[first + lag : stop + lag]
                 out.append((lag, len(a), a.sum(), b.sum(), a @ a, b @ b, a @ b))
         made = pd.DataFrame(out, columns=["lag", "n", "sx", "sy", "sxx", "syy", "sxy"])
         for k in reversed(keys):

@@ -37,6 +37,8 @@ def lag_arrays(blocks: Blocks, smoothed: str, p: ForecastParams) -> Blocks:
         }
     )
     inside = (F.col("pos") >= p.maxlag) & (F.col("pos") <= F.col("n_rows") - 2)
+    if blocks.size:  # the outer rows of a margin lack lags
+        inside &= (F.size("_vf") == p.lags_v) & (F.size("_p") == p.lags_exo)
     exo = F.flatten(F.zip_with("_p", "_t", lambda a, b: F.array(a, b)))
     return blocks.on(df.where(inside).withColumn("base", F.concat("_vf", exo)).drop("_vf", "_p", "_t"))
 

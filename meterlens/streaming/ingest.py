@@ -14,9 +14,21 @@ from meterlens.sources.writers import ReadingsStore
 CLOCK = "event_time"
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", files_per_batch: int = 100) -> DataFrame:
+def read_stream(
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    fmt: str = "csv",
+    files_per_batch: int = 100,
+    pattern: str | None = None,
+) -> DataFrame:
+    """New files of a folder, optionally only those whose name fits ``pattern``."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    return (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path)
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader.format(fmt).load(folder)
 
 
 def ingest(raw: DataFrame, delay: str = "2 days") -> DataFrame:
