@@ -11,6 +11,7 @@ from meterlens.catalog.views import FIRST_L, cte, readings, table
 from meterlens.operators import clean, explore
 from meterlens.operators.blocks import series_blocks
 from meterlens.plans import explore as plan
+from meterlens.session import cut
 
 E, L = "readings_e", "readings_l"
 COLS = ["pressure", "temperature", "volume"]
@@ -173,7 +174,7 @@ def _(spark, sf):
 
 
 def _first_l(spark, sf):
-    return clean.keep_first(readings(spark, sf, L))
+    return cut(clean.keep_first(readings(spark, sf, L).drop("segment", "label")))
 
 
 def _lag_blocks(spark, sf, reach=40):

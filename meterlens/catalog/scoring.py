@@ -161,7 +161,8 @@ def _(spark, sf):
     from meterlens.plans.train import number_rows
 
     p = ForecastParams(max_train_samples=500)
-    rows = number_rows(series.lag_arrays(_blocks(spark, sf), "volume", p), p).core()
+    blocks = _blocks(spark, sf)
+    rows = number_rows(series.lag_arrays(blocks, "volume", p), blocks, p).core()
     return rows.select("client_id", "ts", "train_pos", "is_train", "in_cap")
 
 

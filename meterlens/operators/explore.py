@@ -266,13 +266,21 @@ def lag_sums(blocks: Blocks, col: str, lags: int) -> DataFrame:
         rows = rows.sort_values("pos")
         x, core = rows["x"].to_numpy(), rows["is_core"].to_numpy()
         first, last = np.flatnonzero(core)[[0, -1]]
-        out = []
-        for lag in range(lags + 1):
-            stop = min(last + 1, len(x) - lag)
-            if stop > first:
-                a, b = x[first:stop], x[first + lag : stop + lag]
-                out.append((lag, len(a), a.sum(), b.sum(), a @ a, b @ b, a @ b))
-        made = pd.DataFrame(out, columns=["lag", "n", "sx", "sy", "sxx", "syy", "sxy"])
+        lag = np.arange(lags + 1)
+        stop = np.minimum(last + 1, len(x) - lag)
+        lag, stop = lag[stop > first], stop[stop > first]
+        upto, squares = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x, x * x))
+        made = pd.DataFrame(
+            {
+                "lag": lag,
+                "n": stop - first,
+                "sx": upto[stop] - upto[first],
+                "sy": upto[stop + lag] - upto[first + lag],
+                "sxx": squares[stop] - squares[first],
+                "syy": squares[stop + lag] - squares[first + lag],
+                "sxy": [x[first:b] @ x[first + k : b + k] for k, b in zip(lag, stop)],
+            }
+        )
         for k in reversed(keys):
             made.insert(0, k, rows[k].iloc[0])
         return made
@@ -335,17 +343,23 @@ def _durbin_levinson(rho: np.ndarray) -> list[float]:
     return out
 
 
-def kpss(blocks: Blocks, col: str) -> DataFrame:
+def kpss(blocks: Blocks, col: str, sums: DataFrame | None = None) -> DataFrame:
     """Level-stationarity test per series: squared partial sums over the long-run variance.
 
     The bandwidth follows Hobijn et al. (1998); p is read off the published table between its ends.
-    A first pass finds the bandwidths, a second sums the lag products up to the widest one.
+    ``sums`` may bring lag sums already made; they are made anew where a bandwidth is wider.
     """
     keys = list(blocks.keys)
     longest = blocks.df.agg(F.max("n_rows")).first()[0] or 1
-    first = cut(_lag_products(lag_sums(blocks, col, int(longest ** (2.0 / 9.0))), keys))
-    widest = first.agg(F.max(_bandwidth("n", "gamma"))).first()[0] or 0
-    gamma = first if widest < int(longest ** (2.0 / 9.0)) else _lag_products(lag_sums(blocks, col, widest), keys)
+    have = int(longest ** (2.0 / 9.0))
+    if sums is None:
+        sums = lag_sums(blocks, col, have)
+    else:
+        have = max(have, sums.agg(F.max("lag")).first()[0] or 0)
+    gamma = cut(_lag_products(sums, keys))
+    widest = gamma.agg(F.max(_bandwidth("n", "gamma"))).first()[0] or 0
+    if widest > have:
+        gamma = _lag_products(lag_sums(blocks, col, widest), keys)
     # Running sums inside blocks, then the total of the earlier blocks on top.
     mean = blocks.core().groupBy(*keys).agg(F.avg(col).alias("_mean"), F.max("n_rows").alias("n_rows"))
     centred = blocks.attach(mean)

@@ -11,7 +11,7 @@ from meterlens.session import cut
 
 # One ``percentile`` buffer holds every distinct value of its group: allow that only up to this many
 # values over all columns of a group.
-MAX_VALUES = 20_000_000
+MAX_VALUES = 2_000_000
 BINS = 1024
 
 

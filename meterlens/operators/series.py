@@ -112,13 +112,15 @@ def interpolate(blocks: Blocks, cols: tuple[str, ...] = tuple(S.MEASURES)) -> Bl
     bridged by the known values carried in from the neighbouring blocks.
     """
     df = blocks.df
-    w = blocks.window
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # Looking ahead runs over the reversed order, where the frame grows by one row at a time.
+    upto = Window.unboundedPreceding, Window.currentRow
+    past = blocks.window.rowsBetween(*upto)
+    future = Window.partitionBy(*blocks.group).orderBy(*[F.desc(c) for c in blocks.order]).rowsBetween(*upto)
     known = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("pos").alias("p"), F.col(c).alias("v")))
     marks = {}
     for c in cols:
         marks[f"_a_{c}"] = F.last(known(c), ignorenulls=True).over(past)
-        marks[f"_b_{c}"] = F.first(known(c), ignorenulls=True).over(future)
+        marks[f"_b_{c}"] = F.last(known(c), ignorenulls=True).over(future)
     df = df.withColumns(marks)
     if blocks.size:
         df = _bridge(blocks, df, cols)
@@ -133,17 +135,17 @@ def interpolate(blocks: Blocks, cols: tuple[str, ...] = tuple(S.MEASURES)) -> Bl
 
 def _bridge(blocks: Blocks, df: DataFrame, cols: tuple[str, ...]) -> DataFrame:
     """Where a block knows no value before or after a row, take it from the nearest other block."""
-    per = Window.partitionBy(*blocks.keys).orderBy("block")
+    per = Window.partitionBy(*blocks.keys)
     known = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("pos").alias("p"), F.col(c).alias("v")))
     edges = blocks.df.groupBy(*blocks.group).agg(
         *[F.max(known(c)).alias(f"_x_{c}") for c in cols], *[F.min(known(c)).alias(f"_n_{c}") for c in cols]
     )
-    back = per.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = per.rowsBetween(1, Window.unboundedFollowing)
+    back = per.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = per.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.select(
         *blocks.group,
         *[F.last(f"_x_{c}", ignorenulls=True).over(back).alias(f"_p_{c}") for c in cols],
-        *[F.first(f"_n_{c}", ignorenulls=True).over(ahead).alias(f"_f_{c}") for c in cols],
+        *[F.last(f"_n_{c}", ignorenulls=True).over(ahead).alias(f"_f_{c}") for c in cols],
     )
     joined = df.join(edges, blocks.group)
     joined = joined.withColumns(

@@ -43,7 +43,7 @@ def series_statistics(
 
     Series of fewer than 50 points are left out.
     """
-    clean = df.where(F.col(col).isNotNull()).select(*keys, *order, col)
+    clean = cut(df.where(F.col(col).isNotNull()).select(*keys, *order, col))
     blocks = seasonal_series(clean, keys, order, max_rows=max_rows)
     blocks = blocks.on(blocks.df.where(F.col("n_rows") >= MIN_REPORT_POINTS))
     sums = cut(explore.lag_sums(blocks, col, MAX_LAG))
@@ -58,7 +58,7 @@ def series_statistics(
     zeros = clean.groupBy(*keys).agg(F.avg((F.col(col) == 0).cast("double")).alias("zero_share"))
     return (
         explore.adf(blocks, col)
-        .join(explore.kpss(blocks, col).drop("n"), keys)
+        .join(explore.kpss(blocks, col, sums).drop("n"), keys)
         .join(explore.seasonal_period(sums, keys), keys)
         .join(lists, keys)
         .join(zeros, keys)

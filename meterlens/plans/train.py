@@ -51,18 +51,18 @@ def smoothed_series(readings: DataFrame, p: JobParams, *, max_rows: int | None =
     return smooth(blocks, p.ssa)
 
 
-def number_rows(lagged: Blocks, p: ForecastParams) -> Blocks:
+def number_rows(lagged: Blocks, source: Blocks, p: ForecastParams) -> Blocks:
     """Add the row's position among its segment's rows in (client, time) order and the split.
 
-    The order over clients comes from running totals over one row per client, so no task sees a
-    whole segment.
+    ``source`` holds the readings before the lags. The order over clients comes from running totals
+    over one row per client, so no task sees a whole segment.
     """
     first = p.maxlag
-    lengths = (
-        lagged.df.where(F.col("pos") == first)
-        if not lagged.size
-        else lagged.df.where((F.col("pos") == first) & F.col("is_core"))
-    ).select(S.SEGMENT, S.CLIENT, "n_rows")
+    # One reading stands for each series that has a usable row.
+    here = (F.col("pos") == first) & (F.col("n_rows") >= first + 2)
+    if source.size:
+        here &= F.col("is_core")
+    lengths = source.df.where(here).select(S.SEGMENT, S.CLIENT, "n_rows")
     usable = F.col("n_rows") - first - 1
     run = running_totals(lengths, [S.SEGMENT], [S.CLIENT], {"_upto": usable})
     totals = lengths.groupBy(S.SEGMENT).agg(F.sum(usable).alias("_n"))
@@ -95,7 +95,7 @@ def train(readings: DataFrame, p: JobParams = JobParams(), *, max_rows: int | No
     smoothed = smoothed_series(cut(prepare(readings)), p, max_rows=max_rows)
     # Read by the lag pass of the scaler, the fit and the forecast.
     smoothed = smoothed.on(cut(smoothed.df))
-    rows = number_rows(series.lag_arrays(smoothed, "v_filt", f), f)
+    rows = number_rows(series.lag_arrays(smoothed, "v_filt", f), smoothed, f)
     core = rows.core()
 
     train_rows = core.where("is_train")

@@ -57,8 +57,7 @@ def sniff_separator(spark: SparkSession, path: str, lines: int = 20) -> str:
 
 def sniff_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8, unless the bytes of the file are not valid UTF-8."""
-    text = spark.read.text(path)  # undecodable bytes turn into the replacement character
-    broken = text.where(F.col("value").contains("�")).limit(1).count()
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     return ENCODINGS[1] if broken else ENCODINGS[0]
 
 

@@ -49,7 +49,7 @@ def test_training_positions(skewed):
 
     def made(limit):
         b = series_blocks(skewed, series.HISTORY_REACH, series.FUTURE_REACH, keys=keyed, max_rows=limit)
-        return table(number_rows(series.lag_arrays(b, "volume", ForecastParams()), ForecastParams()).core().select("src_ord", "train_pos", "is_train"), "src_ord")
+        return table(number_rows(series.lag_arrays(b, "volume", ForecastParams()), b, ForecastParams()).core().select("src_ord", "train_pos", "is_train"), "src_ord")
 
     pd.testing.assert_frame_equal(made(None), made(100))
 
