@@ -25,6 +25,12 @@ def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def task_count(df: DataFrame) -> int:
+    """Partitions for steps that are heavy for the size of their input."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 @dataclass(frozen=True)
 class Blocks:
     """Readings with ``pos`` (0-based), ``n_rows`` (length of the series), ``block`` and ``is_core``."""
@@ -95,8 +101,7 @@ def series_blocks(
 
     # A fixed number of partitions: the windows are heavy for their size, so merging small shuffle
     # partitions would leave cores idle.
-    conf, context = df.sparkSession.conf, df.sparkSession.sparkContext
-    parts = max(int(conf.get("spark.sql.shuffle.partitions")), context.defaultParallelism)
+    parts = task_count(df)
     if n_hot == 0:
         return Blocks(numbered(df.repartition(parts, *keys)), tuple(keys), tuple(order), None)
 

@@ -315,10 +315,11 @@ def seasonal_period(sums: DataFrame, keys: Sequence[str], threshold: float = 0.2
 
 def autocorrelation(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     """ACF: lag products over the full-sample variance (the series is centred already)."""
-    whole = sums.where("lag = 0").select(*keys, F.col("sxx").alias("_v"), F.col("n").alias("n_rows"))
-    return sums.join(whole, list(keys)).select(
-        *keys, "lag", "n_rows", F.when(F.col("_v") > 0, F.col("sxy") / F.col("_v")).alias("acf")
-    )
+    # A series has one row per lag here.
+    per = Window.partitionBy(*keys)
+    at_zero = lambda c: F.max(F.when(F.col("lag") == 0, F.col(c))).over(per)
+    whole = sums.withColumns({"_v": at_zero("sxx"), "n_rows": at_zero("n")})
+    return whole.select(*keys, "lag", "n_rows", F.when(F.col("_v") > 0, F.col("sxy") / F.col("_v")).alias("acf"))
 
 
 def partial_autocorrelation(acf: DataFrame, keys: Sequence[str]) -> DataFrame:

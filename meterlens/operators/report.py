@@ -8,6 +8,7 @@ from datetime import date, datetime, time
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meterlens import schema as S
+from meterlens.operators.blocks import task_count
 from meterlens.operators.quantiles import exact_quantiles
 
 
@@ -48,6 +49,7 @@ def daily_calendar(df: DataFrame, keys: Sequence[str] = (S.CLIENT,)) -> DataFram
     """``daily`` with a row for every day between a key's first and last: sum 0, means null."""
     per_day = daily(df, keys)
     ends = per_day.groupBy(*keys).agg(F.min("day").alias("_a"), F.max("day").alias("_b"))
+    ends = ends.repartition(task_count(df), *keys, "_a")  # every row becomes many: spread them first
     slots = ends.select(*keys, F.expr("explode(sequence(_a, _b, interval 1 day))").alias("day"))
     return slots.join(per_day, [*keys, "day"], "left").withColumn(
         S.VOLUME, F.coalesce(S.VOLUME, F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterlens import schema as S
 from meterlens.config import ForecastParams
-from meterlens.operators.blocks import Blocks
+from meterlens.operators.blocks import Blocks, task_count
 from meterlens.operators.clean import keep_last
 
 HISTORY_REACH = 64  # rows back that smoothing, lags and residual windows need together
@@ -99,6 +99,9 @@ def hourly_grid(df: DataFrame, *, truncate: bool = False, step: str = "1 hour")
         df = df.withColumn(S.TS, F.date_trunc("hour", S.TS).cast("timestamp_ntz"))
     one = keep_last(df)
     ends = one.groupBy(S.CLIENT).agg(F.min(S.TS).alias("_a"), F.max(S.TS).alias("_b"))
+    # Every row becomes many: spread them first. A partitioning by the client alone would be taken for
+    # the one the aggregation left, whose small partitions may have been merged.
+    ends = ends.repartition(task_count(df), S.CLIENT, "_a")
     slots = ends.select(S.CLIENT, F.expr(f"explode(sequence(_a, _b, interval {step}))").alias(S.TS))
     return slots.join(one, [S.CLIENT, S.TS], "left").withColumn(
         "is_filled", F.col(S.VOLUME).isNull() & F.col(S.PRESSURE).isNull() & F.col(S.TEMPERATURE).isNull()
