@@ -25,6 +25,12 @@ def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row aggregate, as a scalar subquery (no join)."""
+    row = one_row.select(F.struct(*one_row.columns)).scalar()
+    return df.withColumn("_one", row).select(*df.columns, "_one.*")
+
+
 def task_count(df: DataFrame) -> int:
     """Partitions for steps that are heavy for the size of their input."""
     spark = df.sparkSession

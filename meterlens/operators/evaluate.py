@@ -101,7 +101,7 @@ def roc_points(
     counts = _score_counts(df, truth, score, overall).withColumn("down", -F.col("score"))
     run = running_totals(counts, [S.SEGMENT], ["down"], {"tp": F.col("pos"), "fp": F.col("neg")})
     totals = counts.groupBy(S.SEGMENT).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    points = run.join(totals, S.SEGMENT).select(
+    points = run.join(F.broadcast(totals), S.SEGMENT).select(
         S.SEGMENT,
         F.try_divide(F.col("fp").cast("double"), F.col("_n")).alias("fpr"),
         F.try_divide(F.col("tp").cast("double"), F.col("_p")).alias("tpr"),

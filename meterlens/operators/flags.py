@@ -54,7 +54,8 @@ def flag(
     where ``df`` carries its columns already.
     """
     if thresholds is not None:
-        df = df.join(thresholds, list(keys), "left")
+        few = list(keys) == [S.SEGMENT]  # one row per segment; other keys may be many
+        df = df.join(F.broadcast(thresholds) if few else thresholds, list(keys), "left")
     joined = df.withColumn("proba", normalised(score))
     by_score = F.col("proba") >= F.col("thr_if")
     by_z = F.col("z_abs") >= p.z_threshold

@@ -8,7 +8,7 @@ from datetime import date, datetime, time
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meterlens import schema as S
-from meterlens.operators.blocks import task_count
+from meterlens.operators.blocks import beside, task_count
 from meterlens.operators.quantiles import exact_quantiles
 
 
@@ -31,8 +31,8 @@ def source_counts(df: DataFrame, source: str = S.CLIENT) -> DataFrame:
     per = df.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("total"))
     sums = per.agg(F.sum("n").alias("summed"))
-    check = total.join(F.broadcast(sums)).select("total", (F.col("total") == F.col("summed")).alias("ok"))
-    return per.join(F.broadcast(check))
+    check = beside(total, sums).select("total", (F.col("total") == F.col("summed")).alias("ok"))
+    return beside(per, check)
 
 
 def daily(df: DataFrame, keys: Sequence[str] = (S.CLIENT,)) -> DataFrame:
@@ -95,7 +95,7 @@ def describe(
         )
         for c in cols
     ]
-    return moments.join(F.broadcast(quartiles)).select(F.inline(F.array(*rows)))
+    return beside(moments, quartiles).select(F.inline(F.array(*rows)))
 
 
 def volume_by_client(df: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def segment_shares(df: DataFrame) -> DataFrame:
         F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_clients")
     )
     total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return per.join(F.broadcast(total)).select(
+    return beside(per, total).select(
         S.SEGMENT, "n_rows", (F.col("n_rows") / F.col("_total")).alias("share"), "n_clients"
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from meterlens import schema as S
 from meterlens.config import SegmentParams
+from meterlens.operators.blocks import beside
 from meterlens.operators.density import density_clusters
 from meterlens.operators.quantiles import exact_quantiles
 from meterlens.session import cut
@@ -41,7 +42,7 @@ def _spread(profiles: DataFrame) -> DataFrame:
 def standardise(df: DataFrame, spread: DataFrame) -> DataFrame:
     """Add ``x0`` .. ``x3``, the features on the common scale."""
     scaled = {f"x{i}": (F.col(c) - F.col(f"_m{i}")) / F.col(f"_s{i}") for i, c in enumerate(FEATURES)}
-    joined = df.join(F.broadcast(spread)).withColumns(scaled)
+    joined = beside(df, spread).withColumns(scaled)
     return joined.drop(*spread.columns)
 
 
@@ -56,13 +57,13 @@ def cluster_centres(clustered: DataFrame) -> DataFrame:
 def centre_segments(centres: DataFrame) -> DataFrame:
     """A centre above the median 90th-percentile volume is industrial; if none is, the top one is."""
     th = exact_quantiles(centres, [], ["vol_p90"], [0.5]).select(F.get("vol_p90", F.lit(0)).alias("_th"))
-    above = centres.join(F.broadcast(th)).withColumn("_above", F.col("vol_p90") > F.col("_th"))
+    above = beside(centres, th).withColumn("_above", F.col("vol_p90") > F.col("_th"))
     pick = above.agg(
         F.bool_or("_above").alias("_any"),
         F.min_by("cluster", F.struct(-F.col("vol_p90"), F.col("cluster"))).alias("_top"),
     )
     industrial = F.when(F.col("_any"), F.col("_above")).otherwise(F.col("cluster") == F.col("_top"))
-    return above.join(F.broadcast(pick)).select(
+    return beside(above, pick).select(
         "cluster", *FEATURES, F.when(industrial, S.INDUSTRIAL).otherwise(S.COMMERCIAL).alias(S.SEGMENT)
     )
 
@@ -84,7 +85,9 @@ def nearest_centre(points: DataFrame, centres: DataFrame) -> DataFrame:
     best = F.array_min(
         F.transform("_c", lambda c: F.struct(distance(c).alias("d"), c["cluster"].alias("cluster"), c[S.SEGMENT].alias("s")))
     )
-    found = asked.join(packed, "_row").select(S.CLIENT, best.alias("_best"))
+    # A row of centres is at most a few hundred kilobytes.
+    side = F.broadcast(packed) if rows <= 100 else packed
+    found = asked.join(side, "_row").select(S.CLIENT, best.alias("_best"))
     return found.groupBy(S.CLIENT).agg(F.min("_best").alias("_best")).select(
         S.CLIENT, F.col("_best.s").alias(S.SEGMENT)
     )
@@ -104,7 +107,7 @@ def segment_profiles(profiles: DataFrame, p: SegmentParams = SegmentParams()) ->
     if not clustered.where(F.col("cluster").isNotNull()).limit(1).count():
         th = exact_quantiles(profiles, [], ["vol_p90"], [0.5]).select(F.get("vol_p90", F.lit(0)).alias("_th"))
         high = F.when(F.col("vol_p90") > F.col("_th"), S.INDUSTRIAL).otherwise(S.COMMERCIAL)
-        return clustered.join(F.broadcast(th)).withColumn(S.SEGMENT, high).drop("_th")
+        return beside(clustered, th).withColumn(S.SEGMENT, high).drop("_th")
     centres = cut(centre_segments(cluster_centres(clustered)))
     inside = clustered.where(F.col("cluster").isNotNull()).join(
         centres.select("cluster", S.SEGMENT), "cluster"

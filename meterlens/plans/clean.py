@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from meterlens import schema as S
 from meterlens.config import SegmentParams
 from meterlens.operators import clean, report, segment
+from meterlens.operators.blocks import beside
 from meterlens.operators.columns import front_columns
 from meterlens.session import cut
 from meterlens.sources.readers import typed_readings
@@ -33,7 +34,7 @@ def clean_readings(
     clamped = clean.clamp_negatives(imputed.drop("imputed"))
     segmented = cut(front_columns(segment.segment_clients(clamped, p)))
     parts = [clean.unparseable(typed), clean.duplicate_count(dated), clean.negative_counts(imputed)]
-    counts = parts[0].join(F.broadcast(parts[1])).join(F.broadcast(parts[2]))
+    counts = beside(beside(parts[0], parts[1]), parts[2])
     return CleanResult(
         segmented, counts, clean.imputation_report(imputed), report.clients_per_segment(segmented)
     )
