@@ -13,7 +13,6 @@ from meterlens.operators import clean, columns, flags, report
 from meterlens.operators.timestamps import parse_fixed_timestamp, parse_timestamp
 
 E, L, O = "readings_e", "readings_l", "readings_o"
-DAY = 24 * clean.HOUR
 
 _TEXT_DATES = """CASE event_id % 8
     WHEN 0 THEN {iso_t}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meterlens import schema as S
 from meterlens.catalog.registry import query
 from meterlens.catalog.reports import _round
 from meterlens.catalog.views import FIRST_L, cte, readings, table

@@ -5,7 +5,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from meterlens import schema as S
 from meterlens.catalog.views import readings
 from meterlens.config import AnomalyParams, ForecastParams, JobParams, SeverityParams
 from meterlens.operators import evaluate, flags, forecast, forest, series

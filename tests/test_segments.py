@@ -1,7 +1,6 @@
 """Density clustering against brute force, and the segment rules."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from meterlens.operators import density, segment

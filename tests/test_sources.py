@@ -4,9 +4,7 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
-from meterlens import schema as S
 from meterlens.sources import readers, writers
 
 TEXT = "Fecha{s}Cliente{s}Segmento{s}Presion{s}Temperatura{s}Volumen\n01-02-2024 11:00:00 PM{s}A ñ{s}Comercial{s}1.5{s}20{s}7\n2024-02-03{s}B{s}Industrial{s}x{s}21{s}8.5\n"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from meterlens import schema as S
 from meterlens.catalog.views import readings
-from meterlens.operators import clean, report
+from meterlens.operators import report
 from meterlens.sources.writers import ReadingsStore
 from meterlens.streaming.ingest import daily_stream, ingest, read_stream, upsert_stream
 from meterlens.streaming.score import score_stream
