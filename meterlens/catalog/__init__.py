@@ -1,4 +1,4 @@
 """All named queries."""
 
-from meterlens.catalog import cleaning, exploration, jobs, reports, scoring, segments, streams  # noqa: F401
+from meterlens.catalog import cleaning, exploration, files, jobs, reports, scoring, segments, streams  # noqa: F401
 from meterlens.catalog.registry import ORACLES, QUERIES  # noqa: F401
