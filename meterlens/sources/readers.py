@@ -31,7 +31,8 @@ def typed_readings(raw: DataFrame, client_hint: str | None = None, date_hint: st
         df = df.withColumn(S.TS, F.col(S.TS).cast("timestamp_ntz"))
     df = coerce_measures(df)
     if S.ORD not in df.columns:
-        # Partitions of a file scan are numbered in file order, so this follows the input order.
+        # Splits of one file are numbered in file order, so within a file this follows the input.
+        # Between files the order is fixed per plan but not theirs: bring ``src_ord`` where it matters.
         df = df.withColumn(S.ORD, F.monotonically_increasing_id())
     return df
 
