@@ -98,8 +98,9 @@ def exact_groups(
         "text_sha256",
     )
     suspects = tested.where("suspect").select("doc_id", "text_sha256")
-    groups = suspects.groupBy("text_sha256").agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+    # Written first: both sides of the join are then plain exchanges, whose large partitions Spark splits.
+    groups = cut(
+        suspects.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     )
     decided = suspects.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
