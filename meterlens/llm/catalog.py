@@ -1,4 +1,10 @@
 """All named queries of this folder."""
 
-from meterlens.llm import queries_chat, queries_dedup, queries_sketches, queries_tokens  # noqa: F401
+from meterlens.llm import (  # noqa: F401
+    queries_chat,
+    queries_dedup,
+    queries_quality,
+    queries_sketches,
+    queries_tokens,
+)
 from meterlens.llm.registry import ORACLES, QUERIES  # noqa: F401
