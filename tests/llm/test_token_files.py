@@ -28,7 +28,7 @@ def test_words_give_the_ids_of_the_whole_text():
 
 
 def test_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(wordmemo, "MEMO_WORDS", 10)
+    monkeypatch.setattr(wordmemo, "MEMO_PIECES", 10)
     mine, lib = wordmemo.WordEncoder(PATH), Tokenizer.from_file(PATH)
     for n in range(5):
         text = " ".join(f"w{n}x{i}" for i in range(30))
