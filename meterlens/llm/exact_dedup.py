@@ -1,6 +1,6 @@
 """Exact duplicates by two passes over Bloom filters.
 
-Pass one drops every hash into ``PROBES`` cells of a bit field and counts the hits of each cell. Cells hit at least
+Pass one drops every hash into two cells of a bit field and counts the hits of each cell. Cells hit at least
 twice make up the filter of possibly repeated hashes. Pass two asks that filter: a row with a cell that was hit only
 once has no equal anywhere and passes straight through; the others, the repeated rows and a few false alarms, shuffle
 on their full digest and are decided exactly.
@@ -14,17 +14,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from meterlens.llm.bitfilter import MAX_FILTER_BYTES, ask, build, cells_for
 from meterlens.llm.tables import hex_digest, lower_ascii
 from meterlens.session import cut
 
-#: Cells per hash.
-PROBES = 2
-#: Cells for each row and probe, before the bound.
-SPARE = 8
-#: Bits in one bitmap of Spark's bitmap functions.
-BITMAP_BITS = 32_768
-MAX_FILTER_BYTES = 64 << 20
-
 
 def normal_text(text: Column) -> Column:
     """Null counts as empty; A-Z become lower case."""
@@ -38,43 +31,6 @@ def digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ).withColumn("h", F.xxhash64("text_sha256"))
 
 
-def cells_for(rows: int, max_filter_bytes: int = MAX_FILTER_BYTES) -> int:
-    """Number of cells: a power of two, at least one bitmap and at most the bound."""
-    wanted = max(BITMAP_BITS, rows * PROBES * SPARE)
-    return min(1 << (wanted - 1).bit_length(), 1 << ((max_filter_bytes * 8).bit_length() - 1))
-
-
-def probes(h: Column, cells: int) -> list[Column]:
-    """The cells of a hash, numbered from 1."""
-    return [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(cells)) + 1 for i in range(PROBES)]
-
-
-def repeated_filter(hashes: DataFrame, cells: int) -> DataFrame:
-    """(bucket, bits): bitmaps of the cells that two or more rows hit; at most cells / 8 bytes in all."""
-    hits = hashes.select(F.explode(F.array_distinct(F.array(*probes(F.col("h"), cells)))).alias("cell"))
-    twice = hits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits")
-    )
-
-
-def _bit(bits: Column, cell: Column) -> Column:
-    position = F.bitmap_bit_position(cell)
-    byte = F.conv(F.hex(F.substring(bits, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
-
-
-def possibly_repeated(rows: DataFrame, seen_twice: DataFrame, cells: int, flag: str) -> DataFrame:
-    """``rows`` (with column ``h``) and whether every cell of the hash was hit at least twice."""
-    found = None
-    for i, cell in enumerate(probes(F.col("h"), cells)):
-        side = F.broadcast(seen_twice.select(F.col("bucket").alias(f"__b{i}"), F.col("bits").alias(f"__m{i}")))
-        rows = rows.join(side, F.bitmap_bucket_number(cell) == F.col(f"__b{i}"), "left")
-        here = _bit(F.col(f"__m{i}"), cell)
-        found = here if found is None else found & here
-    return rows.withColumn(flag, found).drop(*[f"__{x}{i}" for x in "bm" for i in range(PROBES)])
-
-
 def exact_groups(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -89,7 +45,7 @@ def exact_groups(
     """
     light = cut(digests(documents, id_col, text_col))
     cells = cells_for(light.count(), max_filter_bytes)
-    tested = possibly_repeated(light, repeated_filter(light, cells), cells, "suspect")
+    tested = ask(light, "h", build(light, "h", cells, least=2), cells, "suspect")
     single = tested.where(~F.col("suspect")).select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),
@@ -126,7 +82,7 @@ def drop_exact_copies(
     ).withColumn("h", F.xxhash64("__sha"))
     hashes = cut(rows.select("h"))
     cells = cells_for(hashes.count(), max_filter_bytes)
-    tested = possibly_repeated(rows, repeated_filter(hashes, cells), cells, "__suspect")
+    tested = ask(rows, "h", build(hashes, "h", cells, least=2), cells, "__suspect")
     single = tested.where(~F.col("__suspect")).select("__row")
     kept = (
         tested.where("__suspect")

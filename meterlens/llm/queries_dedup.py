@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterlens.llm import exact_dedup, simhash
+from meterlens.llm import exact_dedup, simhash, substring_dedup
 from meterlens.llm.registry import query
 from meterlens.llm.tables import table
 
@@ -20,6 +20,11 @@ FROM n
 """
 
 
+@query("op1_substring_dedup")
+def _(spark, sf):
+    return substring_dedup.repeat_digests(table(spark, sf, "documents"))
+
+
 @query("op10_exact_dedup", EXACT)
 def _(spark, sf):
     return exact_dedup.exact_groups(table(spark, sf, "documents"))

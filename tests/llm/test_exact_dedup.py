@@ -58,5 +58,5 @@ def test_only_suspects_shuffle_their_digest(docs):
     df = docs([(i, f"t{i}") for i in range(3000)] + [(5000, "t1")])
     light = X.cut(X.digests(df))
     cells = X.cells_for(light.count())
-    tested = X.possibly_repeated(light, X.repeated_filter(light, cells), cells, "s")
+    tested = X.ask(light, "h", X.build(light, "h", cells, least=2), cells, "s")
     assert 2 <= tested.where("s").count() <= 150
