@@ -88,12 +88,22 @@ def merged(a: Column, b: Column, keep_bits: int = KEEP_BITS) -> Column:
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, sketch): one row per input row; null texts are empty."""
+    return _keyed(documents, id_col, text_col).select(_id().alias("doc_id"), "text", "sketch")
+
+
+def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, text, sketch): the key is the doc_id, or ``NO_ID`` for null."""
     rows = documents.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     return with_sketch(rows, "text", "sketch")
 
 
+def _id() -> Column:
+    return F.when(F.col("key") != NO_ID, F.col("key"))
+
+
 def before(ids: DataFrame) -> DataFrame:
     """(key, n) with unique keys -> (key, prev_key, prev_n): the row before in ascending order, the last before the first.
 
@@ -120,11 +130,12 @@ def edited_and_next(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     Columns: doc_id, text, sketch, next_sketch, edited, edited_sketch. The edited text has its last
     ``floor(n / 4)`` of ``n`` code points replaced by as many first ones (or all) of the next document by ascending
-    doc_id; the first follows the last. Null texts are empty. A null doc_id counts as the smallest integer. Rows that
+    doc_id; the first follows the last. Null texts are empty. A null doc_id counts as the smallest integer (which is read as null). Rows that
     share a doc_id have the same next document; where several rows hold the next doc_id, the one with the least text
     hash is taken. An empty table gives an empty result.
     """
-    base = fingerprints(documents, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
+    # Both joins below use the same columns of it, so it is sketched and shuffled once.
+    base = _keyed(documents, id_col, text_col)
     ids = (
         documents.select(
             F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"),
@@ -148,7 +159,7 @@ def edited_and_next(documents: DataFrame, id_col: str = "doc_id", text_col: str
         .agg(F.min("next").alias("next"))
     )
     rows = base.join(heads, "key").select(
-        "doc_id",
+        _id().alias("doc_id"),
         "text",
         "sketch",
         F.col("next.next_sketch").alias("next_sketch"),
