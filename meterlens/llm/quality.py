@@ -36,8 +36,8 @@ FOLDS, HELD_OUT = 3, 1
 @dataclass(frozen=True)
 class QualityParams:
     #: Most positives and most unlabelled texts in the fit: those with the smallest hashes.
-    max_positive: int = 10_000
-    max_unlabelled: int = 20_000
+    max_positive: int = 5_000
+    max_unlabelled: int = 10_000
     epochs: int = 60
     batch: int = 2_000
     rate: float = 0.02
@@ -119,11 +119,12 @@ def with_features(rows: DataFrame, text_col: str) -> DataFrame:
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, p: QualityParams) -> QualityModel:
     """Minimises the non-negative risk with the logistic loss by stochastic steps with momentum and step scaling."""
-    everything = np.concatenate([positive, unlabelled])
-    mean, scale = everything.mean(axis=0), everything.std(axis=0)
+    n = len(positive) + len(unlabelled)
+    mean = (positive.sum(axis=0, dtype=np.float64) + unlabelled.sum(axis=0, dtype=np.float64)) / n
+    scale = np.sqrt((((positive - mean) ** 2).sum(axis=0) + ((unlabelled - mean) ** 2).sum(axis=0)) / n)
     scale = np.where(scale > 1e-9, scale, 1.0)
-    pos = np.clip((positive - mean) / scale, -CLIP, CLIP)
-    unl = np.clip((unlabelled - mean) / scale, -CLIP, CLIP)
+    pos = np.clip((positive - mean) / scale, -CLIP, CLIP).astype(np.float32)
+    unl = np.clip((unlabelled - mean) / scale, -CLIP, CLIP).astype(np.float32)
     rng = np.random.default_rng(p.seed)
     w, b = np.zeros(pos.shape[1]), float(np.log(prior / (1 - prior)))
     moment, square, step = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
@@ -190,9 +191,10 @@ def train(
         .select("id", F.lit(1).alias("kind"))
         .unionByName(chosen(ids, 2, params.max_unlabelled).select("id", F.lit(0).alias("kind")))
     )
-    rows = with_features(texts.join(F.broadcast(picked), "id"), "text").orderBy("kind", "id").toPandas()
+    rows = with_features(texts.join(F.broadcast(picked), "id"), "text").toPandas().sort_values(["kind", "id"])
     samples = {
-        k: np.concatenate([np.zeros(0), *rows.features[rows.kind == k]]).reshape(-1, N_FEATURES) for k in (0, 1)
+        k: np.concatenate([np.zeros(0, dtype=np.float32), *rows.features[rows.kind == k]]).reshape(-1, N_FEATURES)
+        for k in (0, 1)
     }
     prior = float(min(max(prior, 0.01), 0.99))
     if not len(samples[1]) or not len(samples[0]):
