@@ -3,7 +3,9 @@
 from meterlens.llm import (  # noqa: F401
     queries_chat,
     queries_dedup,
+    queries_packing,
     queries_quality,
+    queries_secrets,
     queries_sketches,
     queries_tokens,
 )
