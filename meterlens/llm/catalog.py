@@ -4,6 +4,7 @@ from meterlens.llm import (  # noqa: F401
     queries_chat,
     queries_dedup,
     queries_packing,
+    queries_pipeline,
     queries_quality,
     queries_secrets,
     queries_sketches,
