@@ -28,19 +28,20 @@ def unparseable(df: DataFrame, ts: str = S.TS) -> DataFrame:
     return df.agg(F.count_if(F.col(ts).isNull()).alias("n_unparseable"))
 
 
-def _pick(df: DataFrame, keys: Sequence[str], order: str, choose) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    row = choose(F.struct(*rest), F.col(order)).alias("_row")
-    return df.groupBy(*keys).agg(row).select(*keys, "_row.*").select(*df.columns)
+def _pick(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+    """The first row of each key in ``order``; one shuffle and one sort."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return df.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str] = (S.CLIENT, S.TS), order: str = S.ORD) -> DataFrame:
-    """One row per key, the first in input order. Copies are dropped before the shuffle too."""
-    return _pick(df, list(keys), order, F.min_by)
+    """One row per key, the first in input order; a null order comes last."""
+    return _pick(df, list(keys), F.col(order).asc_nulls_last())
 
 
 def keep_last(df: DataFrame, keys: Sequence[str] = (S.CLIENT, S.TS), order: str = S.ORD) -> DataFrame:
-    return _pick(df, list(keys), order, F.max_by)
+    """One row per key, the last in input order; a null order comes first."""
+    return _pick(df, list(keys), F.col(order).desc_nulls_last())
 
 
 def duplicate_count(df: DataFrame, keys: Sequence[str] = (S.CLIENT, S.TS)) -> DataFrame:
@@ -101,7 +102,5 @@ def upsert(stored: DataFrame, batch: DataFrame, keys: Sequence[str] = (S.CLIENT,
     both = stored.withColumn("_batch", F.lit(0)).unionByName(
         batch.withColumn("_batch", F.lit(1)), allowMissingColumns=True
     )
-    latest = _pick(
-        both.withColumn("_age", F.struct("_batch", S.ORD)), list(keys), "_age", F.max_by
-    )
+    latest = _pick(both.withColumn("_age", F.struct("_batch", S.ORD)), list(keys), F.desc("_age"))
     return drop_empty_rows(latest.select(*cols))

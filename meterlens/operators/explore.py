@@ -104,9 +104,11 @@ def jarque_bera(m: DataFrame) -> DataFrame:
 
 
 def dagostino(m: DataFrame) -> DataFrame:
-    """Omnibus K2 from the transformed skewness and kurtosis (D'Agostino-Pearson, Anscombe-Glynn)."""
-    n, skew, kurt = F.col("n").cast("double"), F.col("skew"), F.col("kurtosis")
-    m = m.where(F.col("n") >= 8)
+    """Omnibus K2 from the transformed skewness and kurtosis (D'Agostino-Pearson, Anscombe-Glynn).
+
+    Null for variables of fewer than 8 values, which keep their other columns.
+    """
+    n, skew, kurt = F.when(F.col("n") >= 8, F.col("n").cast("double")), F.col("skew"), F.col("kurtosis")
     y = skew * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
     beta2 = 3 * (n**2 + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
     w2 = F.sqrt(2 * (beta2 - 1)) - 1

@@ -58,9 +58,18 @@ def _narrowed(
     group = [*keys, "_col"]
     pairs = F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).alias("_v")) for c in cols])
     values = data.select(*keys, F.inline(pairs)).where(F.col("_v").isNotNull())
+    # NaN sorts above all numbers. Ranks that fall among infinite values or NaN are solved at once; the search is for
+    # the finite ones in between.
+    special = F.col("_v").isin(float("-inf"), float("inf")) | F.isnan("_v")
+    finite = F.when(~special, F.col("_v"))
 
     ends = values.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        F.count(F.lit(1)).alias("_n"),
+        F.min(finite).alias("_lo"),
+        F.max(finite).alias("_hi"),
+        F.count_if(F.col("_v") == float("-inf")).alias("_low"),
+        F.count_if((F.col("_v") == float("inf"))).alias("_high"),
+        F.count_if(F.isnan("_v")).alias("_nan"),
     )
     place = F.array(
         *[
@@ -70,14 +79,27 @@ def _narrowed(
     )
     targets = cut(ends.select("*", F.inline(place)))
     ranks = F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h"))))
+    below_nan = F.col("_n") - F.col("_nan")
+    known = (
+        F.when(F.col("_rank") < F.col("_low"), F.lit(float("-inf")))
+        .when(F.col("_rank") >= below_nan, F.lit(float("nan")))
+        .when(F.col("_rank") >= below_nan - F.col("_high"), F.lit(float("inf")))
+    )
+    wanted = targets.select(*group, "_lo", "_hi", "_low", "_high", "_nan", "_n", ranks.alias("_rank")).distinct()
     bounds = cut(
-        targets.select(*group, "_lo", "_hi", ranks.alias("_rank")).distinct().withColumn(
-            "_below", F.lit(0).cast("long")
+        wanted.select(
+            *group, F.coalesce(known, "_lo").alias("_lo"), F.coalesce(known, "_hi").alias("_hi"), "_rank",
+            F.col("_low").alias("_below"),
         )
     )
+    values = values.where(~special)
     n_bounds = n_keys * len(cols) * len(probs) * 2
 
-    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    # The lowest value falls in the first bin and the highest in the last, so every pass narrows the bounds. Halves
+    # keep the difference of very large bounds finite.
+    apart = F.col("_hi") - F.col("_lo")
+    halves = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+    share = F.when(apart < float("inf"), (F.col("_v") - F.col("_lo")) / apart).otherwise(halves)
     bin_no = F.least(F.floor(share * BINS), F.lit(BINS - 1).cast("long"))
     upto = (
         Window.partitionBy(*group, "_rank")
@@ -104,9 +126,22 @@ def _narrowed(
         targets.withColumns({"_r0": F.floor("_h"), "_r1": F.ceil("_h")})
         .join(at("_r0", "_v0"), [*group, "_r0"])
         .join(at("_r1", "_v1"), [*group, "_r1"])
-        .withColumn("_q", F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_h") - F.col("_r0")))
+        .withColumn(
+            "_q",
+            F.when(F.col("_v0") == F.col("_v1"), F.col("_v0")).otherwise(
+                (F.col("_r1") - F.col("_h")) * F.col("_v0") + (F.col("_h") - F.col("_r0")) * F.col("_v1")
+            ),
+        )
     )
     pick = lambda c, i: F.max(F.when((F.col("_col") == c) & (F.col("_i") == i), F.col("_q")))
-    return solved.groupBy(*keys).agg(
-        *[F.array(*[pick(c, i) for i in range(len(probs))]).alias(c) for c in cols]
+    # A column without values has null, as it has from ``percentile``.
+    some = lambda c: F.max(F.when(F.col("_col") == c, F.lit(True)))
+    made = solved.groupBy(*keys).agg(
+        *[F.when(some(c), F.array(*[pick(c, i) for i in range(len(probs))])).alias(c) for c in cols]
+    )
+    if not keys:
+        return made
+    every = data.select(*keys).distinct()
+    return every.join(made, [every[k].eqNullSafe(made[k]) for k in keys], "left").select(
+        *[every[k] for k in keys], *cols
     )

@@ -37,7 +37,7 @@ def source_counts(df: DataFrame, source: str = S.CLIENT) -> DataFrame:
 
 def daily(df: DataFrame, keys: Sequence[str] = (S.CLIENT,)) -> DataFrame:
     """Volume sum and mean pressure and temperature per key and calendar day."""
-    day = F.date_trunc("day", S.TS).cast("timestamp_ntz").alias("day")
+    day = F.to_date(S.TS).cast("timestamp_ntz").alias("day")  # the reading's own day, whatever the session's zone
     return df.groupBy(*keys, day).agg(
         F.sum(S.VOLUME).alias(S.VOLUME),
         F.avg(S.PRESSURE).alias(S.PRESSURE),

@@ -96,7 +96,8 @@ def hourly_grid(df: DataFrame, *, truncate: bool = False, step: str = "1 hour")
     reading to its full hour first. Filled rows carry the keys and ``is_filled``.
     """
     if truncate:
-        df = df.withColumn(S.TS, F.date_trunc("hour", S.TS).cast("timestamp_ntz"))
+        midnight = F.to_date(S.TS).cast("timestamp_ntz")  # no session zone, so no hour is skipped
+        df = df.withColumn(S.TS, F.timestamp_add("HOUR", F.hour(S.TS), midnight))
     one = keep_last(df)
     ends = one.groupBy(S.CLIENT).agg(F.min(S.TS).alias("_a"), F.max(S.TS).alias("_b"))
     # Every row becomes many: spread them first. A partitioning by the client alone would be taken for

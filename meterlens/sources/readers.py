@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from meterlens import schema as S
 from meterlens.operators.columns import coerce_measures, normalise_headers
@@ -42,24 +42,33 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UT
     return spark.read.option("header", True).csv(path, sep=sep, encoding=encoding)
 
 
-def sniff_separator(spark: SparkSession, path: str, lines: int = 20) -> str:
-    """The separator that cuts the first lines into the same, largest number of fields."""
-    head = [r.value for r in spark.read.text(path).limit(lines).collect()]
-    if not any(line.strip() for line in head):
+def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(separator, encoding), decided on all lines in one scan.
+
+    The separator cuts all lines into the same, largest number of fields; if none does, the one that every line has
+    most often. The encoding is UTF-8, unless the bytes of a line are not valid UTF-8.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    count = lambda sep: F.char_length("value") - F.char_length(F.replace(F.col("value"), F.lit(sep), F.lit("")))
+    row = lines.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        *[f(count(sep)).alias(f"{n}{i}") for i, sep in enumerate(SEPARATORS) for n, f in (("lo", F.min), ("hi", F.max))],
+    ).first()
+    if not row["n"]:
         raise ValueError(f"no data in {path}")
+    low, high = ([row[f"{n}{i}"] for i in range(len(SEPARATORS))] for n in ("lo", "hi"))
+    # The earliest wins a tie.
+    best = max(range(len(SEPARATORS)), key=lambda i: (low[i] == high[i] > 0, low[i]))
+    return SEPARATORS[best] if low[best] else SEPARATORS[0], ENCODINGS[0] if row["utf8"] else ENCODINGS[1]
 
-    def fit(sep: str) -> tuple[bool, int]:
-        counts = {line.count(sep) for line in head if line.strip()}
-        return (len(counts) == 1 and counts != {0}, min(counts))
 
-    best = max(SEPARATORS, key=fit)  # the earliest wins a tie
-    return best if fit(best)[1] > 0 else SEPARATORS[0]
+def sniff_separator(spark: SparkSession, path: str) -> str:
+    return sniff(spark, path)[0]
 
 
 def sniff_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8, unless the bytes of the file are not valid UTF-8."""
-    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
-    return ENCODINGS[1] if broken else ENCODINGS[0]
+    return sniff(spark, path)[1]
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +78,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         return read_parquet(spark, path)
     if not lower.endswith((".csv", ".txt")):
         raise ValueError(f"unsupported file type: {path}")
-    return read_csv(spark, path, sniff_separator(spark, path), sniff_encoding(spark, path))
+    return read_csv(spark, path, *sniff(spark, path))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -79,13 +88,38 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def read_client_files(spark: SparkSession, folder: str, fmt: str = "csv") -> DataFrame:
     """A folder with one file per client; the client is the file name without its ending.
 
-    Files of one format are read by one scan. Parquet files may differ in columns: their union is
-    taken, absent ones are null.
+    Files may differ in columns and in their order: the union by name is taken, absent columns are null. CSV files
+    are read by one scan for each distinct header, Parquet files by one scan.
     """
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read.option("mergeSchema", True)
-    df = reader.format(fmt).option("pathGlobFilter", f"*.{fmt}").load(folder)
-    name = F.regexp_replace(F.col("_metadata.file_name"), rf"\.{fmt}$", "")
-    return df.withColumn(S.CLIENT, F.url_decode(name))
+    name = _plain(F.regexp_replace(F.col("_metadata.file_name"), rf"\.{fmt}$", ""))
+    if fmt != "csv":
+        df = spark.read.option("mergeSchema", True).format(fmt).option("pathGlobFilter", f"*.{fmt}").load(folder)
+        return df.withColumn(S.CLIENT, name)
+    return union_sources(
+        [
+            spark.read.option("header", True).csv(files).withColumn(S.CLIENT, name)
+            for files in _files_by_header(spark, folder)
+        ]
+    )
+
+
+def _plain(path: Column) -> Column:
+    """File names stand percent-encoded in the metadata; a plus sign is itself there."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def _files_by_header(spark: SparkSession, folder: str) -> list[list[str]]:
+    """The CSV files of a folder, grouped by their first line, in the order of their names."""
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).select(
+        _plain(F.col("_metadata.file_path")).alias("path"),
+        F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+    )
+    # Lines of a split are numbered in file order, and a file's first split starts at 0.
+    heads = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "line").alias("head"))
+    grouped = heads.where(F.trim("head") != "").groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("files"))
+    return sorted([r.files for r in grouped.collect()])
 
 
 def union_sources(frames: Mapping[str, DataFrame] | list[DataFrame]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from meterlens import schema as S
 from meterlens.functions.names import safe_suffix
@@ -13,6 +13,9 @@ from meterlens.operators.columns import to_external
 
 
 def write_csv(df: DataFrame, path: str, *, external: bool = True, mode: str = "error") -> None:
+    """CSV with a header; lists, maps and structures are written as JSON text."""
+    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    df = df.withColumns({c: F.to_json(c) for c in nested})
     (to_external(df) if external else df).write.mode(mode).option("header", True).csv(path)
 
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from meterlens import schema as S
-from meterlens.operators.clean import drop_missing
+from meterlens.operators.clean import drop_missing, keep_last
 from meterlens.operators.columns import coerce_measures, normalise_headers, require_columns
 from meterlens.operators.timestamps import parse_timestamp
 from meterlens.sources.writers import ReadingsStore
 
 CLOCK = "event_time"
+EPOCH = "1970-01-01 00:00:00"
 
 
 def read_stream(
@@ -41,11 +42,18 @@ def ingest(raw: DataFrame, delay: str = "2 days") -> DataFrame:
     if isinstance(df.schema[S.TS].dataType, T.StringType):
         df = df.withColumn(S.TS, parse_timestamp(S.TS))
     df = drop_missing(require_columns(coerce_measures(df)))
-    # A watermark needs a zoned timestamp; the readings' own time stays as it is.
-    marked = df.withColumn(CLOCK, F.col(S.TS).cast("timestamp")).withWatermark(CLOCK, delay)
+    # A watermark needs an instant: the one at which a clock in UTC shows the reading's own time, whatever the
+    # session's zone, so that days and watermarks never move with it.
+    since = F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.col(S.TS))
+    marked = df.withColumn(CLOCK, F.timestamp_micros(since)).withWatermark(CLOCK, delay)
     return marked.dropDuplicatesWithinWatermark([S.CLIENT, S.TS])
 
 
+def _own_time(instant: Column) -> Column:
+    """The time that a clock in UTC shows at an instant."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.lit(EPOCH).cast("timestamp_ntz"))
+
+
 def daily_stream(readings: DataFrame) -> DataFrame:
     """Volume sum and mean pressure and temperature per client and day, emitted once a day is closed."""
     day = F.window(CLOCK, "1 day")
@@ -56,20 +64,20 @@ def daily_stream(readings: DataFrame) -> DataFrame:
             F.avg(S.PRESSURE).alias(S.PRESSURE),
             F.avg(S.TEMPERATURE).alias(S.TEMPERATURE),
         )
-        .select(S.CLIENT, F.col("window.start").cast("timestamp_ntz").alias("day"), *S.MEASURES)
+        .select(S.CLIENT, _own_time(F.col("window.start")).alias("day"), *S.MEASURES)
     )
 
 
 def upsert_stream(readings: DataFrame, store_path: str, checkpoint: str) -> StreamingQuery:
     """Merge every micro-batch into the readings store, newest row wins.
 
-    Rows of a batch get ``src_ord`` from the batch number, so a later batch beats an earlier one.
+    A later batch beats an earlier one; within a batch the later row wins, and ``src_ord`` is its place there.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         cols = [c for c in S.READINGS.names if c in batch.columns and c != S.ORD]
-        order = F.lit(batch_id << 40) + F.monotonically_increasing_id() % (1 << 40)
-        ReadingsStore(batch.sparkSession, store_path).upsert(batch.select(*cols, order.alias(S.ORD)))
+        placed = batch.select(*cols, F.monotonically_increasing_id().alias(S.ORD))
+        ReadingsStore(batch.sparkSession, store_path).upsert(keep_last(placed))
 
     return (
         readings.writeStream.foreachBatch(merge)
