@@ -55,6 +55,32 @@ def _(spark, sf):
     return raw.select("event_id", parse_timestamp("raw").alias("ts"))
 
 
+# Shapes of real files beyond the seconds, each with the time it stands for.
+_RICH = [
+    ("date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS')", "ts"),
+    ("concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS\"), 'Z')", "date_trunc('millisecond', ts)"),
+    ("concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), '+05:00')", "date_trunc('second', ts)"),
+    ("date_format(ts, 'yyyy/MM/dd HH:mm')", "date_trunc('minute', ts)"),
+    ("date_format(ts, 'dd.MM.yyyy HH:mm:ss')", "date_trunc('second', ts)"),
+    ("date_format(ts, 'd/M/yyyy H:mm')", "date_trunc('minute', ts)"),
+    ("date_format(ts, 'yyyy-M-d')", "date_trunc('day', ts)"),
+    ("concat(date_format(ts, 'dd/MM/yyyy hh:mm:ss '), lower(substr(date_format(ts, 'a'), 1, 1)), '. m.')", "date_trunc('second', ts)"),
+    ("date_format(ts, 'dd-MM-yyyy HH:mm:ss,SSS')", "date_trunc('millisecond', ts)"),
+    ("concat('day ', date_format(ts, 'd'))", "NULL"),
+]
+
+
+@query(
+    "parse_rich_timestamps",
+    f"""SELECT event_id, CAST(CASE {' '.join(f'WHEN event_id % {len(_RICH)} = {i} THEN {sql}' for i, (_, sql) in enumerate(_RICH))}
+        END AS TIMESTAMP) AS ts FROM events""",
+)
+def _(spark, sf):
+    shapes = " ".join(f"WHEN event_id % {len(_RICH)} = {i} THEN {text}" for i, (text, _) in enumerate(_RICH))
+    raw = table(spark, sf, "events").selectExpr("event_id", f"CASE {shapes} END AS raw")
+    return raw.select("event_id", parse_timestamp("raw").alias("ts"))
+
+
 @query(
     "parse_fixed_timestamps",
     "SELECT event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts FROM events",
@@ -221,7 +247,7 @@ def _prior(view: str, seconds: int) -> str:
         RANGE BETWEEN {seconds * 1_000_000} PRECEDING AND 1 PRECEDING)"""
 
 
-_IMPUTED_E = f"""{cte(E)}, found AS (SELECT *, {_prior(E, 10800)} AS m FROM {E}),
+IMPUTED_E = f"""{cte(E)}, found AS (SELECT *, {_prior(E, 10800)} AS m FROM {E}),
     fixed AS (SELECT *, pressure = 0 AND volume > 0 AND m IS NOT NULL AS imputed FROM found)"""
 
 
@@ -236,7 +262,7 @@ def _(spark, sf):
 
 @query(
     "impute_pressure",
-    f"""WITH {_IMPUTED_E} SELECT client_id, ts, imputed,
+    f"""WITH {IMPUTED_E} SELECT client_id, ts, imputed,
         round(CASE WHEN imputed THEN m ELSE pressure END, 6) AS pressure FROM fixed""",
 )
 def _(spark, sf):
@@ -246,7 +272,7 @@ def _(spark, sf):
 
 @query(
     "imputation_report",
-    f"""WITH {_IMPUTED_E} SELECT client_id, count(*) AS n_imputed, round(avg(m), 6) AS mean_imputed
+    f"""WITH {IMPUTED_E} SELECT client_id, count(*) AS n_imputed, round(avg(m), 6) AS mean_imputed
         FROM fixed WHERE imputed GROUP BY client_id""",
 )
 def _(spark, sf):

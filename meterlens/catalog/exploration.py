@@ -259,6 +259,10 @@ def _(spark, sf):
     return plan.client_report(_first_l(spark, sf))
 
 
-@query("sample_rows")
+@query(
+    "sample_rows",
+    f"WITH {cte(E)} SELECT client_id, src_ord, volume FROM {E} ORDER BY md5(concat_ws('|', client_id, CAST(src_ord AS VARCHAR), '42')) LIMIT 1000",
+)
 def _(spark, sf):
-    return explore.sample_rows(readings(spark, sf, E), 1000)
+    drawn = explore.sample_rows(readings(spark, sf, E), 1000, key=("client_id", "src_ord"))
+    return drawn.select("client_id", "src_ord", "volume")

@@ -70,6 +70,18 @@ _DAILY = """SELECT client_id, date_trunc('day', ts)::TIMESTAMP AS day, sum(volum
 
 @query(
     "daily_rollup",
+    f"""WITH {cte(E)}, d AS ({_DAILY.format(view=E)}),
+        g AS (SELECT client_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS day FROM d GROUP BY client_id)
+        SELECT client_id, day, round(coalesce(volume, 0), 4) AS volume, round(pressure, 4) AS pressure,
+            round(temperature, 4) AS temperature FROM g LEFT JOIN d USING (client_id, day)""",
+)
+def _(spark, sf):
+    """Every calendar day between a client's first and last, empty ones too."""
+    return _round(report.daily_calendar(readings(spark, sf, E)))
+
+
+@query(
+    "days_with_readings",
     f"""WITH {cte(E)}, d AS ({_DAILY.format(view=E)}) SELECT client_id, day, round(volume, 4) AS volume,
         round(pressure, 4) AS pressure, round(temperature, 4) AS temperature FROM d""",
 )
@@ -77,6 +89,29 @@ def _(spark, sf):
     return _round(report.daily(readings(spark, sf, E)))
 
 
+@query(
+    "client_history",  # the small shift keeps the values off the rounding ties
+    f"""WITH {cte(E)}, h AS (SELECT client_id, date_trunc('hour', ts)::TIMESTAMP AS ts, volume, src_ord FROM {E}),
+        k AS (SELECT client_id, ts, arg_max(volume, src_ord) AS volume FROM h GROUP BY ALL),
+        g AS (SELECT client_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM k GROUP BY client_id),
+        j AS (SELECT client_id, ts, volume, row_number() OVER (PARTITION BY client_id ORDER BY ts) AS i FROM g LEFT JOIN k USING (client_id, ts)),
+        m AS (SELECT *, max(CASE WHEN volume IS NOT NULL THEN i END) OVER (PARTITION BY client_id ORDER BY ts) AS a,
+            min(CASE WHEN volume IS NOT NULL THEN i END) OVER (PARTITION BY client_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM j),
+        v AS (SELECT m.client_id, m.ts, CASE WHEN m.volume IS NOT NULL THEN m.volume
+            ELSE x.volume + (y.volume - x.volume) * (m.i - m.a) / (m.b - m.a) END AS volume
+            FROM m LEFT JOIN j x ON x.client_id = m.client_id AND x.i = m.a LEFT JOIN j y ON y.client_id = m.client_id AND y.i = m.b),
+        d AS (SELECT client_id, date_trunc('day', ts) AS day, sum(volume) AS volume FROM v GROUP BY 1, 2)
+        SELECT client_id, round(0.0000123 + sum(volume), 3) AS total_volume, round(0.0000123 + avg(volume), 3) AS avg_daily_volume,
+            round(0.0000123 + quantile_cont(volume, 0.9), 3) AS p90_daily_volume FROM d GROUP BY client_id""",
+)
+def _(spark, sf):
+    """Hourly grid, gaps filled, days, key figures."""
+    made = report.client_history(readings(spark, sf, E))
+    return made.select(
+        "client_id", *[F.round(F.col(c) + 0.0000123, 3).alias(c) for c in ("total_volume", "avg_daily_volume", "p90_daily_volume")]
+    )
+
+
 @query(
     "history_kpis",
     f"""WITH {cte(E)}, d AS ({_DAILY.format(view=E)}),

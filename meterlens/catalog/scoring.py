@@ -8,10 +8,11 @@ from meterlens import schema as S
 from meterlens.catalog.registry import query
 from meterlens.catalog.reports import PREDICTED_CTE, _round, predicted
 from meterlens.catalog.views import FIRST_L, cte, readings
-from meterlens.config import AnomalyParams, ForecastParams
+from meterlens.config import AnomalyParams, ForecastParams, SsaParams
 from meterlens.operators import clean, evaluate, flags, forecast, quantiles, series
 from meterlens.operators.blocks import series_blocks
 from meterlens.operators.ordering import running_totals
+from meterlens.operators.ssa import smooth
 
 E, L, O = "readings_e", "readings_l", "readings_o"
 P = ForecastParams()
@@ -30,15 +31,22 @@ _LAGS = ", ".join(
     [f"lag(volume, {k}) OVER {_W} AS vf_lag{k}" for k in range(P.lags_v)]
     + [f"lag({c}, {k}) OVER {_W} AS {c[0]}_lag{k}" for k in range(P.lags_exo) for c in ("pressure", "temperature")]
 )
-_SUPERVISED = f"""SELECT * FROM (SELECT *, row_number() OVER {_W} - 1 AS pos,
+SUPERVISED = f"""SELECT * FROM (SELECT *, row_number() OVER {_W} - 1 AS pos,
         count(*) OVER (PARTITION BY segment, client_id) AS n_rows, lead(volume) OVER {_W} AS volume_next, {_LAGS}
     FROM {{view}}) WHERE pos >= 24 AND pos <= n_rows - 2"""
 _LAG_NAMES = series.lag_names(P)
 
 
+@query("smooth_full_rank", f"WITH {cte(E)} SELECT client_id, ts, round(volume, 5) AS v_filt FROM {E}")
+def _(spark, sf):
+    """With as many components as the window is long, smoothing gives the series back."""
+    made = smooth(_blocks(spark, sf), SsaParams(rank=SsaParams().window)).core()
+    return made.select("client_id", "ts", F.round("v_filt", 5).alias("v_filt"))
+
+
 @query(
     "lag_table",
-    f"WITH {cte(E)} SELECT client_id, ts, volume_next, {', '.join(_LAG_NAMES)} FROM ({_SUPERVISED.format(view=E)})",
+    f"WITH {cte(E)} SELECT client_id, ts, volume_next, {', '.join(_LAG_NAMES)} FROM ({SUPERVISED.format(view=E)})",
 )
 def _(spark, sf):
     df = series.lag_columns(series.lag_arrays(_blocks(spark, sf), "volume", P).core(), P)
@@ -47,7 +55,7 @@ def _(spark, sf):
 
 @query(
     "lag_table_short_clients",
-    f"WITH {cte(O)} SELECT client_id, ts, src_ord, volume_next, vf_lag23, t_lag11 FROM ({_SUPERVISED.format(view=O)})",
+    f"WITH {cte(O)} SELECT client_id, ts, src_ord, volume_next, vf_lag23, t_lag11 FROM ({SUPERVISED.format(view=O)})",
 )
 def _(spark, sf):
     df = series.lag_columns(series.lag_arrays(_blocks(spark, sf, O), "volume", P).core(), P)
@@ -60,7 +68,7 @@ _SHOWN = [(a, b) for a, b in _DESIGN.pairs if a in ("vf_lag0", "vf_lag5", "p_lag
 
 @query(
     "polynomial_features",
-    f"""WITH {cte(E)}, t AS ({_SUPERVISED.format(view=E)}) SELECT client_id, ts,
+    f"""WITH {cte(E)}, t AS ({SUPERVISED.format(view=E)}) SELECT client_id, ts,
         {', '.join(f'round({a} * {b}, 4) AS {a}_x_{b}' for a, b in _SHOWN)} FROM t""",
 )
 def _(spark, sf):
@@ -75,7 +83,7 @@ _SCALED = ["vf_lag0", "vf_lag1", "p_lag0", "t_lag0"]
 
 @query(
     "robust_scaler",
-    f"""WITH {cte(E)}, t AS ({_SUPERVISED.format(view=E)}) SELECT segment, """
+    f"""WITH {cte(E)}, t AS ({SUPERVISED.format(view=E)}) SELECT segment, """
     + ", ".join(
         f"round(median({c}), 5) AS center_{c}, round(CASE WHEN quantile_cont({c}, 0.75) = quantile_cont({c}, 0.25) THEN 1"
         f" ELSE quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END, 5) AS scale_{c}"
@@ -89,7 +97,7 @@ def _(spark, sf):
 
 @query(
     "standard_scaler",
-    f"""WITH {cte(E)}, t AS ({_SUPERVISED.format(view=E)}) SELECT segment, """
+    f"""WITH {cte(E)}, t AS ({SUPERVISED.format(view=E)}) SELECT segment, """
     + ", ".join(
         f"round(avg({c}), 5) AS center_{c}, round(CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END, 5) AS scale_{c}"
         for c in [*_SCALED, "vf_lag0 * p_lag1"]
@@ -150,7 +158,7 @@ def _(spark, sf):
 
 @query(
     "training_positions",
-    f"""WITH {cte(E)}, t AS ({_SUPERVISED.format(view=E)}),
+    f"""WITH {cte(E)}, t AS ({SUPERVISED.format(view=E)}),
         o AS (SELECT segment, client_id, ts, row_number() OVER (PARTITION BY segment ORDER BY client_id, ts, src_ord) - 1 AS train_pos,
             count(*) OVER (PARTITION BY segment) AS n FROM t)
         SELECT client_id, ts, train_pos, train_pos < greatest(1, CAST(floor(n * (1 - 0.4)) AS BIGINT)) AS is_train,

@@ -17,6 +17,7 @@ from meterlens import schema as S
 from meterlens.operators.ordering import running_totals
 
 MAX_ROWS = 1_000_000
+TASK_ROWS = 2_000_000
 BROADCAST_ROWS = 100_000
 
 
@@ -31,10 +32,11 @@ def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("_one", row).select(*df.columns, "_one.*")
 
 
-def task_count(df: DataFrame) -> int:
-    """Partitions for steps that are heavy for the size of their input."""
+def task_count(df: DataFrame, rows: int = 0) -> int:
+    """Partitions for steps that are heavy for the size of their input; ``rows`` is its measured row count."""
     spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(least, -(-rows // TASK_ROWS))
 
 
 @dataclass(frozen=True)
@@ -45,6 +47,8 @@ class Blocks:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     size: int | None  # rows per block, None when every series is one block
+    back: int = 0  # rows of margin before and after a block that later windows may still use
+    ahead: int = 0
 
     @property
     def group(self) -> list[str]:
@@ -58,6 +62,14 @@ class Blocks:
     def on(self, df: DataFrame) -> Blocks:
         return replace(self, df=df)
 
+    def using(self, back: int, ahead: int) -> Blocks:
+        """What is left of the margins after windows of this reach; cut series with less are an error."""
+        if self.size and (back > self.back or ahead > self.ahead):
+            raise ValueError(
+                f"windows reach {back} rows back and {ahead} ahead, the margins are {self.back} and {self.ahead}"
+            )
+        return replace(self, back=max(0, self.back - back), ahead=max(0, self.ahead - ahead))
+
     def core(self) -> DataFrame:
         """The rows without the margins."""
         rows = self.df.where("is_core") if self.size else self.df
@@ -73,11 +85,12 @@ class Blocks:
         return self.on(self.df.join(side.drop("n_rows"), self.group))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[DataFrame, int]:
-    """Keys with more than ``max_rows`` rows, and how many there are."""
+def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[DataFrame, int, int]:
+    """Keys with more than ``max_rows`` rows, how many there are, and the number of all rows."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    hot = counted.where(F.col("n_rows") > max_rows)
-    return hot, hot.count()
+    big = F.col("n_rows") > max_rows
+    row = counted.agg(F.count_if(big).alias("hot"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows")).first()
+    return counted.where(big), row["hot"], row["rows"]
 
 
 def series_blocks(
@@ -92,7 +105,7 @@ def series_blocks(
     """Number the rows of each series; ``back``/``ahead`` is how far later windows will reach."""
     keys, order = list(keys), list(order)
     max_rows = max_rows or MAX_ROWS
-    hot, n_hot = hot_keys(df, keys, max_rows)
+    hot, n_hot, rows = hot_keys(df, keys, max_rows)
     whole = Window.partitionBy(*keys)
 
     def numbered(rows: DataFrame) -> DataFrame:
@@ -105,21 +118,21 @@ def series_blocks(
             }
         )
 
-    # A fixed number of partitions: the windows are heavy for their size, so merging small shuffle
+    # As many partitions as the rows need: the windows are heavy for their size, so merging small shuffle
     # partitions would leave cores idle.
-    parts = task_count(df)
+    parts = task_count(df, rows)
     if n_hot == 0:
-        return Blocks(numbered(df.repartition(parts, *keys)), tuple(keys), tuple(order), None)
+        return Blocks(numbered(df.repartition(parts, *keys)), tuple(keys), tuple(order), None, back, ahead)
 
     size = max(max_rows // 4, 1)
     side = checked_broadcast(hot, n_hot)
     cold = numbered(df.join(side.drop("n_rows"), keys, "left_anti"))
     # A cold series is numbered whole, then takes part in the same block layout without margins.
     cold = _spread(cold.drop("block", "is_core"), size, back, ahead)
-    ranked = running_totals(df.join(side, keys), keys, order, {"pos": F.lit(1)})
+    ranked = running_totals(df.join(side, keys), keys, order, {"pos": F.lit(1)}, parts=parts)
     split = _spread(ranked.withColumn("pos", F.col("pos") - 1), size, back, ahead)
     both = cold.unionByName(split).repartition(parts, *keys, "block")
-    return Blocks(both, tuple(keys), tuple(order), size)
+    return Blocks(both, tuple(keys), tuple(order), size, back, ahead)
 
 
 def _spread(df: DataFrame, size: int, back: int, ahead: int) -> DataFrame:

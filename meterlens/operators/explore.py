@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterlens import schema as S
 from meterlens.functions.normal import normal_logcdf, normal_quantile
-from meterlens.operators.blocks import Blocks
+from meterlens.operators.blocks import Blocks, series_blocks
 from meterlens.operators.columns import categorical_columns
 from meterlens.operators.ordering import running_totals
 from meterlens.operators.quantiles import exact_quantiles
@@ -76,8 +76,8 @@ def median_profile(
 
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str] = (S.CLIENT, S.TS, S.ORD), seed: int = 42) -> DataFrame:
-    """A repeatable sample of ``n`` rows: those with the smallest seeded hash of their key."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """A repeatable sample of ``n`` rows: those with the smallest seeded MD5 of their key's text."""
+    return df.orderBy(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))), *key).limit(n)
 
 
 # --- normality -------------------------------------------------------------------------------
@@ -289,6 +289,7 @@ def lag_sums(blocks: Blocks, col: str, lags: int) -> DataFrame:
 
     if not group:
         raise ValueError("series need a key")
+    blocks.using(0, lags)
     # Centring first keeps the sums of squares well conditioned.
     mean = blocks.core().groupBy(*keys).agg(F.avg(col).alias("_mean"), F.max("n_rows").alias("n_rows"))
     centred = blocks.attach(mean).df.withColumn("x", F.col(col) - F.col("_mean"))
@@ -362,7 +363,12 @@ def kpss(blocks: Blocks, col: str, sums: DataFrame | None = None) -> DataFrame:
     gamma = cut(_lag_products(sums, keys))
     widest = gamma.agg(F.max(_bandwidth("n", "gamma"))).first()[0] or 0
     if widest > have:
-        gamma = _lag_products(lag_sums(blocks, col, widest), keys)
+        wide = blocks
+        if blocks.size and widest > blocks.ahead:
+            # The bandwidth reaches past the margins: cut the series anew with wider ones.
+            rows = blocks.core().drop("pos", "n_rows")
+            wide = series_blocks(rows, 0, widest, keys=keys, order=blocks.order, max_rows=4 * blocks.size)
+        gamma = _lag_products(lag_sums(wide, col, widest), keys)
     # Running sums inside blocks, then the total of the earlier blocks on top.
     mean = blocks.core().groupBy(*keys).agg(F.avg(col).alias("_mean"), F.max("n_rows").alias("n_rows"))
     centred = blocks.attach(mean)

@@ -10,17 +10,18 @@ from meterlens.session import cut
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Mapping[str, Column]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Mapping[str, Column], *, parts: int | None = None
 ) -> DataFrame:
     """Inclusive running sums of ``totals`` per ``keys`` in ``order``.
 
     ``order`` must be unique within a key. Rows are range-partitioned by (keys, order), so a key that
     holds most of the table is spread over many even partitions; each partition sums its own rows and
     a small table (one row per key and partition) carries the sum of the earlier ones. The
-    range-partitioned copy is written out first, so partition numbers survive a lost executor.
+    range-partitioned copy is written out first, so partition numbers survive a lost executor. ``parts`` is the
+    number of partitions where the caller has measured the rows, else the session's shuffle partitions.
     """
     keys, order = list(keys), list(order)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prepared = df.withColumns({f"_w_{name}": expr for name, expr in totals.items()})
     ranged = cut(
         prepared.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id())

@@ -8,8 +8,9 @@ from datetime import date, datetime, time
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meterlens import schema as S
-from meterlens.operators.blocks import beside, task_count
+from meterlens.operators.blocks import beside, series_blocks, task_count
 from meterlens.operators.quantiles import exact_quantiles
+from meterlens.operators.series import hourly_grid, interpolate
 
 
 def one_client(df: DataFrame, client: str) -> DataFrame:
@@ -70,6 +71,13 @@ def history_kpis(df: DataFrame, keys: Sequence[str] = (S.CLIENT,)) -> DataFrame:
     )
 
 
+def client_history(df: DataFrame, keys: Sequence[str] = (S.CLIENT,)) -> DataFrame:
+    """``history_kpis`` over full hours: readings on the hourly grid of their client, gaps filled linearly."""
+    grid = hourly_grid(df, truncate=True).drop("is_filled")
+    filled = interpolate(series_blocks(grid, 0, 0, keys=(S.CLIENT,), order=(S.TS,)))
+    return history_kpis(filled.core(), keys)
+
+
 def describe(
     df: DataFrame,
     cols: Sequence[str] = (S.VOLUME, S.TEMPERATURE, S.PRESSURE),

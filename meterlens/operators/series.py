@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterlens import schema as S
-from meterlens.config import ForecastParams
+from meterlens.config import ForecastParams, JobParams
 from meterlens.operators.blocks import Blocks, task_count
 from meterlens.operators.clean import keep_last
 
-HISTORY_REACH = 64  # rows back that smoothing, lags and residual windows need together
-FUTURE_REACH = 24  # rows ahead: smoothing and the target
+
+
+def reach(p: JobParams = JobParams()) -> tuple[int, int]:
+    """Rows back and ahead that smoothing, lags, residual windows and the target need together."""
+    back = p.ssa.window - 1 + p.forecast.maxlag + max(5, p.anomaly.roll_window)
+    return back, p.ssa.window - 1 + 1
+
+
+HISTORY_REACH, FUTURE_REACH = reach()
 
 
 def lag_names(p: ForecastParams) -> list[str]:
@@ -40,7 +47,8 @@ def lag_arrays(blocks: Blocks, smoothed: str, p: ForecastParams) -> Blocks:
     if blocks.size:  # the outer rows of a margin lack lags
         inside &= (F.size("_vf") == p.lags_v) & (F.size("_p") == p.lags_exo)
     exo = F.flatten(F.zip_with("_p", "_t", lambda a, b: F.array(a, b)))
-    return blocks.on(df.where(inside).withColumn("base", F.concat("_vf", exo)).drop("_vf", "_p", "_t"))
+    made = df.where(inside).withColumn("base", F.concat("_vf", exo)).drop("_vf", "_p", "_t")
+    return blocks.using(p.maxlag, 1).on(made)
 
 
 def lag_columns(df: DataFrame, p: ForecastParams) -> DataFrame:
@@ -78,13 +86,13 @@ def residual_features(
             "dr_abs": F.abs(r - before(resid)),
         }
     )
-    return blocks.on(df.drop("_z"))
+    return blocks.using(width, 0).on(df.drop("_z"))
 
 
 def next_label(blocks: Blocks, label: str) -> Blocks:
     """The label of the client's next reading; 0 where there is none."""
     following = F.lead(label).over(blocks.window)
-    return blocks.on(
+    return blocks.using(0, 1).on(
         blocks.df.withColumn("label_next", F.coalesce(following.cast("int"), F.lit(0)))
     )
 

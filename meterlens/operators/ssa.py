@@ -117,7 +117,7 @@ def smooth(
     df = blocks.df
     if blocks.size:
         df = blocks.attach(_series_taps(blocks, col, p)).df.select(*df.columns, "taps")
-    return blocks.on(df.groupBy(*blocks.group).applyInArrow(filtered, layout))
+    return blocks.using(size - 1, size - 1).on(df.groupBy(*blocks.group).applyInArrow(filtered, layout))
 
 
 def _series_taps(blocks: Blocks, col: str, p: SsaParams) -> DataFrame:

@@ -70,12 +70,13 @@ def score_client(
 ) -> DataFrame:
     """One client's flags over a date range, on the hourly grid its first reading starts.
 
-    Hours without a reading are not scored. The range is applied before scoring, so lags start
+    Missing measures of hours with a reading are filled along the grid; hours without one are not scored. The range is applied before scoring, so lags start
     inside it, unless ``filter_after``.
     """
     mine = report.one_client(readings, client).where(F.col(S.TS).isNotNull())
     modal = report.modal_segment(mine)
-    grid = series.hourly_grid(mine).where(~F.col("is_filled")).drop("is_filled")
+    hours = series_blocks(series.hourly_grid(mine), 0, 0, keys=(S.CLIENT,), order=(S.TS,))
+    grid = series.interpolate(hours).core().where(~F.col("is_filled")).drop("is_filled", "pos", "n_rows")
     ranged = first is not None and last is not None
     if ranged and not filter_after:
         grid = report.date_range(grid, first, last)

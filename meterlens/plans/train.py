@@ -45,9 +45,7 @@ def prepare(readings: DataFrame) -> DataFrame:
 
 def smoothed_series(readings: DataFrame, p: JobParams, *, max_rows: int | None = None) -> Blocks:
     """Blocks with ``v_filt``, ready for every later window of the job."""
-    blocks = series_blocks(
-        readings, series.HISTORY_REACH, series.FUTURE_REACH, keys=KEYS, max_rows=max_rows
-    )
+    blocks = series_blocks(readings, *series.reach(p), keys=KEYS, max_rows=max_rows)
     return smooth(blocks, p.ssa)
 
 

@@ -88,12 +88,16 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def read_client_files(spark: SparkSession, folder: str, fmt: str = "csv") -> DataFrame:
     """A folder with one file per client; the client is the file name without its ending.
 
+    A file may be a folder of that name with part files, as Spark writes it.
+
     Files may differ in columns and in their order: the union by name is taken, absent columns are null. CSV files
     are read by one scan for each distinct header, Parquet files by one scan.
     """
-    name = _plain(F.regexp_replace(F.col("_metadata.file_name"), rf"\.{fmt}$", ""))
+    name = _plain(F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)\.{fmt}(?:/part-[^/]*)?$", 1))
     if fmt != "csv":
-        df = spark.read.option("mergeSchema", True).format(fmt).option("pathGlobFilter", f"*.{fmt}").load(folder)
+        df = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).format(fmt).option(
+            "pathGlobFilter", f"*.{fmt}"
+        ).load(folder)
         return df.withColumn(S.CLIENT, name)
     return union_sources(
         [
@@ -110,7 +114,8 @@ def _plain(path: Column) -> Column:
 
 def _files_by_header(spark: SparkSession, folder: str) -> list[list[str]]:
     """The CSV files of a folder, grouped by their first line, in the order of their names."""
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).select(
+    found = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(folder)
+    lines = found.select(
         _plain(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_block_start").alias("at"),
         F.monotonically_increasing_id().alias("line"),

@@ -16,7 +16,9 @@ def write_csv(df: DataFrame, path: str, *, external: bool = True, mode: str = "e
     """CSV with a header; lists, maps and structures are written as JSON text."""
     nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     df = df.withColumns({c: F.to_json(c) for c in nested})
-    (to_external(df) if external else df).write.mode(mode).option("header", True).csv(path)
+    out = (to_external(df) if external else df).write.mode(mode).option("header", True)
+    # Microseconds are kept; the writer's own default stops at milliseconds.
+    out.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").csv(path)
 
 
 def write_by_segment(df: DataFrame, path: str, fmt: str = "csv", mode: str = "error") -> None:

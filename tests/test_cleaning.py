@@ -107,3 +107,11 @@ def test_upsert_newest_wins(spark):
     new = spark.createDataFrame([("a", T0, 9.0, 0), ("a", T0, 10.0, 1), ("c", T0, 3.0, 2)], cols)
     got = sorted((r.client_id, r.volume) for r in clean.upsert(old, new).collect())
     assert got == [("a", 10.0), ("b", 2.0), ("c", 3.0)]
+
+
+def test_null_order_and_few_values(spark):
+    """A row without an order loses against one that has it, and keeps its values if it is alone."""
+    rows = [("a", 1, 1.0, None), ("a", 1, 2.0, 5), ("b", 1, 3.0, None)]
+    df = spark.createDataFrame(rows, "client_id string, ts int, volume double, src_ord long")
+    for keep in (clean.keep_first, clean.keep_last):
+        assert sorted((r.client_id, r.volume) for r in keep(df).collect()) == [("a", 2.0), ("b", 3.0)]

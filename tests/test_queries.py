@@ -6,7 +6,6 @@ from compare import compare, duck
 import __spark_entry__ as entry
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-JOBS = {"train_standard_scaler", "add_upload", "evaluate_roc_curve", "stream_scores", "score_one_client"}
 
 
 @pytest.fixture(scope="module")
@@ -24,10 +23,10 @@ def test_query_matches_sql(spark, sf, con, name):
     assert diff == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - JOBS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).limit(1).count() == 1
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() >= 0
+    assert entry.entry(spark).count() > 0

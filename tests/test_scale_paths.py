@@ -106,3 +106,57 @@ def test_scaler_by_narrowing(skewed):
     train = series.lag_arrays(b, "volume", p).core()
     direct, narrow = (forecast.fit_scaler(train, p, column_rows=n).first() for n in (10**6, 50))
     assert np.allclose(direct["center"], narrow["center"]) and np.allclose(direct["scale"], narrow["scale"])
+
+
+@pytest.mark.parametrize("limit", [None, 20])
+def test_quantiles_of_any_doubles(spark, limit):
+    """Infinite and huge values, NaN, columns and groups without values; every size switch gives the same."""
+    inf, nan = float("inf"), float("nan")
+    values = {
+        "a": [1.0, inf, 2.0, -inf, 5.0] * 10, "b": [None] * 30, "c": [1e308, -1e308, 0.0, 5e-324] * 10,
+        "d": [nan, 1.0, 2.0, inf] * 10, "e": [7.0] * 40, "f": [3.0],
+    }
+    rows = [(k, v, 1.0 if k != "f" else None) for k, vs in values.items() for v in vs]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.k: r for r in exact_quantiles(df, ["k"], ["x", "y"], probs, max_values=limit).collect()}
+    want = {r.k: r for r in exact_quantiles(df, ["k"], ["x", "y"], probs).collect()}
+    assert {k: str(r) for k, r in got.items()} == {k: str(r) for k, r in want.items()}
+    assert got["b"].x is None and got["b"].y == [1.0] * 5 and got["a"].x[-1] == inf and set(got) == set(values)
+
+
+def test_wide_windows_on_cut_clients(skewed):
+    """Margins follow from the parameters, so wider windows change nothing for clients that are cut."""
+    from meterlens.config import AnomalyParams, JobParams, SsaParams
+
+    p = JobParams(ssa=SsaParams(window=48), anomaly=AnomalyParams(roll_window=168))
+
+    def made(limit):
+        b = smooth(series_blocks(skewed, *series.reach(p), max_rows=limit), p.ssa)
+        lagged = series.lag_arrays(b, "v_filt", p.forecast)
+        lagged = lagged.on(lagged.df.withColumn("resid", F.col("volume_next") - F.get("base", F.lit(0))))
+        out = series.residual_features(lagged, roll_window=168, first_pos=p.forecast.maxlag).core()
+        return table(out.select("client_id", "src_ord", "v_filt", "r_mean", "r_std", "z_abs", "dz_abs"), "client_id", "src_ord")
+
+    plain, cut = made(None), made(300)
+    assert list(plain.src_ord) == list(cut.src_ord)
+    for c in ("v_filt", "r_mean", "r_std", "z_abs", "dz_abs"):
+        assert np.allclose(plain[c], cut[c], atol=1e-8), c
+
+
+def test_margins_that_are_too_narrow_are_refused(skewed):
+    narrow = series_blocks(skewed, 5, 5, max_rows=100)
+    with pytest.raises(ValueError, match="margins"):
+        series.lag_arrays(narrow, "volume", ForecastParams())
+
+
+def test_kpss_reaches_past_the_margins(spark):
+    walk = np.cumsum(np.random.default_rng(0).normal(size=6000))
+    df = spark.createDataFrame(pd.DataFrame({"series": 0, "i": range(6000), "x": walk}))
+
+    def made(limit):
+        blocks = series_blocks(df, 12, 12, keys=("series",), order=("i",), max_rows=limit)
+        return explore.kpss(blocks, "x").first()
+
+    plain, cut = made(None), made(800)
+    assert plain.lags > 12 and cut.lags == plain.lags and abs(cut.kpss_stat - plain.kpss_stat) < 1e-9
