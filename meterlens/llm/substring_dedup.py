@@ -6,7 +6,8 @@ the corpus itself, so it cannot be broadcast whole; it is cut into shards that m
 1. *Anchors.* Of the 8-word shingles of a window the one with the least hash is its anchor. Equal windows have equal
    anchors, so a window can only be repeated in documents that share its anchor. All windows of an anchor lie in its
    *context*, at most 42 words to either side. Consecutive windows mostly share one, so a text has about one anchor in
-   22 words. Each is written down with a hash of its context; the words stay where they are.
+   22 words. Each is written down with a hash of its context; the words stay where they are. A context that a text
+   repeats is one row with all its places.
 2. *Sharing.* Anchors of one document alone, nearly all, are dropped by a map-side aggregation. Of equal contexts the
    first document keeps its own and all later ones are repeated whole, decided by a hash join.
 3. *Automata.* Where an anchor has different contexts (the ends of passages, edited copies), these are gathered in
@@ -121,13 +122,18 @@ def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
-    """(anchor, ctx, id, th, start, end): every anchor of (id, th, text) with its context's hash and bounds."""
+    """(anchor, ctx, id, th, size, starts): the anchors of each (id, th, text), a row for each distinct context.
+
+    ``size`` is the context's number of words, ``starts`` are its places in the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             ids, ths = (batch.column(k).to_numpy() for k in (0, 1))
-            made: list[list[np.ndarray]] = [[] for _ in range(6)]
+            made: list[list[np.ndarray]] = [[] for _ in range(5)]
+            starts: list[np.ndarray] = [np.zeros(0, dtype=np.int32)]
+            counts: list[np.ndarray] = [np.zeros(1, dtype=np.int32)]
             for k, text in enumerate(batch.column(2)):
                 words = word_hashes(text.as_py())
                 n = len(words)
@@ -138,61 +144,70 @@ def occurrences(documents: DataFrame) -> DataFrame:
                 start, end = np.maximum(p + SHINGLE - WINDOW, 0), np.minimum(p + WINDOW, n)
                 # The place of the anchor belongs to the context.
                 ctx = _mixed(rolling.runs(start, end) + (p - start).astype(np.uint64))
-                full = lambda v, m=len(p): np.full(m, v, dtype=np.int64)
-                for out, column in zip(made, (h, ctx, full(ids[k]), full(ths[k]), start, end)):
+                distinct, first, of, times = np.unique(ctx, return_index=True, return_inverse=True, return_counts=True)
+                full = lambda v, m=len(distinct): np.full(m, v, dtype=np.int64)
+                for out, column in zip(made, (h[first], distinct, full(ids[k]), full(ths[k]), (end - start)[first])):
                     out.append(column)
-            kinds = [np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32]
+                starts.append(start[np.argsort(of, kind="stable")].astype(np.int32))
+                counts.append(times.astype(np.int32))
+            kinds = [np.uint64, np.uint64, np.int64, np.int64, np.int32]
             columns = [np.concatenate([np.zeros(0, dtype=t), *m]).astype(t) for t, m in zip(kinds, made)]
             columns[:2] = [c.view(np.int64) for c in columns[:2]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "ctx", "id", "th", "start", "end"])
+            offsets = np.cumsum(np.concatenate(counts), dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(starts)))
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, columns), lists], ["anchor", "ctx", "id", "th", "size", "starts"]
+            )
 
     return documents.select("id", "th", "text").mapInArrow(
-        run, "anchor long, ctx long, id long, th long, start int, end int"
+        run, "anchor long, ctx long, id long, th long, size int, starts array<int>"
     )
 
 
 def _contexts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Words of the wanted contexts (id, th, anchor, start, end, crowded).
+    """Words of the wanted contexts (id, th, anchor, size, starts, crowded).
 
-    A row per context (words as bytes of 64-bit hashes), or for crowded anchors a row per window (its hash).
+    A row per context (words as bytes of 64-bit hashes), or for crowded anchors a row per window (its hash), with the
+    places of either.
     """
     per_text = wanted.groupBy("id", "th").agg(
-        F.collect_list(F.struct("anchor", "start", "end", "crowded")).alias("wanted")
+        F.collect_list(F.struct("anchor", "size", "starts", "crowded")).alias("wanted")
     )
     rows = documents.select("id", "th", "text").join(per_text, ["id", "th"]).select("id", "th", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        names = ["anchor", "id", "th", "start", "words", "window"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+        names = ["anchor", "id", "th", "starts", "words", "window"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int64()]
         for batch in batches:
             for i, th, text, asked in zip(*(batch.column(k) for k in range(4))):
                 words = word_hashes(text.as_py())
                 rolling = Rolling(words, powers)
                 i, th, out = i.as_py(), th.as_py(), []
                 for w in asked.as_py():
-                    a, b = w["start"], w["end"]
+                    starts = np.array(w["starts"], dtype=np.int32)
+                    a = int(starts[0])
                     if not w["crowded"]:
-                        out.append((w["anchor"], i, th, a, words[a:b].tobytes(), None))
+                        out.append((w["anchor"], i, th, starts, words[a : a + w["size"]].tobytes(), None))
                         continue
-                    at = np.arange(a, b - WINDOW + 1)
-                    hashes = rolling.runs(at, at + WINDOW).view(np.int64).tolist()
-                    out += [(w["anchor"], i, th, s, None, h) for s, h in zip(at.tolist(), hashes)]
+                    inside = np.arange(w["size"] - WINDOW + 1)
+                    hashes = rolling.runs(a + inside, a + inside + WINDOW).view(np.int64).tolist()
+                    out += [(w["anchor"], i, th, starts + k, None, h) for k, h in zip(inside.tolist(), hashes)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), kinds)], names
                 )
 
-    return rows.mapInArrow(run, "anchor long, id long, th long, start int, words binary, window long")
+    return rows.mapInArrow(run, "anchor long, id long, th long, starts array<int>, words binary, window long")
 
 
 def _match_shard(shard: pd.DataFrame) -> pd.DataFrame:
     """Spans of each context that stand in contexts of smaller ids of the same shard."""
     automaton, found = SuffixAutomaton(), []
-    for _, same in shard.sort_values(["id", "th", "start"]).groupby("id", sort=True):
+    for _, same in shard.groupby("id", sort=True):
         new = [np.frombuffer(w, dtype=np.uint64).tolist() for w in same.words]
-        for th, start, words in zip(same.th, same.start, new):
+        for th, starts, words in zip(same.th, same.starts, new):
             for a, b in spans_above(automaton.matches(words), WINDOW):
-                found.append((same.id.iloc[0], th, start + a, start + b))
+                found += [(same.id.iloc[0], th, start + a, start + b) for start in starts]
         for words in {tuple(w) for w in new}:
             if automaton.matches(words)[-1] < len(words):
                 automaton.add(words)
@@ -233,8 +248,10 @@ def repeated_spans(
     # Equal contexts: the first document's stands, later ones are repeated whole.
     again = classes.where("first_id < last_id").select("anchor", "ctx", "first_id")
     whole = (
-        busy.join(again, ["anchor", "ctx"]).where("id > first_id and end - start >= %d" % WINDOW)
-        .select("id", "th", "start", "end")
+        busy.join(again, ["anchor", "ctx"])
+        .where((F.col("id") > F.col("first_id")) & (F.col("size") >= WINDOW))
+        .select("id", "th", F.explode("starts").alias("start"), "size")
+        .select("id", "th", "start", (F.col("start") + F.col("size")).cast("int").alias("end"))
     )
     # Different contexts of one anchor: those of each first document are compared.
     crowds = classes.where("mixed").groupBy("anchor").agg((F.count(F.lit(1)) > crowd).alias("crowded"))
@@ -243,7 +260,7 @@ def repeated_spans(
         busy.where("differ")
         .join(mixed, ["anchor", "ctx"])
         .where("id = first_id")
-        .select("id", "th", "anchor", "start", "end", "crowded")
+        .select("id", "th", "anchor", "size", "starts", "crowded")
     )
     owners = _maybe_in(keyed, "th", wanted, "__maybe", max_filter_bytes).where("__maybe")
     contexts = cut(_contexts(owners, wanted))
@@ -256,19 +273,19 @@ def repeated_spans(
             lambda rows: _match_shard(rows), "id long, th long, start int, end int"
         )
     )
-    windows = contexts.where("window is not null").select("window", "id", "th", "start")
+    windows = contexts.where("window is not null").select("window", "id", "th", "starts")
     least = cut(windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most"))
     crowded = (
         windows.join(least, "window")
         .where("id > least")
-        .select("id", "th", "start", (F.col("start") + WINDOW).cast("int").alias("end"))
+        .select("id", "th", F.explode("starts").alias("start"))
+        .withColumn("end", (F.col("start") + WINDOW).cast("int"))
     )
+    # Written apart: the joins' stages then hold nothing that keeps Spark from splitting a hot key.
+    spans = cut(whole).unionByName(matched).unionByName(cut(crowded))
     return cut(
-        whole.unionByName(matched)
-        .unionByName(crowded)
-        .distinct()
-        .groupBy("id", "th")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+        spans.groupBy("id", "th")
+        .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     )
 
 
