@@ -19,7 +19,6 @@ from meterlens import schema as S
 from meterlens.config import JobParams
 from meterlens.operators import flags, forest
 from meterlens.operators.forecast import Design
-from meterlens.operators.ssa import apply_taps, filter_taps, lag_products
 from meterlens.plans.train import Models
 
 STATE = "last_ts timestamp_ntz, seen bigint, v array<double>, p array<double>, t array<double>, r array<double>, z double"
@@ -29,43 +28,70 @@ SCORED = (
 )
 
 
-def _smooth_tail(v: np.ndarray, size: int, rank: int) -> np.ndarray:
-    n = len(v)
+def smooth_windows(windows: np.ndarray, size: int, rank: int, last: int) -> np.ndarray:
+    """The ``last`` smoothed values of every window (rows of equal length), all in one set of matrices.
+
+    The same values as ``ssa.smooth`` gives a series that is just the window.
+    """
+    n = windows.shape[1]
     if n <= size:
-        return v
-    pos = np.arange(n)
-    products = lag_products(v, pos, np.ones(n, dtype=bool), n, size)
-    return apply_taps(v, pos, n, filter_taps(products, n, size, rank))
+        return windows[:, n - last :]
+    columns = n - size + 1
+    trajectory = np.lib.stride_tricks.sliding_window_view(windows, columns, axis=1)  # windows x size x columns
+    _, vectors = np.linalg.eigh(trajectory @ trajectory.transpose(0, 2, 1))
+    lead = vectors[:, :, -rank:]
+    rebuilt = lead @ (lead.transpose(0, 2, 1) @ trajectory)
+    out = np.empty((len(windows), last))
+    for k, t in enumerate(range(n - last, n)):
+        i = np.arange(max(0, t - columns + 1), min(size, t + 1))
+        out[:, k] = rebuilt[:, i, t - i].mean(axis=1)
+    return out
 
 
 def stream_residuals(readings: DataFrame, models: Models, p: JobParams = JobParams()) -> DataFrame:
     """Forecast residuals and their features, one row per reading that has a successor."""
     f, design = p.forecast, Design.of(p.forecast)
-    keep, width = 2 * p.ssa.window - 1, max(5, p.anomaly.roll_window)
+    size, rank = p.ssa.window, p.ssa.rank
+    keep, width = max(2 * size - 1, f.lags_v), max(5, p.anomaly.roll_window)
     raw = {}
     for row in models.forecast.collect():
         slope = np.asarray(row["coef"]) / np.asarray(row["scale"])
         raw[row[S.SEGMENT]] = (slope, row["intercept"] - slope @ np.asarray(row["center"]))
-    size, rank = p.ssa.window, p.ssa.rank
+
+    def forecasts(segment: str, seen: int, v: np.ndarray, pr: np.ndarray, te: np.ndarray, m: int) -> np.ndarray:
+        """Forecasts of the last ``m`` values of ``v`` from those before each; NaN where too few stand before."""
+        hats = np.full(m, np.nan)
+        at = np.arange(len(v) - m, len(v))
+        start = np.maximum(0, at - keep)
+        able = np.flatnonzero(seen + np.arange(m) > f.maxlag)
+        for n in np.unique((at - start)[able]):
+            ks = able[(at - start)[able] == n]
+            windows = v[at[ks, None] - n + np.arange(n)]
+            lags = smooth_windows(windows, size, rank, f.lags_v)[:, ::-1]
+            ago = at[ks, None] - len(v) - 1 - np.arange(f.lags_exo)  # from the end: the buffers differ in length
+            exo = np.stack([pr[ago], te[ago]], axis=2).reshape(len(ks), -1)
+            slope, constant = raw[segment]
+            hats[ks] = design.matrix(np.hstack([lags, exo])) @ slope + constant
+        return hats
 
     def advance(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         client, segment = key
-        batch = pd.concat(list(frames)).sort_values(S.TS)
-        if state.exists:
-            last_ts, seen, v, pr, te, rs, z = state.get
-            v, pr, te, rs = list(v), list(pr), list(te), list(rs)
-        else:
-            last_ts, seen, v, pr, te, rs, z = None, 0, [], [], [], [], None
-        out = []
-        for ts, vol, pres, temp in zip(batch[S.TS], batch[S.VOLUME], batch[S.PRESSURE], batch[S.TEMPERATURE]):
-            if last_ts is not None and ts <= last_ts:
-                continue  # late: its successors are scored already
-            if seen > f.maxlag and segment in raw:
-                lags = _smooth_tail(np.asarray(v), size, rank)[::-1][: f.lags_v]
-                exo = np.column_stack([pr[::-1][: f.lags_exo], te[::-1][: f.lags_exo]]).ravel()
-                slope, constant = raw[segment]
-                x = design.matrix(np.concatenate([lags, exo])[None, :])[0]
-                hat = float(x @ slope + constant)
+        batch = pd.concat(list(frames)).sort_values(S.TS, kind="stable").drop_duplicates(S.TS)
+        last_ts, seen, *buffers, z = state.get if state.exists else (None, 0, [], [], [], [], None)
+        if last_ts is not None:
+            batch = batch[batch[S.TS] > last_ts]  # the successors of late readings are scored already
+        m = len(batch)
+        v, pr, te = (
+            np.concatenate([np.asarray(old, dtype=float), batch[c].to_numpy(dtype=float)])
+            for old, c in zip(buffers, (S.VOLUME, S.PRESSURE, S.TEMPERATURE))
+        )
+        rs, out = list(buffers[3]), []
+        if m and segment in raw:
+            hats = forecasts(segment, seen, v, pr, te, m)
+            before_ts = [last_ts, *batch[S.TS].iloc[:-1]]
+            for ts, vol, hat in zip(before_ts, v[len(v) - m :].tolist(), hats.tolist()):
+                if np.isnan(hat):
+                    continue
                 resid = vol - hat
                 before, rs = (rs[-1] if rs else resid), [*rs, resid][-width:]
                 mean = float(np.mean(rs)) if len(rs) >= 5 else 0.0
@@ -73,10 +99,11 @@ def stream_residuals(readings: DataFrame, models: Models, p: JobParams = JobPara
                 std = std if std > 0 else 1e-6
                 now = (resid - mean) / std
                 was, z = (now if z is None else z), now
-                out.append((client, segment, last_ts, vol, hat, resid, mean, std, abs(now), abs(now - was), abs(resid - before)))
-            last_ts, seen = ts, seen + 1
-            v, pr, te = [*v, vol][-keep:], [*pr, pres][-f.lags_exo :], [*te, temp][-f.lags_exo :]
-        state.update((last_ts, seen, v, pr, te, rs, z))
+                out.append((client, segment, ts, vol, hat, resid, mean, std, abs(now), abs(now - was), abs(resid - before)))
+        if m:
+            last_ts, seen = batch[S.TS].iloc[-1], seen + m
+        tail = lambda x, n: x[max(0, len(x) - n) :].tolist()
+        state.update((last_ts, seen, tail(v, keep), tail(pr, f.lags_exo), tail(te, f.lags_exo), rs, z))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SCORED.split(", ")])
 
     slim = readings.select(S.CLIENT, S.SEGMENT, S.TS, *S.MEASURES)

@@ -80,3 +80,34 @@ def test_stream_scoring(spark, files, trained):
     assert np.allclose(joined.resid, joined.volume_next - joined.volume_hat)
     assert set(got.flag_final) <= {0, 1}
     assert got.r_std.gt(0).all()
+
+
+def test_smoothing_of_many_windows_at_once():
+    """The same as the filter of a series that is just the window."""
+    from meterlens.operators.ssa import apply_taps, filter_taps, lag_products
+    from meterlens.streaming.score import smooth_windows
+
+    rng = np.random.default_rng(1)
+    for n in (20, 24, 25, 30, 47, 60):
+        windows = rng.normal(size=(7, n)).cumsum(axis=1) + 20
+        got = smooth_windows(windows, 24, 5, 20)
+        for v, mine in zip(windows, got):
+            pos = np.arange(n)
+            want = v
+            if n > 24:
+                products = lag_products(v, pos, np.ones(n, dtype=bool), n, 24)
+                want = apply_taps(v, pos, n, filter_taps(products, n, 24, 5))
+            assert np.allclose(mine, want[-20:], atol=1e-8)
+
+
+def test_days_do_not_move_with_the_session_zone(spark, files):
+    folder, df = files
+    was = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Bogota")
+        short = ingest(read_stream(spark, f"{folder}/in", df.schema, "parquet", 100), delay="1 hour")
+        got = {(r.client_id, r.day): r.volume for r in drain(daily_stream(short), "zoned").collect()}
+        want = {(r.client_id, r.day): r.volume for r in report.daily(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+    assert got and all(abs(got[k] - want[k]) < 1e-9 for k in got)
