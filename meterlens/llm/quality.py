@@ -13,7 +13,7 @@ both kinds; scoring is one pass over all texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -31,13 +31,15 @@ OTHER = len(KINDS)
 N_KINDS = OTHER + 1
 N_FEATURES = N_KINDS + N_KINDS * N_KINDS + 6
 FOLDS, HELD_OUT = 3, 1
+#: Texts whose features are held at a time.
+CHUNK = 256
 
 
 @dataclass(frozen=True)
 class QualityParams:
     #: Most positives and most unlabelled texts in the fit: those with the smallest hashes.
-    max_positive: int = 5_000
-    max_unlabelled: int = 10_000
+    max_positive: int = 3_000
+    max_unlabelled: int = 6_000
     epochs: int = 60
     batch: int = 2_000
     rate: float = 0.02
@@ -94,6 +96,12 @@ def features_of(text: str | None, table: np.ndarray) -> np.ndarray:
     return out
 
 
+def features_of_all(texts: Iterable, table: np.ndarray) -> np.ndarray:
+    """A row of features for each text of an Arrow array or a pandas series."""
+    plain = (t.as_py() if isinstance(t, pa.Scalar) else t for t in texts)
+    return np.array([features_of(t, table) for t in plain]).reshape(-1, N_FEATURES)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learned from; a null id is held out too."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
@@ -107,12 +115,13 @@ def with_features(rows: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = kind_table()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            made = [features_of(t.as_py(), table) for t in texts]
-            flat = pa.array((np.concatenate(made) if made else np.zeros(0)).astype(np.float32))
-            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, N_FEATURES, dtype=np.int32), flat)
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, lists], [*kept, "features"])
+            for at in range(0, batch.num_rows, CHUNK):
+                some = batch.slice(at, CHUNK)
+                texts = some.column(some.schema.get_field_index(text_col))
+                flat = pa.array(features_of_all(texts, table).ravel().astype(np.float32))
+                lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, N_FEATURES, dtype=np.int32), flat)
+                columns = [some.column(some.schema.get_field_index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, lists], [*kept, "features"])
 
     return rows.mapInArrow(run, f"{schema}, features array<float>")
 
@@ -121,10 +130,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, p: QualityPa
     """Minimises the non-negative risk with the logistic loss by stochastic steps with momentum and step scaling."""
     n = len(positive) + len(unlabelled)
     mean = (positive.sum(axis=0, dtype=np.float64) + unlabelled.sum(axis=0, dtype=np.float64)) / n
-    scale = np.sqrt((((positive - mean) ** 2).sum(axis=0) + ((unlabelled - mean) ** 2).sum(axis=0)) / n)
-    scale = np.where(scale > 1e-9, scale, 1.0)
-    pos = np.clip((positive - mean) / scale, -CLIP, CLIP).astype(np.float32)
-    unl = np.clip((unlabelled - mean) / scale, -CLIP, CLIP).astype(np.float32)
+    pos, unl = (x - mean.astype(np.float32) for x in (positive.astype(np.float32), unlabelled.astype(np.float32)))
+    scale = np.sqrt((np.einsum("ij,ij->j", pos, pos) + np.einsum("ij,ij->j", unl, unl)) / n).astype(np.float64)
+    scale = np.where(scale > 1e-6, scale, 1.0)
+    for x in (pos, unl):
+        x /= scale.astype(np.float32)
+        np.clip(x, -CLIP, CLIP, out=x)
     rng = np.random.default_rng(p.seed)
     w, b = np.zeros(pos.shape[1]), float(np.log(prior / (1 - prior)))
     moment, square, step = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
@@ -191,11 +202,9 @@ def train(
         .select("id", F.lit(1).alias("kind"))
         .unionByName(chosen(ids, 2, params.max_unlabelled).select("id", F.lit(0).alias("kind")))
     )
-    rows = with_features(texts.join(F.broadcast(picked), "id"), "text").toPandas().sort_values(["kind", "id"])
-    samples = {
-        k: np.concatenate([np.zeros(0, dtype=np.float32), *rows.features[rows.kind == k]]).reshape(-1, N_FEATURES)
-        for k in (0, 1)
-    }
+    rows = with_features(texts.join(F.broadcast(picked), "id"), "text").toArrow().sort_by([("kind", "ascending"), ("id", "ascending")])
+    features = rows["features"].combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
+    samples = {k: features[rows["kind"].to_numpy() == k] for k in (0, 1)}
     prior = float(min(max(prior, 0.01), 0.99))
     if not len(samples[1]) or not len(samples[0]):
         zero = np.zeros(N_FEATURES)
@@ -211,8 +220,9 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = kind_table()
         for batch in batches:
-            made = [features_of(t.as_py(), table) for t in batch.column(2)]
-            scores = model.scores(np.array(made).reshape(-1, N_FEATURES))
+            text = batch.column(2)
+            parts = [model.scores(features_of_all(text.slice(at, CHUNK), table)) for at in range(0, len(text), CHUNK)]
+            scores = np.concatenate([np.zeros(0), *parts])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"],
@@ -234,7 +244,7 @@ def _predictor(model: QualityModel):
     @F.pandas_udf("double")
     def predict(texts: pd.Series) -> pd.Series:
         table = kind_table()
-        made = np.array([features_of(t, table) for t in texts]).reshape(-1, N_FEATURES)
-        return pd.Series(model.scores(made))
+        parts = [model.scores(features_of_all(texts[at : at + CHUNK], table)) for at in range(0, len(texts), CHUNK)]
+        return pd.Series(np.concatenate([np.zeros(0), *parts]))
 
     return predict

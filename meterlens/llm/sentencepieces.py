@@ -21,9 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
-import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
 from meterlens.llm.worker import kept
@@ -42,6 +40,9 @@ class PieceTable:
     """Encoder and decoder equal to the library's for BPE models with byte fallback and a dummy prefix."""
 
     def __init__(self, path: str) -> None:
+        import ahocorasick  # needed in the workers only
+        import sentencepiece
+
         library = sentencepiece.SentencePieceProcessor(model_file=path)
         count = library.get_piece_size()
         self.end_id = library.eos_id()
