@@ -170,7 +170,7 @@ def _(spark, sf):
 
     p = ForecastParams(max_train_samples=500)
     blocks = _blocks(spark, sf)
-    rows = number_rows(series.lag_arrays(blocks, "volume", p), blocks, p).core()
+    rows = number_rows(series.lag_arrays(blocks, "volume", p), p).core()
     return rows.select("client_id", "ts", "train_pos", "is_train", "in_cap")
 
 

@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meterlens import schema as S
-from meterlens.config import SsaParams
+from meterlens.config import JobParams, SsaParams
 from meterlens.operators.blocks import Blocks
+from meterlens.operators.series import lag_arrays
 
 
 def lag_products(v: np.ndarray, pos: np.ndarray, core: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -120,6 +121,35 @@ def smooth(
     return blocks.using(size - 1, size - 1).on(df.groupBy(*blocks.group).applyInArrow(filtered, layout))
 
 
+def smooth_lagged(blocks: Blocks, p: JobParams = JobParams()) -> Blocks:
+    """``lag_arrays`` of the smoothed series, both in the one pass that has each series in order.
+
+    The rows are grouped by series once; no window has to shuffle and sort them again. Cut series go through the
+    windows of their blocks.
+    """
+    f, out = p.forecast, "v_filt"
+    if blocks.size:
+        return lag_arrays(smooth(blocks, p.ssa), out, f)
+    size, rank, first = p.ssa.window, p.ssa.rank, f.maxlag
+    layout = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in blocks.df.schema.fields)
+    layout += f", {out} double, base array<double>, volume_next double"
+
+    def made(table: pa.Table) -> pa.Table:
+        table, pos = _in_order(table)
+        v, n = table[S.VOLUME].to_numpy(), len(pos)
+        values = v if n <= size else apply_taps(v, pos, n, filter_taps(lag_products(v, pos, np.ones(n, dtype=bool), n, size), n, size, rank))
+        rows = np.arange(first, max(first, n - 1))
+        ago = lambda x, lags: x[rows[:, None] - np.arange(lags)]
+        exo = [ago(table[c].to_numpy(), f.lags_exo) for c in (S.PRESSURE, S.TEMPERATURE)]
+        base = np.hstack([ago(values, f.lags_v), np.stack(exo, axis=2).reshape(len(rows), -1)])
+        offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * base.shape[1])
+        used = table.take(pa.array(rows)).append_column(out, pa.array(values[rows]))
+        used = used.append_column("base", pa.ListArray.from_arrays(offsets, pa.array(base.ravel())))
+        return used.append_column("volume_next", pa.array(v[rows + 1]))
+
+    return blocks.on(blocks.df.groupBy(*blocks.group).applyInArrow(made, layout))
+
+
 def _series_taps(blocks: Blocks, col: str, p: SsaParams) -> DataFrame:
     """Per series cut into blocks: its length and filter weights."""
     size, rank, keys = p.window, p.rank, list(blocks.keys)

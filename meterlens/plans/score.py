@@ -14,7 +14,7 @@ from meterlens.operators import forecast as fc
 from meterlens.operators.blocks import series_blocks
 from meterlens.operators.columns import find_label_column
 from meterlens.operators.segment import attach_segments
-from meterlens.plans.train import OUTPUT, Models, prepare, smoothed_series
+from meterlens.plans.train import OUTPUT, Models, lagged_series, prepare
 from meterlens.session import cut
 
 
@@ -22,8 +22,7 @@ def residuals(readings: DataFrame, models: Models, p: JobParams, *, max_rows: in
     """Forecasts, residuals and residual features of clean readings. Segments without a model drop out."""
     known = models.forecast.select(S.SEGMENT)
     mine = readings.join(F.broadcast(known), S.SEGMENT, "left_semi")
-    smoothed = smoothed_series(mine, p, max_rows=max_rows)
-    rows = series.lag_arrays(smoothed, "v_filt", p.forecast)
+    rows = lagged_series(mine, p, max_rows=max_rows)
     predicted = rows.df.withColumn("volume_hat", fc.predictor(models.forecast, p.forecast)).drop("base")
     predicted = predicted.withColumn("resid", F.col("volume_next") - F.col("volume_hat"))
     made = series.residual_features(

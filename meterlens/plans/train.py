@@ -12,7 +12,7 @@ from meterlens.operators import clean, flags, forest, series
 from meterlens.operators import forecast as fc
 from meterlens.operators.blocks import Blocks, series_blocks
 from meterlens.operators.ordering import running_totals
-from meterlens.operators.ssa import smooth
+from meterlens.operators.ssa import smooth_lagged
 from meterlens.session import cut
 
 KEYS = (S.SEGMENT, S.CLIENT)
@@ -43,24 +43,22 @@ def prepare(readings: DataFrame) -> DataFrame:
     return clean.keep_first(clean.drop_missing(readings, [*S.REQUIRED, S.SEGMENT]))
 
 
-def smoothed_series(readings: DataFrame, p: JobParams, *, max_rows: int | None = None) -> Blocks:
-    """Blocks with ``v_filt``, ready for every later window of the job."""
-    blocks = series_blocks(readings, *series.reach(p), keys=KEYS, max_rows=max_rows)
-    return smooth(blocks, p.ssa)
+def lagged_series(readings: DataFrame, p: JobParams, *, max_rows: int | None = None) -> Blocks:
+    """Blocks of smoothed and lagged rows, ready for the forecast."""
+    return smooth_lagged(series_blocks(readings, *series.reach(p), keys=KEYS, max_rows=max_rows), p)
 
 
-def number_rows(lagged: Blocks, source: Blocks, p: ForecastParams) -> Blocks:
+def number_rows(lagged: Blocks, p: ForecastParams) -> Blocks:
     """Add the row's position among its segment's rows in (client, time) order and the split.
 
-    ``source`` holds the readings before the lags. The order over clients comes from running totals
-    over one row per client, so no task sees a whole segment.
+    The order over clients comes from running totals over one row per client, so no task sees a whole segment.
     """
     first = p.maxlag
-    # One reading stands for each series that has a usable row.
-    here = (F.col("pos") == first) & (F.col("n_rows") >= first + 2)
-    if source.size:
+    # Every series with a usable row has one at the first position that has all lags.
+    here = F.col("pos") == first
+    if lagged.size:
         here &= F.col("is_core")
-    lengths = source.df.where(here).select(S.SEGMENT, S.CLIENT, "n_rows")
+    lengths = lagged.df.where(here).select(S.SEGMENT, S.CLIENT, "n_rows")
     usable = F.col("n_rows") - first - 1
     run = running_totals(lengths, [S.SEGMENT], [S.CLIENT], {"_upto": usable})
     totals = lengths.groupBy(S.SEGMENT).agg(F.sum(usable).alias("_n"))
@@ -90,10 +88,9 @@ def number_rows(lagged: Blocks, source: Blocks, p: ForecastParams) -> Blocks:
 
 def train(readings: DataFrame, p: JobParams = JobParams(), *, max_rows: int | None = None) -> TrainResult:
     f, a = p.forecast, p.anomaly
-    smoothed = smoothed_series(cut(prepare(readings)), p, max_rows=max_rows)
-    # Read by the lag pass of the scaler, the fit and the forecast.
-    smoothed = smoothed.on(cut(smoothed.df))
-    rows = number_rows(series.lag_arrays(smoothed, "v_filt", f), smoothed, f)
+    lagged = lagged_series(cut(prepare(readings)), p, max_rows=max_rows)
+    # Written once with its lags and read by the scaler, the fit and the forecast without another shuffle.
+    rows = number_rows(lagged.on(cut(lagged.df)), f)
     core = rows.core()
 
     train_rows = core.where("is_train")

@@ -49,7 +49,7 @@ def test_training_positions(skewed):
 
     def made(limit):
         b = series_blocks(skewed, series.HISTORY_REACH, series.FUTURE_REACH, keys=keyed, max_rows=limit)
-        return table(number_rows(series.lag_arrays(b, "volume", ForecastParams()), b, ForecastParams()).core().select("src_ord", "train_pos", "is_train"), "src_ord")
+        return table(number_rows(series.lag_arrays(b, "volume", ForecastParams()), ForecastParams()).core().select("src_ord", "train_pos", "is_train"), "src_ord")
 
     pd.testing.assert_frame_equal(made(None), made(100))
 
@@ -160,3 +160,18 @@ def test_kpss_reaches_past_the_margins(spark):
 
     plain, cut = made(None), made(800)
     assert plain.lags > 12 and cut.lags == plain.lags and abs(cut.kpss_stat - plain.kpss_stat) < 1e-9
+
+
+@pytest.mark.parametrize("max_rows", [None, 200])
+def test_smoothing_and_lags_in_one_pass(skewed, max_rows):
+    from meterlens.config import JobParams
+    from meterlens.operators.ssa import smooth_lagged
+
+    p = JobParams()
+    cols = ["client_id", "src_ord", "ts", "pos", "n_rows", "v_filt", "volume_next", "base"]
+    one = table(smooth_lagged(series_blocks(skewed, *series.reach(p), max_rows=max_rows), p).core().select(*cols), "client_id", "src_ord")
+    b = smooth(series_blocks(skewed, *series.reach(p)), p.ssa)
+    two = table(series.lag_arrays(b, "v_filt", p.forecast).core().select(*cols), "client_id", "src_ord")
+    assert list(one.src_ord) == list(two.src_ord) and list(one.ts) == list(two.ts) and list(one.pos) == list(two.pos)
+    assert np.allclose(one.v_filt, two.v_filt, atol=1e-8) and np.allclose(one.volume_next, two.volume_next)
+    assert np.allclose(np.stack(one.base), np.stack(two.base), atol=1e-8)
