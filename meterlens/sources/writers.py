@@ -63,37 +63,73 @@ def load_models(spark: SparkSession, path: str, segments: list[str] | None = Non
 
 
 class ReadingsStore:
-    """Readings kept as versioned Parquet; an update writes a new version, then points to it.
+    """Readings kept as Parquet by calendar month; an update writes the months it touches anew, then says so.
 
-    A reader never sees half an update, and a lost job leaves the old version in place.
+    Each update adds a line to the list of versions, which names its months. The current state of a month is that of
+    the newest version that names it. A reader never sees half an update, a lost job leaves the old state in place, and
+    a batch costs what the months it falls in hold, not the store.
     """
 
+    LINES = "version string, at timestamp, whole boolean, months array<string>"
+
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def _pointer(self) -> DataFrame | None:
+    def _lines(self) -> list:
+        """All updates, oldest first: one short line each."""
         try:
-            return self.spark.read.schema("version string, at timestamp").json(f"{self.path}/versions")
+            return self.spark.read.schema(self.LINES).json(f"{self.path}/versions").orderBy("at").collect()
         except Exception as e:  # the folder is absent before the first write
             if "PATH_NOT_FOUND" in str(e):
-                return None
+                return []
             raise
 
+    def _state(self) -> dict[str, str]:
+        """The version that holds each month."""
+        state: dict[str, str] = {}
+        for line in self._lines():
+            if line["whole"]:
+                state = {}
+            state.update(dict.fromkeys(line["months"], line["version"]))
+        return state
+
+    def _read(self, state: dict[str, str]) -> DataFrame | None:
+        files = [f"{self.path}/data/{version}/month={month}" for month, version in sorted(state.items())]
+        return self.spark.read.option("mergeSchema", True).parquet(*files) if files else None
+
     def current(self) -> DataFrame | None:
-        versions = self._pointer()
-        last = versions.orderBy(F.desc("at")).limit(1).collect() if versions is not None else []
-        return self.spark.read.parquet(f"{self.path}/data/{last[0]['version']}") if last else None
+        state = self._state()
+        found = self._read(state)
+        if found is None and any(line["whole"] for line in self._lines()):
+            return empty_like(self.spark)
+        return found
 
     def write(self, df: DataFrame) -> None:
+        """``df`` becomes the whole store."""
+        self._add(df, True)
+
+    def _add(self, df: DataFrame, whole: bool) -> None:
         version = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/data/{version}")
-        mark = self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
-        mark.coalesce(1).write.mode("append").json(f"{self.path}/versions")
+        folder = f"{self.path}/data/{version}"
+        # Readings without a time have a month of their own.
+        marked = df.withColumn("month", F.coalesce(F.date_format(S.TS, "yyyyMM"), F.lit("none")))
+        marked.write.partitionBy("month").parquet(folder)
+        held = self.spark.read.schema(marked.schema).parquet(folder).select(F.col("month").cast("string")).distinct()
+        line = held.agg(F.sort_array(F.collect_list("month")).alias("months")).select(
+            F.lit(version).alias("version"), F.current_timestamp().alias("at"), F.lit(whole).alias("whole"), "months"
+        )
+        line.coalesce(1).write.mode("append").json(f"{self.path}/versions")
 
     def upsert(self, batch: DataFrame) -> None:
-        """Add a batch; the newest row of a (client, timestamp) wins."""
-        stored = self.current()
-        self.write(batch if stored is None else upsert(stored, batch))
+        """Add a batch; the newest row of a (client, timestamp) wins. Only the months of the batch are rewritten."""
+        month = F.coalesce(F.date_format(S.TS, "yyyyMM"), F.lit("none"))
+        touched = {r[0] for r in batch.select(month).distinct().collect()}  # calendar months: a short list
+        held = self._read({m: v for m, v in self._state().items() if m in touched})
+        self._add(batch if held is None else upsert(held, batch), False)
+
+
+def empty_like(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], S.READINGS)
 
 
 def log_run(df: DataFrame, path: str, run_id: str, phase: str) -> None:

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from meterlens.sources import readers, writers
 
@@ -79,3 +80,19 @@ def test_run_log(spark, tmp_path):
         writers.log_run(df, str(tmp_path / "log"), run, "train")
     rows = spark.read.parquet(str(tmp_path / "log")).collect()
     assert {(r.run_id, r.key, r.value) for r in rows} == {(r, k, v) for r in ("r1", "r2") for k, v in (("rmse", "1.5"), ("n", "3"))}
+
+
+def test_an_update_writes_only_the_months_it_touches(spark, tmp_path):
+    rows = [("a", f"2024-{m:02d}-05 00:00:00", 1.0, m) for m in range(1, 7)]
+    schema = "client_id string, ts string, volume double, src_ord long"
+    make = lambda r: spark.createDataFrame(r, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    store = writers.ReadingsStore(spark, str(tmp_path))
+    assert store.current() is None
+    store.upsert(make(rows))
+    store.upsert(make([("a", "2024-03-05 00:00:00", 9.0, 1), ("b", "2024-03-06 00:00:00", 2.0, 2), ("c", None, 3.0, 3)]))
+    versions = sorted((p.name, sorted(m.name for m in p.iterdir() if m.is_dir())) for p in (tmp_path / "data").iterdir())
+    assert sorted(len(months) for _, months in versions) == [2, 6]
+    got = {(r.client_id, r.ts and r.ts.month): r.volume for r in store.current().collect()}
+    assert got == {("a", m): 1.0 for m in (1, 2, 4, 5, 6)} | {("a", 3): 9.0, ("b", 3): 2.0, ("c", None): 3.0}
+    store.write(make(rows[:1]))
+    assert store.current().count() == 1
