@@ -39,11 +39,11 @@ CHUNK = 256
 class QualityParams:
     #: Most positives and most unlabelled texts in the fit: those with the smallest hashes.
     max_positive: int = 3_000
-    max_unlabelled: int = 6_000
+    max_unlabelled: int = 9_000
     epochs: int = 60
     batch: int = 2_000
     rate: float = 0.02
-    decay: float = 1e-4
+    decay: float = 1e-2
     #: The class prior, where it is known; else it is estimated from the labels.
     prior: float | None = None
     seed: int = 7
@@ -163,7 +163,24 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, p: QualityPa
             move = (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
             rate = p.rate * (1 - epoch / p.epochs)
             w, b = w - rate * move[:-1], b - rate * move[-1]
-    return QualityModel(mean, scale, w, b, prior)
+    return QualityModel(mean, scale, w, b - _cut(pos @ w + b, unl @ w + b, prior), prior)
+
+
+def _cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """Where the classes part: above it lies the prior's share of the unlabelled, within its sampling error.
+
+    In that range the widest gap between neighbouring scores is taken, but nothing that would reject more than one
+    trusted positive in a thousand.
+    """
+    scores, n = np.sort(unlabelled), len(unlabelled)
+    error = 3 * np.sqrt(prior * (1 - prior) / n) + 1 / n
+    low, high = (int(np.clip(n * (1 - prior + e), 0, n - 1)) for e in (-error, error))
+    near, most = scores[low : high + 1], float(np.quantile(positive, 0.001))
+    middles = (near[:-1] + near[1:]) / 2
+    allowed = middles <= most
+    if not allowed.any():
+        return min(float(near[0]), most)
+    return float(middles[np.argmax(np.where(allowed, np.diff(near), -1.0))])
 
 
 def train(
