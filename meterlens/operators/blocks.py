@@ -19,6 +19,7 @@ from meterlens.operators.ordering import running_totals
 MAX_ROWS = 1_000_000
 TASK_ROWS = 2_000_000
 BROADCAST_ROWS = 100_000
+MAX_SEGMENTS = 1_000
 
 
 def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -26,6 +27,17 @@ def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def segment_rows(df: DataFrame) -> list:
+    """The rows of a table with one row per segment, for closures that carry a model of each.
+
+    Segments are kinds of consumption, a handful by design; more than ``MAX_SEGMENTS`` are refused, not gathered.
+    """
+    rows = df.limit(MAX_SEGMENTS + 1).collect()
+    if len(rows) > MAX_SEGMENTS:
+        raise ValueError(f"more than {MAX_SEGMENTS} segments")
+    return rows
+
+
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """``df`` with the columns of a one-row aggregate, as a scalar subquery (no join)."""
     row = one_row.select(F.struct(*one_row.columns)).scalar()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meterlens import schema as S
 from meterlens.config import ForecastParams
+from meterlens.operators.blocks import segment_rows
 from meterlens.operators.quantiles import exact_quantiles
 from meterlens.operators.series import lag_names
 
@@ -144,7 +145,7 @@ def moment_rows(train: DataFrame, scaler: DataFrame, p: ForecastParams) -> DataF
     """
     design = Design.of(p)
     scales = {
-        r[S.SEGMENT]: (np.asarray(r["center"]), np.asarray(r["scale"])) for r in scaler.collect()
+        r[S.SEGMENT]: (np.asarray(r["center"]), np.asarray(r["scale"])) for r in segment_rows(scaler)
     }
     width, size = len(design.base), len(design.names) + 2
 
@@ -250,7 +251,7 @@ def predictor(models: DataFrame, p: ForecastParams) -> Column:
     plain = Design(design.base, ())
     width = len(design.base)
     raw = {}
-    for r in models.collect():
+    for r in segment_rows(models):
         slope = np.asarray(r["coef"]) / np.asarray(r["scale"])
         layout = design if len(slope) == len(design.names) else plain
         if len(slope) != len(layout.names):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterlens import schema as S
 from meterlens.config import AnomalyParams
+from meterlens.operators.blocks import segment_rows
 
 FEATURES = S.RESIDUAL_FEATURES
 NODES = (
@@ -58,7 +59,7 @@ def draw_samples(
         .where(F.col("_k") <= psi)
         .drop("_k", "draw")
     )
-    return train.select(S.SEGMENT, pos, *FEATURES).join(F.broadcast(chosen), [S.SEGMENT, pos])
+    return train.select(S.SEGMENT, pos, *FEATURES).join(chosen, [S.SEGMENT, pos])
 
 
 def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[list]:
@@ -150,7 +151,8 @@ def score_rows(forest: dict, x: np.ndarray, step: int = 1024) -> np.ndarray:
 
 
 def load_forests(nodes: DataFrame, sizes: dict[str, int]) -> dict[str, dict]:
-    """Scoring arrays per segment; the node table is bounded by trees x 2 x samples."""
+    """Scoring arrays per segment; the node table is bounded by segments x trees x 2 x samples."""
+    segment_rows(nodes.select(S.SEGMENT).distinct())
     table = nodes.toPandas()
     return {seg: forest_arrays(part, sizes[seg]) for seg, part in table.groupby(S.SEGMENT)}
 

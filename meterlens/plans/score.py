@@ -11,7 +11,7 @@ from meterlens import schema as S
 from meterlens.config import JobParams
 from meterlens.operators import clean, evaluate, flags, forest, report, series
 from meterlens.operators import forecast as fc
-from meterlens.operators.blocks import series_blocks
+from meterlens.operators.blocks import segment_rows, series_blocks
 from meterlens.operators.columns import find_label_column
 from meterlens.operators.segment import attach_segments
 from meterlens.plans.train import OUTPUT, Models, lagged_series, prepare
@@ -21,7 +21,7 @@ from meterlens.session import cut
 def residuals(readings: DataFrame, models: Models, p: JobParams, *, max_rows: int | None = None) -> DataFrame:
     """Forecasts, residuals and residual features of clean readings. Segments without a model drop out."""
     known = models.forecast.select(S.SEGMENT)
-    mine = readings.join(F.broadcast(known), S.SEGMENT, "left_semi")
+    mine = readings.join(known, S.SEGMENT, "left_semi")
     rows = lagged_series(mine, p, max_rows=max_rows)
     predicted = rows.df.withColumn("volume_hat", fc.predictor(models.forecast, p.forecast)).drop("base")
     predicted = predicted.withColumn("resid", F.col("volume_next") - F.col("volume_hat"))
@@ -46,7 +46,7 @@ def score(
     """
     base = cut(prepare(readings))
     features = residuals(base, models, p, max_rows=max_rows)
-    used = {r[S.SEGMENT]: r["forest_samples"] for r in models.thresholds.collect()}
+    used = {r[S.SEGMENT]: r["forest_samples"] for r in segment_rows(models.thresholds)}
     forests = forest.load_forests(models.forest, used)
     scored = cut(features.withColumn("score", forest.scorer(features, forests)))
     if thresholds == "stored":

@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from meterlens import schema as S
 from meterlens.config import JobParams
 from meterlens.operators import flags, forest
+from meterlens.operators.blocks import segment_rows
 from meterlens.operators.forecast import Design
 from meterlens.plans.train import Models
 
@@ -54,7 +55,7 @@ def stream_residuals(readings: DataFrame, models: Models, p: JobParams = JobPara
     size, rank = p.ssa.window, p.ssa.rank
     keep, width = max(2 * size - 1, f.lags_v), max(5, p.anomaly.roll_window)
     raw = {}
-    for row in models.forecast.collect():
+    for row in segment_rows(models.forecast):
         slope = np.asarray(row["coef"]) / np.asarray(row["scale"])
         raw[row[S.SEGMENT]] = (slope, row["intercept"] - slope @ np.asarray(row["center"]))
 
@@ -115,9 +116,9 @@ def stream_residuals(readings: DataFrame, models: Models, p: JobParams = JobPara
 def score_stream(readings: DataFrame, models: Models, p: JobParams = JobParams()) -> DataFrame:
     """Flags of a stream, with the score range and cut-off stored at training time."""
     made = stream_residuals(readings, models, p)
-    used = {r[S.SEGMENT]: r["forest_samples"] for r in models.thresholds.collect()}
+    used = {r[S.SEGMENT]: r["forest_samples"] for r in segment_rows(models.thresholds)}
     # The join comes first: the scoring function cannot read the rows of the stateful step directly.
-    limits = F.broadcast(models.thresholds.drop("forest_samples"))
+    limits = models.thresholds.drop("forest_samples")
     limited = made.join(limits, S.SEGMENT, "left")
     scored = limited.withColumn("score", forest.scorer(limited, forest.load_forests(models.forest, used)))
     flagged = flags.flag(scored, None, p.anomaly)
