@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from meterlens import schema as S
 from meterlens.config import SegmentParams
@@ -71,26 +71,56 @@ def centre_segments(centres: DataFrame) -> DataFrame:
 def nearest_centre(points: DataFrame, centres: DataFrame) -> DataFrame:
     """The segment of the nearest centre for each point, both with ``x0`` .. ``x3``; ties: first cluster.
 
-    Centres travel packed, a few thousand per row, so a point meets rows of centres, not centres.
+    A few thousand centres travel packed in one row that every point meets. More are found on grids of growing cells:
+    a point looks at the centres of its own and the touching cells, and is done as soon as one lies within a cell's
+    width, since any centre that near is among them. The rest go on to cells twice as wide.
     """
     n = centres.count()
-    rows = max(1, -(-n // CENTRES_PER_ROW))
-    packed = centres.groupBy(F.pmod(F.xxhash64("cluster"), F.lit(rows)).alias("_row")).agg(
-        F.collect_list(F.struct("x0", "x1", "x2", "x3", "cluster", S.SEGMENT)).alias("_c")
-    )
-    asked = points.withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))))
-    distance = lambda c: sum(
-        ((F.col(f"x{i}") - c[f"x{i}"]) * (F.col(f"x{i}") - c[f"x{i}"]) for i in range(4)), F.lit(0.0)
-    )
-    best = F.array_min(
-        F.transform("_c", lambda c: F.struct(distance(c).alias("d"), c["cluster"].alias("cluster"), c[S.SEGMENT].alias("s")))
-    )
-    # A row of centres is at most a few hundred kilobytes.
-    side = F.broadcast(packed) if rows <= 100 else packed
-    found = asked.join(side, "_row").select(S.CLIENT, best.alias("_best"))
-    return found.groupBy(S.CLIENT).agg(F.min("_best").alias("_best")).select(
-        S.CLIENT, F.col("_best.s").alias(S.SEGMENT)
-    )
+    if n <= CENTRES_PER_ROW:
+        packed = centres.agg(F.collect_list(F.struct("x0", "x1", "x2", "x3", "cluster", S.SEGMENT)).alias("_c"))
+        best = F.array_min(
+            F.transform(
+                "_c",
+                lambda c: F.struct(
+                    _squared(lambda i: F.col(f"x{i}"), lambda i: c[f"x{i}"]).alias("d"),
+                    c["cluster"].alias("cluster"),
+                    c[S.SEGMENT].alias("s"),
+                ),
+            )
+        )
+        return beside(points, packed).select(S.CLIENT, best["s"].alias(S.SEGMENT))
+    axes = range(4)
+    ends = centres.agg(*[f(f"x{i}").alias(f"{k}{i}") for i in axes for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    # Begin with about one centre in a cell's width along each axis.
+    widest = max(ends[f"hi{i}"] - ends[f"lo{i}"] for i in axes) or 1.0
+    width = widest / max(1.0, n**0.25)
+    cell = lambda i: F.floor(F.col(f"x{i}") / F.lit(width))
+    left, found = cut(points.select(S.CLIENT, *[f"x{i}" for i in axes])), []
+    while left.limit(1).count():
+        asked = left
+        for i in axes:
+            asked = asked.withColumn(f"c{i}", F.explode(F.array(*[cell(i) + k for k in (-1, 0, 1)])))
+        there = centres.select(
+            *[cell(i).alias(f"c{i}") for i in axes], *[F.col(f"x{i}").alias(f"y{i}") for i in axes], "cluster", S.SEGMENT
+        )
+        distance = _squared(lambda i: F.col(f"x{i}"), lambda i: F.col(f"y{i}"))
+        best = (
+            asked.join(there, [f"c{i}" for i in axes])
+            .groupBy(S.CLIENT)
+            .agg(F.min(F.struct(distance.alias("d"), "cluster", F.col(S.SEGMENT).alias("s"))).alias("_best"))
+        )
+        near = cut(best.where(F.col("_best.d") <= width * width).select(S.CLIENT, F.col("_best.s").alias(S.SEGMENT)))
+        found.append(near)
+        left = cut(left.join(near, S.CLIENT, "left_anti"))
+        width *= 2
+    out = found[0] if found else points.select(S.CLIENT, F.lit(None).cast("string").alias(S.SEGMENT)).limit(0)
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _squared(a, b) -> Column:
+    return sum(((a(i) - b(i)) * (a(i) - b(i)) for i in range(4)), F.lit(0.0))
 
 
 def segment_profiles(profiles: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
