@@ -254,7 +254,7 @@ def repeated_spans(
         .select("id", "th", "start", (F.col("start") + F.col("size")).cast("int").alias("end"))
     )
     # Different contexts of one anchor: those of each first document are compared.
-    crowds = classes.where("mixed").groupBy("anchor").agg((F.count(F.lit(1)) > crowd).alias("crowded"))
+    crowds = cut(classes.where("mixed").groupBy("anchor").agg((F.count(F.lit(1)) > crowd).alias("crowded")))
     mixed = cut(classes.where("mixed").select("anchor", "ctx", "first_id").join(crowds, "anchor"))
     wanted = cut(
         busy.where("differ")
