@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from meterlens.llm.tables import small_batches
 from meterlens.session import cut
 
 #: Kinds of bytes; every mark of ASCII that text piles up has a kind of its own.
@@ -219,7 +220,9 @@ def train(
         .select("id", F.lit(1).alias("kind"))
         .unionByName(chosen(ids, 2, params.max_unlabelled).select("id", F.lit(0).alias("kind")))
     )
-    rows = with_features(texts.join(F.broadcast(picked), "id"), "text").toArrow().sort_by([("kind", "ascending"), ("id", "ascending")])
+    with small_batches(documents.sparkSession):
+        rows = with_features(texts.join(F.broadcast(picked), "id"), "text").toArrow()
+    rows = rows.sort_by([("kind", "ascending"), ("id", "ascending")])
     features = rows["features"].combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
     samples = {k: features[rows["kind"].to_numpy() == k] for k in (0, 1)}
     prior = float(min(max(prior, 0.01), 0.99))

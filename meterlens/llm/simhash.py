@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from meterlens.llm.components import components
-from meterlens.llm.tables import hex64
+from meterlens.llm.tables import hex64, small_batches
 from meterlens.session import cut
 
 SEED = 42
@@ -108,7 +108,8 @@ def near_classes(
     Null and empty texts have fingerprint zero and are linked like any other. Null ids take part, and are a class's
     ``component_id`` only where it has no other id. An empty table gives an empty result.
     """
-    prints = cut(fingerprints(documents, id_col, text_col))
+    with small_batches(documents.sparkSession):
+        prints = cut(fingerprints(documents, id_col, text_col))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     member = components(links(distinct, crowd))
     classed = cut(
@@ -140,13 +141,13 @@ def keep_one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str
         F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("__id"),
         F.xxhash64(F.col(text_col)).alias("__h"),
     )
-    keyed = cut(
-        documents.select(
-            F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("__id"),
-            F.xxhash64(F.col(text_col)).alias("__h"),
-            F.col(text_col).alias("__text"),
-        ).transform(_with_prints)
+    texts = documents.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("__id"),
+        F.xxhash64(F.col(text_col)).alias("__h"),
+        F.col(text_col).alias("__text"),
     )
+    with small_batches(documents.sparkSession):
+        keyed = cut(_with_prints(texts))
     distinct = cut(keyed.groupBy("fp").agg(F.min(F.struct("__id", "__h")).alias("first")))
     member = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     first = (

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from meterlens.llm import bitfilter
 from meterlens.llm.automaton import SuffixAutomaton, spans_above
+from meterlens.llm.tables import small_batches
 from meterlens.session import cut
 
 WINDOW = 50
@@ -227,7 +228,8 @@ def repeated_spans(
     keyed: DataFrame, crowd: int = CROWD, shard: int = SHARD, max_filter_bytes: int = bitfilter.MAX_FILTER_BYTES
 ) -> DataFrame:
     """(id, th, spans) for every text with words to remove; spans are (start, end) of words, ascending, may overlap."""
-    found = cut(occurrences(keyed))
+    with small_batches(keyed.sparkSession):
+        found = cut(occurrences(keyed))
     shared = cut(
         found.groupBy("anchor")
         .agg(*[f(c).alias(f"{n}_{c}") for c in ("id", "ctx") for n, f in (("lo", F.min), ("hi", F.max))])
@@ -263,7 +265,8 @@ def repeated_spans(
         .select("id", "th", "anchor", "size", "starts", "crowded")
     )
     owners = _maybe_in(keyed, "th", wanted, "__maybe", max_filter_bytes).where("__maybe")
-    contexts = cut(_contexts(owners, wanted))
+    with small_batches(keyed.sparkSession):
+        contexts = cut(_contexts(owners, wanted))
     plain = contexts.where("words is not null")
     shards = max(1, -(-plain.count() // shard))
     matched = (
