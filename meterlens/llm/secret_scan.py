@@ -1,10 +1,11 @@
 """Secret scans: a wide net of candidates, and a random forest that takes the false alarms out.
 
 A candidate is a run of 16 or more characters of a key alphabet with a digit in it, a quoted value of 8 to 64
-characters, or the head of a private key. The forest sees its length and alphabet, how often the kind of character
-changes along it, how much of it the words of the corpus cover, where the document comes from, and the words next to
-it. It is trained from labelled findings, given or made by rules where there are none, on a bounded sample of them;
-the corpus words are counted over all documents. Everything is DataFrame functions and Spark's own forest.
+characters, or a private key from its head to its end line. The forest sees its length and alphabet, how often the
+kind of character changes along it, how much of it the words of the corpus cover, where the document comes from, and
+the words next to it. It is trained from labelled findings, given or made by rules where there are none, on a bounded
+sample of them; the corpus words are counted over all documents. Everything is DataFrame functions and Spark's own
+forest.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ KNOWN_IN = 2
 CANDIDATE = (
     r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}+"
     r"""|(?<=["'])[^"'\s]{8,64}+(?=["'])"""
-    r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
 )
+#: No candidate is shorter.
+SHORTEST = 8
 _KEY = r"(?i)(token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private)"
 #: As words of their own, not as parts of hosts or names.
 _BENIGN = (
@@ -76,6 +79,7 @@ def _rows(documents: DataFrame, id_col: str, text_col: str, path_col: str | None
 def candidates(rows: DataFrame) -> DataFrame:
     """(id, th, pos, start, value, before, after, path): every candidate of every text.
 
+    ``before`` and ``after`` are the text on each side, other candidates included.
     ``start`` counts code points. Rows of one id and text are searched once.
     """
     found = (
@@ -84,17 +88,21 @@ def candidates(rows: DataFrame) -> DataFrame:
         .withColumn("gaps", F.split("text", CANDIDATE, -1))
         .drop("text")
     )
-    each = found.select(
-        "id", "th", "path", "gaps", F.posexplode("hits").alias("pos", "value")
-    ).select(
-        "id",
-        "th",
-        "path",
-        "pos",
-        "value",
-        F.char_length(F.get("gaps", F.col("pos"))).alias("gap"),
-        F.right(F.get("gaps", F.col("pos")), F.lit(BEFORE)).alias("before"),
-        F.left(F.get("gaps", F.col("pos") + 1), F.lit(AFTER)).alias("after"),
+    # The text on each side, put together again from so many neighbours that they reach over BEFORE and AFTER.
+    at = lambda column, i: F.coalesce(F.get(column, i), F.lit(""))
+    ends = lambda column, i: F.right(at(column, i), F.lit(BEFORE))
+    starts = lambda column, i: F.left(at(column, i), F.lit(AFTER))
+    left = lambda i: [ends(c, i - k) for k in range(BEFORE // SHORTEST, 0, -1) for c in ("gaps", "hits")]
+    right = lambda i: [starts(c, i + k) for k in range(1, AFTER // SHORTEST + 1) for c in ("gaps", "hits")]
+    hit = lambda v, i: F.struct(
+        i.alias("pos"),
+        v.alias("value"),
+        F.char_length(at("gaps", i)).alias("gap"),
+        F.right(F.concat(*left(i), ends("gaps", i)), F.lit(BEFORE)).alias("before"),
+        F.left(F.concat(*right(i)), F.lit(AFTER)).alias("after"),
+    )
+    each = found.select("id", "th", "path", F.explode(F.transform("hits", hit)).alias("hit")).select(
+        "id", "th", "path", "hit.*"
     )
     along = Window.partitionBy("id", "th").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     passed = F.sum(F.col("gap") + F.char_length("value")).over(along)

@@ -96,3 +96,33 @@ def test_query_finds_the_planted_tokens(spark):
     got = QUERIES["op7_secret_scan"](spark, sf).collect()
     assert {(r.doc_id, r.start) for r in got if r.is_secret} == planted
     assert len(got) == sum(len(brute_candidates(r.text)) for r in rows)
+
+
+def test_context_reaches_over_neighbouring_candidates(docs):
+    """A quoted key name is a candidate itself, and its value still sees it."""
+    values = [mixed(24) for _ in range(4)]
+    texts = [
+        f'{{"password": "{values[0]}"}}',
+        f'{{"user_name": "somebody", "api_token": "{values[1]}"}}',
+        f"x['client_secret'] = '{values[2]}' # live",
+    ]
+    texts.append(f'{PROSE} ' + " ".join(f'"{mixed(8)}"' for _ in range(12)) + f' "{values[3]}"')
+    rows = S._rows(docs(list(enumerate(texts))), "doc_id", "text", None)
+    got = {(r.id, r.value): r for r in S.candidates(rows).collect()}
+    assert len(got) > 15
+    for (i, v), r in got.items():
+        assert r.before == texts[i][max(0, r.start - S.BEFORE) : r.start]
+        assert r.after == texts[i][r.start + len(v) :][: S.AFTER]
+    rows = corpus() + [(5000 + i, t) for i, t in enumerate(texts[:3])]
+    found = S.findings(docs(rows)).where("doc_id >= 5000 and is_secret").collect()
+    assert {(r.doc_id, r.start) for r in found} == {(5000 + i, texts[i].index(values[i])) for i in range(3)}
+
+
+def test_private_keys_to_their_end_line(docs):
+    body = "\n".join("".join(rng.choice(string.ascii_letters + "+/") for _ in range(64)) for _ in range(20))
+    whole = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    cut_off = "-----BEGIN PRIVATE KEY-----\nabc -----BEGIN CERTIFICATE-----"
+    out = S.redact(docs(corpus() + [(5000, f"{PROSE}\n{whole}\n{PROSE}"), (5001, f"{PROSE} {cut_off}")]))
+    texts = {r.doc_id: r.text for r in out.where("doc_id >= 5000").collect()}
+    assert texts[5000] == f"{PROSE}\n{S.MARK}\n{PROSE}"
+    assert texts[5001] == f"{PROSE} {S.MARK}\nabc -----BEGIN CERTIFICATE-----"
