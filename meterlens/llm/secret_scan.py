@@ -10,6 +10,7 @@ forest.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -25,8 +26,9 @@ NO_ID = -(2**63)
 MARK = "[secret]"
 #: Characters of text kept on each side of a candidate.
 BEFORE, AFTER = 48, 24
-#: A word in this many documents is in the dictionary.
-KNOWN_IN = 2
+#: A word is in the dictionary if it stands outside candidates in so many distinct texts: a share of all, at least two
+#: once there are ``FEW_TEXTS``, and one below.
+KNOWN_SHARE, FEW_TEXTS = 1e-4, 50
 CANDIDATE = (
     r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}+"
     r"""|(?<=["'])[^"'\s]{8,64}+(?=["'])"""
@@ -115,23 +117,29 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 def coverage(found: DataFrame, rows: DataFrame, max_filter_bytes: int = bitfilter.MAX_FILTER_BYTES) -> DataFrame:
-    """(id, th, pos, letters): letters of a candidate that are words of at least ``KNOWN_IN`` documents.
+    """(id, th, pos, letters): letters of a candidate that are words of the dictionary.
 
-    Corpus words that stand in no candidate are dropped by a bounded filter before anything is counted.
+    The dictionary holds words that stand outside any candidate in enough distinct texts, so a secret does not cover
+    itself however often it is repeated. Words that stand in no candidate are dropped by a bounded filter before
+    anything is counted.
     """
+    texts = rows.select("th").distinct().count()
+    least = max(1 if texts < FEW_TEXTS else 2, math.ceil(texts * KNOWN_SHARE))
     runs = cut(
         found.select("id", "th", "pos", F.explode(F.expr("regexp_extract_all(lower(value), '[a-z]{3,}', 0)")).alias("w"))
         .withColumn("h", F.xxhash64("w"))
     )
     asked = runs.select("h").distinct()
     cells = bitfilter.cells_for(asked.count(), max_filter_bytes)
-    words = rows.select(
-        F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z]++"))).alias("w")
-    ).where(F.char_length("w") >= 3)
+    plain = F.lower(F.regexp_replace("text", CANDIDATE, " "))
+    words = rows.select("th", F.explode(F.array_distinct(F.split(plain, r"[^a-z]++"))).alias("w")).where(
+        F.char_length("w") >= 3
+    )
     maybe = bitfilter.ask(
         words.withColumn("h", F.xxhash64("w")), "h", bitfilter.build(asked, "h", cells, least=1), cells, "maybe"
     )
-    known = maybe.where("maybe").groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= KNOWN_IN)
+    once = maybe.where("maybe").select("w", "th").distinct()
+    known = once.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return (
         runs.join(known.select("w"), "w").groupBy("id", "th", "pos").agg(F.sum(F.char_length("w")).alias("letters"))
     )

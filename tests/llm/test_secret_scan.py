@@ -126,3 +126,23 @@ def test_private_keys_to_their_end_line(docs):
     texts = {r.doc_id: r.text for r in out.where("doc_id >= 5000").collect()}
     assert texts[5000] == f"{PROSE}\n{S.MARK}\n{PROSE}"
     assert texts[5001] == f"{PROSE} {S.MARK}\nabc -----BEGIN CERTIFICATE-----"
+
+
+def test_a_repeated_secret_does_not_cover_itself(docs):
+    """One key in several documents, some of them copies, is found in each."""
+    value = "".join(rng.choice(string.ascii_letters) for _ in range(30)) + "7"
+    texts = [f"{PROSE} number {i // 2} api_key: {value} {PROSE}" for i in range(8)]
+    rows = corpus() + [(5000 + i, t) for i, t in enumerate(texts)]
+    keyed = S._rows(docs(rows), "doc_id", "text", None)
+    found = S.candidates(keyed)
+    assert not S.coverage(found.where("id >= 5000"), keyed).collect()
+    got = S.findings(docs(rows)).where("doc_id >= 5000").collect()
+    assert len(got) == 8 and all(r.is_secret for r in got)
+
+
+def test_dictionary_words_follow_the_number_of_texts(docs):
+    """A run that two texts hold by chance is no word of a large corpus; copies count once."""
+    rows = [(i, f"ordinary page{i}x") for i in range(20_001)] + [(30_000 + i, "zqj") for i in range(9)]
+    rows += [(40_000, "also zqj"), (50_000, "ordinary-zqj-12345678")]
+    keyed = S._rows(docs(rows), "doc_id", "text", None)
+    assert [r.letters for r in S.coverage(S.candidates(keyed), keyed).collect()] == [len("ordinary")]
