@@ -51,7 +51,7 @@ FEATURES = (
 
 @dataclass(frozen=True)
 class ScanParams:
-    #: Most labelled findings in the fit: those with the smallest hashes.
+    #: Most labelled findings in the fit: of each kind those with the smallest hashes, half of them if both have that many.
     max_labelled: int = 20_000
     trees: int = 40
     depth: int = 8
@@ -61,10 +61,9 @@ class ScanParams:
 
 @dataclass(frozen=True)
 class ScanModel:
-    """A forest, or the share of secrets among the labelled findings where one class is missing."""
+    """A forest, or none where one class is missing among the labelled findings."""
 
     forest: RandomForestClassificationModel | None
-    share: float
 
 
 def _rows(documents: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
@@ -203,27 +202,45 @@ def _vectors(features: DataFrame) -> DataFrame:
 
 
 def train(features: DataFrame, labels: DataFrame, params: ScanParams = ScanParams()) -> ScanModel:
-    """Fits the forest on (id, th, pos, label); at most ``max_labelled`` findings, in an order of their own."""
-    sample = cut(
+    """Fits the forest on (id, th, pos, label); at most ``max_labelled`` findings, in an order of their own.
+
+    The sample is drawn for each class, so the rarer one is in it whatever its share of the findings; what one class
+    leaves of its half goes to the other.
+    """
+    known = cut(
         features.join(labels, ["id", "th", "pos"])
-        .select(F.xxhash64("id", "th", "pos").alias("h"), "label", *FEATURES)
-        .orderBy("h", *FEATURES)
-        .limit(params.max_labelled)
-        .withColumn("label", F.col("label").cast("double"))
+        .where(F.col("label").isin(0, 1))
+        .select(F.xxhash64("id", "th", "pos").alias("h"), F.col("label").cast("double"), *FEATURES)
+    )
+    counts = {int(r["label"]): r["count"] for r in known.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        return ScanModel(None)
+    half = params.max_labelled // 2
+    first = lambda c: known.where(F.col("label") == c).orderBy("h", *FEATURES).limit(
+        params.max_labelled - min(counts[1 - c], half)
     )
-    shares = sample.agg(F.avg("label").alias("share"), F.countDistinct("label").alias("classes")).first()
-    if shares["classes"] < 2:
-        return ScanModel(None, float(shares["share"] or 0.0))
+    sample = cut(first(0).unionByName(first(1)))
     forest = RandomForestClassifier(
         featuresCol="vector", labelCol="label", numTrees=params.trees, maxDepth=params.depth, seed=params.seed
     )
-    return ScanModel(forest.fit(_vectors(sample.orderBy("h").coalesce(1))), float(shares["share"]))
+    return ScanModel(forest.fit(_vectors(sample.orderBy("h", *FEATURES).coalesce(1))))
 
 
-def judge(features: DataFrame, model: ScanModel, params: ScanParams = ScanParams()) -> DataFrame:
-    """(id, th, pos, start, value, score, is_secret)."""
+def judge(
+    features: DataFrame, model: ScanModel, params: ScanParams = ScanParams(), labels: DataFrame | None = None
+) -> DataFrame:
+    """(id, th, pos, start, value, score, is_secret).
+
+    Without a forest the score is the finding's own label: the given one (id, th, pos, label), else that of the rules,
+    else 0.
+    """
     if model.forest is None:
-        scored = features.withColumn("score", F.lit(model.share))
+        marks = rule_labels(features).withColumnRenamed("label", "by_rule")
+        scored = features.join(marks, ["id", "th", "pos"], "left")
+        if labels is not None:
+            scored = scored.join(labels, ["id", "th", "pos"], "left")
+        given = F.lit(None) if labels is None else F.col("label")
+        scored = scored.withColumn("score", F.coalesce(given, F.col("by_rule"), F.lit(0)).cast("double"))
     else:
         scored = model.forest.transform(_vectors(features)).withColumn("score", vector_to_array("probability")[1])
     return scored.select(
@@ -247,7 +264,7 @@ def _judged(
             features.join(given.groupBy("id", "start").agg(F.min("label").alias("label")), ["id", "start"])
             .select("id", "th", "pos", "label")
         )
-    return judge(features, train(features, marks, params), params)
+    return judge(features, train(features, marks, params), params, marks)
 
 
 def findings(

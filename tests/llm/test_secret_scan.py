@@ -146,3 +146,17 @@ def test_dictionary_words_follow_the_number_of_texts(docs):
     rows += [(40_000, "also zqj"), (50_000, "ordinary-zqj-12345678")]
     keyed = S._rows(docs(rows), "doc_id", "text", None)
     assert [r.letters for r in S.coverage(S.candidates(keyed), keyed).collect()] == [len("ordinary")]
+
+
+def test_rare_secrets_are_in_the_sample(docs):
+    """The bounded sample is drawn for each class, so a few secrets among many numbers are learned and found."""
+    rows = [(i, f"{PROSE} {x} {PROSE}") for i, x in enumerate(SECRETS[:4])]
+    rows += [(1000 + i, f"{PROSE} card {10**15 + i * 7919} paid {PROSE}") for i in range(2000)]
+    got = S.findings(docs(rows), params=S.ScanParams(max_labelled=40)).where("is_secret").collect()
+    assert {r.doc_id for r in got} == set(range(4))
+
+
+def test_one_class_falls_back_to_the_rules(docs):
+    """Where the rules mark secrets only, findings that they do not mark are not taken for secrets."""
+    rows = [(1, f'{PROSE} token = "{hexes(40)}"'), (2, f"{PROSE} {mixed(30)} {PROSE}")]
+    assert {r.doc_id: r.score for r in S.findings(docs(rows)).collect()} == {1: 1.0, 2: 0.0}
