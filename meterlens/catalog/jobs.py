@@ -23,11 +23,11 @@ E, L = "readings_e", "readings_l"
 _DAYS = 24 * 3_600_000_000
 
 
-#: Queries that need models of any kind train with fewer trees.
+#: For ``train_models_exact`` alone, whose SQL twin states this many trees.
 SMALL_FOREST = JobParams(anomaly=AnomalyParams(n_estimators=40))
 
 
-def trained(spark, sf, p: JobParams = SMALL_FOREST) -> TrainResult:
+def trained(spark, sf, p: JobParams = JobParams()) -> TrainResult:
     """A training run on the event readings."""
     return train(readings(spark, sf, E), p)
 
@@ -38,7 +38,7 @@ def trained_models(spark, sf):
 
 @query("train_flags")
 def _(spark, sf):
-    return trained(spark, sf, JobParams()).flags
+    return trained(spark, sf).flags
 
 
 # What a training run gives whatever the forest draws: its rows, and per segment the samples, trees and alarm rate.
@@ -63,7 +63,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Counts and rates of a training run, and flags of its models after they were written and read back."""
     data, folder = readings(spark, sf, E), f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
-    made = trained(spark, sf)
+    made = trained(spark, sf, SMALL_FOREST)
     writers.save_models(made.models, folder)
     keys = ["client_id", "ts"]
     again = score(data, writers.load_models(spark, folder), SMALL_FOREST, thresholds="stored")
@@ -96,20 +96,20 @@ def _(spark, sf):
     """Models written to a folder and read back, then applied with their own thresholds."""
     folder = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
     writers.save_models(trained_models(spark, sf), folder)
-    return score(readings(spark, sf, E), writers.load_models(spark, folder), SMALL_FOREST, thresholds="stored")
+    return score(readings(spark, sf, E), writers.load_models(spark, folder), JobParams(), thresholds="stored")
 
 
 @query("score_one_client")
 def _(spark, sf):
     hourly = readings(spark, sf, E).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     return score_client(
-        hourly, "3", trained_models(spark, sf), SMALL_FOREST, first=date(2024, 1, 1), last=date(2024, 2, 1)
+        hourly, "3", trained_models(spark, sf), JobParams(), first=date(2024, 1, 1), last=date(2024, 2, 1)
     )
 
 
 @query("evaluate_models")
 def _(spark, sf):
-    return evaluate_labelled(readings(spark, sf, E), trained_models(spark, sf), SMALL_FOREST).metrics
+    return evaluate_labelled(readings(spark, sf, E), trained_models(spark, sf), JobParams()).metrics
 
 
 @query(
@@ -120,13 +120,13 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """What an evaluation counts whatever the scores are."""
-    found = evaluate_labelled(readings(spark, sf, E), trained_models(spark, sf), SMALL_FOREST).metrics
+    found = evaluate_labelled(readings(spark, sf, E), trained_models(spark, sf), JobParams()).metrics
     return found.select("segment", "n_eval", "positives_true")
 
 
 @query("evaluate_roc_curve")
 def _(spark, sf):
-    return evaluate_labelled(readings(spark, sf, E), trained_models(spark, sf), SMALL_FOREST).curve
+    return evaluate_labelled(readings(spark, sf, E), trained_models(spark, sf), JobParams()).curve
 
 
 @query(

@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlens.catalog.jobs import SMALL_FOREST, trained_models
+from meterlens.catalog.jobs import trained_models
 from meterlens.catalog.registry import query
 from meterlens.catalog.views import EVENTS, LINEITEM, cte, table
+from meterlens.config import JobParams
 from meterlens.session import shared_dir
 from meterlens.sources.writers import ReadingsStore
 from meterlens.streaming.ingest import daily_stream, ingest, read_stream, upsert_stream
@@ -69,4 +70,4 @@ def _(spark, sf):
 
 @query("stream_scores")
 def _(spark, sf):
-    return _drain(score_stream(ingest(_stream(spark, sf, "events", EVENTS)), trained_models(spark, sf), SMALL_FOREST))
+    return _drain(score_stream(ingest(_stream(spark, sf, "events", EVENTS)), trained_models(spark, sf), JobParams()))
