@@ -6,6 +6,7 @@ from meterlens.llm import (  # noqa: F401
     queries_packing,
     queries_pipeline,
     queries_quality,
+    queries_resampling,
     queries_secrets,
     queries_sketches,
     queries_tokens,
