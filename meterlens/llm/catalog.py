@@ -10,5 +10,6 @@ from meterlens.llm import (  # noqa: F401
     queries_secrets,
     queries_sketches,
     queries_tokens,
+    queries_whitening,
 )
 from meterlens.llm.registry import ORACLES, QUERIES  # noqa: F401
