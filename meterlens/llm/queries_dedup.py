@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterlens.llm import exact_dedup, simhash, substring_dedup
+from meterlens.llm import exact_dedup, jaccard, simhash, substring_dedup
 from meterlens.llm.registry import query
 from meterlens.llm.tables import table
 
@@ -33,3 +33,8 @@ def _(spark, sf):
 @query("op9_simhash_near_dedup")
 def _(spark, sf):
     return simhash.near_groups(table(spark, sf, "documents"))
+
+
+@query("op13_jaccard_join")
+def _(spark, sf):
+    return jaccard.jaccard_classes(table(spark, sf, "documents"))
