@@ -11,10 +11,11 @@ band below. Tiles of more than ``TILE`` rows are cut into blocks that meet block
 only one of two sets has stands for a shingle that the other has not, so bit counts bound the overlap from above. Pairs
 within the bound are decided by the sorted arrays themselves.
 
-*Common shingles.* The order puts rare shingles first: a shingle that more than ``CROWD`` sets have near their start
-goes behind all others. The common ones are kept as a bitmap of bounded size, whose false alarms only change the order,
-which stays the same for all. Sets that consist of common shingles for the most part are families of edited copies.
-They are linked first, in blocks of bounded size and a few representatives per component and round; after that only
+*Common shingles.* The order puts rare shingles first: those that several sets have near their start go behind all
+others, so a set whose shared passages are less than four fifths of it meets no other. The shared ones are kept as a
+bitmap of bounded size (where they are too many, only the more common of them); its false alarms only change the
+order, which stays the same for all. Sets that consist of crowded shingles for the most part are families of edited
+copies. They are linked first, in blocks of bounded size and a few speakers per component and round; after that only
 pairs of different components are compared, so a large family does not meet itself pair by pair.
 """
 
@@ -36,7 +37,7 @@ from meterlens.llm.tables import small_batches
 from meterlens.session import cut
 
 SEED = 42
-#: Most sets that share an early shingle before it counts as common.
+#: Most sets that share a leading shingle without counting as a crowd.
 CROWD = 32
 #: Rows on each side of a tile.
 TILE = 512
@@ -44,8 +45,11 @@ TILE = 512
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 18, 1024
 #: Sets that speak for a component in a round of linking a family, and how often one pair of components is tried.
 SPEAKERS, TRIES = 4, 8
-#: Rounds of linking families. What they leave apart is compared in tiles.
-ROUNDS = 6
+#: Rounds of linking families, which end when one joins fewer than one speaker in ``ENOUGH``. What they leave apart is
+#: compared in tiles.
+ROUNDS, ENOUGH = 6, 20
+#: Bits of a bitmap of shingles for each shingle, and at most.
+SPARE, MAX_CELLS = 8, MAX_FILTER_BYTES * 8
 #: Weight of the tiles that one Python call takes: a row counts 100 and its shingles.
 CALL = 8_000_000
 
@@ -115,11 +119,10 @@ def shingle_sets(
     return rows.mapInArrow(run, "doc_id long, n long, node long, grams array<bigint>")
 
 
-def _with_any(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows whose node is in ``nodes`` (a written table of distinct ones); the others do not shuffle."""
+def _perhaps(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All rows whose node is in ``nodes`` (a written table of distinct ones), and a few others; none is shuffled."""
     cells = cells_for(nodes.count())
-    maybe = ask(rows, "node", build(nodes, "node", cells, least=1), cells, "__maybe").where("__maybe")
-    return maybe.drop("__maybe").join(nodes.select("node"), "node", "left_semi")
+    return ask(rows, "node", build(nodes, "node", cells, least=1), cells, "maybe").where("maybe").drop("maybe")
 
 
 def distinct_sets(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,9 +144,9 @@ def distinct_sets(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 class ShingleBits:
     """A set of shingles as a bitmap of bounded size that tasks can ask; it may hold others besides."""
 
-    def __init__(self, spark: SparkSession, tokens: DataFrame, max_bytes: int = MAX_FILTER_BYTES):
-        wanted = max(BITMAP_BITS, 8 * tokens.count())
-        cells = min(1 << (wanted - 1).bit_length(), 1 << ((max_bytes * 8).bit_length() - 1))
+    def __init__(self, spark: SparkSession, tokens: DataFrame, count: int):
+        wanted = max(BITMAP_BITS, SPARE * count)
+        cells = min(1 << (wanted - 1).bit_length(), MAX_CELLS)
         cell = F.col("token").bitwiseAND(F.lit(cells - 1)) + 1
         bitmaps = (
             tokens.select(cell.alias("cell"))
@@ -185,13 +188,20 @@ def _tokens(sets: DataFrame, pick) -> DataFrame:
 def prefix_index(sets: DataFrame, params: JaccardParams) -> DataFrame:
     """(token, df, node, n), written: the leading shingles that at least two sets have there, ``df`` many."""
     spark = sets.sparkSession
-    # Twice the needed length: where up to half of a set is common, the leading others were looked at here.
+    # Twice the needed length: where up to half of a set is shared, the leading others were looked at here.
     near = _tokens(sets, lambda g: g[: 2 * params.first(len(g))])
-    often = cut(near.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > params.crowd))
-    common = ShingleBits(spark, often.select("token"))
+    often = cut(near.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    # Rarer shingles stay in front if the bitmap cannot hold all that are shared.
+    levels = often.groupBy(F.floor(F.log2("df")).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    level, held = 64, 0
+    for r in sorted(levels, reverse=True):
+        if SPARE * (held + r.n) > MAX_CELLS:
+            break
+        level, held = r.level, held + r.n
+    common = ShingleBits(spark, often.where(F.floor(F.log2("df")) >= level).select("token"), held)
     lead = lambda g: _leading(g, common, params.first(len(g)))
     shared = cut(_tokens(sets, lead).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    busy = ShingleBits(spark, shared.select("token"))
+    busy = ShingleBits(spark, shared.select("token"), shared.count())
 
     def pick(grams: np.ndarray) -> np.ndarray:
         leading = lead(grams)
@@ -235,11 +245,12 @@ def links_exactly(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _linked_block(block: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links that join the components of one block: u < v, each verified; not all of them need be found."""
+    """(u, v) with u < v: components of one block of which two members link; not all of them need be found."""
     sets = [np.asarray(g, dtype=np.int64).view(np.uint64) for g in block["grams"]]
     order = np.argsort([len(g) for g in sets], kind="stable")
     sets = [sets[i] for i in order]
-    node, label = block["node"].to_numpy()[order], pd.factorize(block["root"].to_numpy()[order])[0]
+    root = block["root"].to_numpy()[order]
+    label = pd.factorize(root)[0]
     sizes = np.array([len(g) for g in sets])
     marks = signatures(sets, 1 << max(6, math.ceil(math.log2(2 * sizes.max()))))
     found = []
@@ -251,40 +262,31 @@ def _linked_block(block: pd.DataFrame, percent: int) -> pd.DataFrame:
                 continue
             tried[label[j]] = tried.get(label[j], 0) + 1
             if links_exactly(sets[i], sets[j], percent):
-                found.append((min(node[i], node[j]), max(node[i], node[j])))
+                found.append((min(root[i], root[j]), max(root[i], root[j])))
                 label[label == label[j]] = label[i]
     return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
 
-def _rooted(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``rows`` with ``root``: the smallest node that the links reach, written."""
-    if links is None:
-        return rows.withColumn("root", F.col("node"))
-    found = components(links)
-    return cut(rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
-
-
-def family_links(index: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame | None:
-    """(u, v), written: verified links within crowds of sets that share a common shingle, or None.
+def family_roots(index: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame | None:
+    """(node, root), written: components of verified links among the sets that lead with a crowded shingle, or None.
 
     In every round each set goes to one of its crowded shingles, another one each time. There the components (first
-    every set by itself) send a few sets to blocks of bounded size, whose components are joined by exact comparison.
-    A round divides the components of a family by hundreds.
+    every set by itself) send a few speakers to blocks of bounded size, whose components are joined by exact
+    comparison. A round divides the components of a family by hundreds; the rounds end when one joins few.
     """
-    crowded = index.where(F.col("df") > params.crowd).select("token", "node", "n")
-    if crowded.isEmpty():
+    crowded = index.where(F.col("df") > params.crowd).groupBy("node")
+    homes = [F.min_by("token", F.xxhash64("token", F.lit(r))).alias(f"home{r}") for r in range(ROUNDS)]
+    roots = cut(crowded.agg(F.first("n").alias("n"), *homes).withColumn("root", F.col("node")))
+    if roots.isEmpty():
         return None
-    links = None
-    for number in range(ROUNDS):
-        home = F.min_by("token", F.xxhash64("token", F.lit(number)))
-        placed = _rooted(crowded.groupBy("node").agg(home.alias("home"), F.first("n").alias("n")), links)
-        mixed = F.xxhash64("node", F.lit(number))
+    for r in range(ROUNDS):
+        mixed = F.xxhash64("node", F.lit(r))
         speakers = cut(
-            placed.groupBy("home", "root", F.pmod(mixed, F.lit(SPEAKERS)).alias("seat"))
+            roots.groupBy(F.col(f"home{r}").alias("home"), "root", F.pmod(mixed, F.lit(SPEAKERS)).alias("seat"))
             .agg(F.min_by(F.struct("node", "n"), mixed).alias("s"))
             .select("home", "root", "s.*")
         )
-        homes = (
+        blocks = (
             speakers.groupBy("home")
             .agg(
                 F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS)).alias("blocks"),
@@ -292,21 +294,23 @@ def family_links(index: DataFrame, sets: DataFrame, params: JaccardParams) -> Da
                 F.max("root").alias("high"),
             )
             .where("low < high")
+            .select("home", "blocks")
         )
-        seated = cut(
-            speakers.join(homes.select("home", "blocks"), "home").withColumn("block", F.pmod(mixed, F.col("blocks")))
-        )
-        grams = _with_any(sets, cut(seated.select("node").distinct())).select("node", "grams")
+        seated = cut(speakers.join(blocks, "home").withColumn("block", F.pmod(mixed, F.col("blocks"))))
+        waiting = cut(seated.select("node").distinct())
         made = cut(
             seated.select("home", "block", "node", "root")
-            .join(grams, "node")
+            .join(_perhaps(sets, waiting).select("node", "grams"), "node")
             .groupBy("home", "block")
             .applyInPandas(lambda block: _linked_block(block, params.percent), "u long, v long")
         )
-        if made.isEmpty():
+        joined = made.count()
+        if joined:
+            found = components(made).select(F.col("node").alias("root"), F.col("root").alias("now"))
+            roots = cut(roots.join(found, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now"))
+        if joined * ENOUGH < waiting.count():
             break
-        links = made if links is None else cut(links.unionByName(made).distinct())
-    return links
+    return roots.select("node", "root")
 
 
 def _tile_rows(index: DataFrame, params: JaccardParams) -> tuple[DataFrame, int]:
@@ -396,11 +400,17 @@ def _tile_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"u": np.concatenate(low), "v": np.concatenate(high)}).drop_duplicates()
 
 
+def _rooted(index: DataFrame, family: DataFrame | None) -> DataFrame:
+    if family is None:
+        return index.withColumn("root", F.col("node"))
+    return cut(index.join(family, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+
 def tile_links(index: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame:
     """(u, v), written: every link between different components (``root``) of ``index``."""
     placed, calls = _tile_rows(index, params)
     rows = cut(placed)
-    marks = _marks(_with_any(sets, cut(rows.select("node").distinct())), params)
+    marks = _marks(_perhaps(sets, cut(rows.select("node").distinct())), params)
     call = F.pmod(F.xxhash64("token", "band", "i", "j"), F.lit(calls))
     pairs = cut(
         rows.join(marks, ["node", "band"])
@@ -409,8 +419,8 @@ def tile_links(index: DataFrame, sets: DataFrame, params: JaccardParams) -> Data
         .applyInPandas(lambda some: _tile_pairs(some, params.percent), "u long, v long")
         .distinct()
     )
-    both = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    grams = cut(_with_any(sets, cut(both)).select("node", "grams"))
+    both = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    grams = cut(_perhaps(sets, both).select("node", "grams"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -437,9 +447,11 @@ def jaccard_classes(
         raw = cut(shingle_sets(documents, params.shingle, id_col, text_col))
         sets, least = distinct_sets(raw)
         index = prefix_index(sets, params)
-        family = family_links(index, sets, params)
+        family = family_roots(index, sets, params)
         links = tile_links(_rooted(index, family), sets, params)
-    links = links if family is None else links.unionByName(family)
+    if family is not None:
+        stars = family.where("root < node").select(F.col("root").alias("u"), F.col("node").alias("v"))
+        links = links.unionByName(stars)
     placed = cut(
         least.join(components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("class"))
     )

@@ -83,7 +83,7 @@ def test_classes_against_brute_force(docs, crowd, tile):
 
 def test_tiles_alone_find_every_link(docs, monkeypatch):
     """Without any round for families the tiles give the same classes."""
-    monkeypatch.setattr(J, "family_links", lambda *a: None)
+    monkeypatch.setattr(J, "family_roots", lambda *a: None)
     rows = corpus(random.Random(7), 40)
     assert rows_of(J.jaccard_classes(docs(rows), J.JaccardParams(crowd=4, tile=8))) == brute(rows)
 
@@ -129,7 +129,7 @@ def test_a_family_does_not_meet_itself_pair_by_pair(spark, docs):
         raw = J.cut(J.shingle_sets(docs(rows), 5))
         sets, _ = J.distinct_sets(raw)
         index = J.prefix_index(sets, params)
-        rooted = J._rooted(index, J.family_links(index, sets, params))
+        rooted = J._rooted(index, J.family_roots(index, sets, params))
         made.append((index.count(), J._tile_rows(rooted, params)[0].count()))
     for (few, small), (more, large) in zip(made, made[1:]):
         assert more <= 2.5 * few and large <= 2.5 * max(small, few)
