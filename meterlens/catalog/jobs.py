@@ -11,7 +11,7 @@ from meterlens.catalog.cleaning import IMPUTED_E
 from meterlens.catalog.registry import query
 from meterlens.catalog.scoring import SUPERVISED
 from meterlens.catalog.views import cte, readings
-from meterlens.config import AnomalyParams, ForecastParams, JobParams
+from meterlens.config import ForecastParams, JobParams
 from meterlens.plans.clean import add_upload, clean_readings
 from meterlens.plans.score import evaluate_labelled, score, score_client
 from meterlens.plans.train import TrainResult, train
@@ -23,10 +23,6 @@ E, L = "readings_e", "readings_l"
 _DAYS = 24 * 3_600_000_000
 
 
-#: For ``train_models_exact`` alone, whose SQL twin states this many trees.
-SMALL_FOREST = JobParams(anomaly=AnomalyParams(n_estimators=40))
-
-
 def trained(spark, sf, p: JobParams = JobParams()) -> TrainResult:
     """A training run on the event readings."""
     return train(readings(spark, sf, E), p)
@@ -57,16 +53,16 @@ def _(spark, sf):
 @query(
     "train_models_exact",
     f"""WITH {cte(E)}, s AS ({SUPERVISED.format(view=E)}), c AS (SELECT segment, count(*) AS n, CAST(floor(count(*) * (1 - 0.4)) AS BIGINT) AS n_train
-        FROM s GROUP BY segment) SELECT segment, n AS n_rows, least(256, n_train) AS forest_samples, 40 AS n_trees,
+        FROM s GROUP BY segment) SELECT segment, n AS n_rows, least(256, n_train) AS forest_samples, 300 AS n_trees,
         true AS rate_near, true AS same_after_storing FROM c""",
 )
 def _(spark, sf):
     """Counts and rates of a training run, and flags of its models after they were written and read back."""
     data, folder = readings(spark, sf, E), f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
-    made = trained(spark, sf, SMALL_FOREST)
+    made = trained(spark, sf)
     writers.save_models(made.models, folder)
     keys = ["client_id", "ts"]
-    again = score(data, writers.load_models(spark, folder), SMALL_FOREST, thresholds="stored")
+    again = score(data, writers.load_models(spark, folder), JobParams(), thresholds="stored")
     both = made.flags.select(*keys, "segment", "proba").join(again.select(*keys, F.col("proba").alias("p2")), keys, "left")
     rates = made.flags.groupBy("segment").agg(
         F.count(F.lit(1)).alias("n_rows"), (F.abs(F.avg("flag_final") - 0.03) < 0.01).alias("rate_near")

@@ -9,7 +9,7 @@ from meterlens.catalog.registry import query
 from meterlens.catalog.reports import PREDICTED_CTE, _round, predicted
 from meterlens.catalog.views import FIRST_L, cte, readings
 from meterlens.config import AnomalyParams, ForecastParams, SsaParams
-from meterlens.operators import clean, evaluate, flags, forecast, quantiles, series
+from meterlens.operators import clean, evaluate, flags, forecast, forest, quantiles, series
 from meterlens.operators.blocks import series_blocks
 from meterlens.operators.ordering import running_totals
 from meterlens.operators.ssa import smooth
@@ -78,48 +78,36 @@ def _(spark, sf):
     return made.select("client_id", "ts", *[F.round(at(a, b), 4).alias(f"{a}_x_{b}") for a, b in _SHOWN])
 
 
-_SCALED = ["vf_lag0", "vf_lag1", "p_lag0", "t_lag0"]
+def _scaler_sql(center: str, scale: str, digits: int) -> str:
+    """One row per segment and column of the design matrix, all of them."""
+    columns = _DESIGN.names
+    spread = [f"CASE WHEN {scale.format(c=c)} = 0 THEN 1 ELSE {scale.format(c=c)} END" for c in columns]
+    lists = {
+        "feature": [f"'{i} {c}'" for i, c in enumerate(columns)],
+        "center": [f"round({center.format(c=c)}, {digits})" for c in columns],
+        "scale": [f"round({s}, {digits})" for s in spread],
+    }
+    shown = ", ".join(f"unnest([{', '.join(values)}]) AS {name}" for name, values in lists.items())
+    return f"WITH {cte(E)}, t AS ({SUPERVISED.format(view=E)}) SELECT segment, {shown} FROM t GROUP BY segment"
 
 
-@query(
-    "robust_scaler",
-    f"""WITH {cte(E)}, t AS ({SUPERVISED.format(view=E)}) SELECT segment, """
-    + ", ".join(
-        f"round(median({c}), 5) AS center_{c}, round(CASE WHEN quantile_cont({c}, 0.75) = quantile_cont({c}, 0.25) THEN 1"
-        f" ELSE quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END, 5) AS scale_{c}"
-        for c in [*_SCALED, "vf_lag0 * p_lag1"]
-    ).replace("center_vf_lag0 * p_lag1", "center_product").replace("scale_vf_lag0 * p_lag1", "scale_product")
-    + " FROM t GROUP BY segment",
-)
+@query("robust_scaler", _scaler_sql("median({c})", "(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))", 7))
 def _(spark, sf):
-    return _scaler_columns(spark, sf, P)
+    return _scaler_columns(spark, sf, P, 7)
 
 
-@query(
-    "standard_scaler",
-    f"""WITH {cte(E)}, t AS ({SUPERVISED.format(view=E)}) SELECT segment, """
-    + ", ".join(
-        f"round(avg({c}), 5) AS center_{c}, round(CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END, 5) AS scale_{c}"
-        for c in [*_SCALED, "vf_lag0 * p_lag1"]
-    ).replace("center_vf_lag0 * p_lag1", "center_product").replace("scale_vf_lag0 * p_lag1", "scale_product")
-    + " FROM t GROUP BY segment",
-)
+@query("standard_scaler", _scaler_sql("avg({c})", "stddev_pop({c})", 3))
 def _(spark, sf):
-    return _scaler_columns(spark, sf, ForecastParams(scaler="standard"))
+    return _scaler_columns(spark, sf, ForecastParams(scaler="standard"), 3)
 
 
-def _scaler_columns(spark, sf, p):
+def _scaler_columns(spark, sf, p, digits):
     rows = series.lag_arrays(_blocks(spark, sf), "volume", p).core()
     fitted = forecast.fit_scaler(rows, p)
-    at = {c: _DESIGN.names.index(c) for c in _SCALED}
-    named = [(c, at[c]) for c in _SCALED] + [("product", _DESIGN.names.index("vf_lag0*p_lag1"))]
-    return fitted.select(
-        S.SEGMENT,
-        *[
-            F.round(F.get(which, F.lit(i)), 5).alias(f"{which}_{c}")
-            for c, i in named
-            for which in ("center", "scale")
-        ],
+    names = F.array(*[F.lit(f"{i} {c}") for i, c in enumerate(_DESIGN.names)])
+    each = fitted.select(S.SEGMENT, F.explode(F.arrays_zip(names.alias("feature"), "center", "scale")).alias("x"))
+    return each.select(
+        S.SEGMENT, "x.feature", F.round("x.center", digits).alias("center"), F.round("x.scale", digits).alias("scale")
     )
 
 
@@ -146,6 +134,41 @@ def _(spark, sf):
     return _round(made.select("client_id", "ts", "resid", "r_mean", "r_std", "z_abs", "dz_abs", "dr_abs"), 6)
 
 
+#: Two small trees over the residual features, as node rows of a stored forest.
+_TREES = [
+    (0, 0, 0, 1.0, 1, 2, 0.0), (0, 1, 5, 40.0, 3, 4, 0.0), (0, 2, 1, 0.0, 5, 6, 0.0), (0, 3, -1, 0.0, -1, -1, 7.5),
+    (0, 4, -1, 0.0, -1, -1, 5.25), (0, 5, -1, 0.0, -1, -1, 3.0), (0, 6, 2, 25.0, 7, 8, 0.0), (0, 7, -1, 0.0, -1, -1, 4.5),
+    (0, 8, -1, 0.0, -1, -1, 3.75), (1, 0, 4, 1.5, 1, 2, 0.0), (1, 1, -1, 0.0, -1, -1, 6.0), (1, 2, 3, 90.0, 3, 4, 0.0),
+    (1, 3, -1, 0.0, -1, -1, 4.0), (1, 4, -1, 0.0, -1, -1, 2.0),
+]
+_UNIT = float(forest.average_path(256))
+
+
+def _walk(tree: int, node: int = 0) -> str:
+    """The path length of a row in one of the trees, as SQL."""
+    _, _, feature, threshold, left, right, depth = next(t for t in _TREES if t[:2] == (tree, node))
+    if feature < 0:
+        return f"CAST({depth} AS DOUBLE)"
+    return f"CASE WHEN {forest.FEATURES[feature]} <= {threshold} THEN {_walk(tree, left)} ELSE {_walk(tree, right)} END"
+
+
+@query(
+    "forest_scores",
+    f"""WITH {cte(E)}, {_RESID} SELECT client_id, ts, round(power(2, -(({_walk(0)}) + ({_walk(1)})) / 2 / {_UNIT!r}), 6) AS score
+        FROM f""",
+)
+def _(spark, sf):
+    """A given forest over the residual features, with nodes and rows brought together by a shuffle."""
+    df = readings(spark, sf, E).withColumn("resid", F.col("volume") - 100)
+    made = series.residual_features(series_blocks(df, 16, 0), first_pos=0).core()
+    segments = made.select("segment").distinct()
+    layout = "tree int, node int, feature int, threshold double, left int, right int, depth double"
+    nodes = segments.join(F.broadcast(spark.createDataFrame(_TREES, layout)))
+    samples = segments.withColumn("forest_samples", F.lit(256))
+    scored = forest.with_scores(made, nodes, samples, broadcast_nodes=0, slice_rows=2_000)
+    return scored.select("client_id", "ts", F.round("score", 6).alias("score"))
+
+
 @query(
     "next_label",
     f"""WITH {cte(E)} SELECT client_id, ts, coalesce(lead(label) OVER (PARTITION BY client_id ORDER BY ts, src_ord), 0) AS label_next

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meterlens import schema as S
 from meterlens.config import ForecastParams
+from meterlens.operators import scaling
 from meterlens.operators.blocks import segment_rows
-from meterlens.operators.quantiles import exact_quantiles
 from meterlens.operators.series import lag_names
 
 
@@ -78,64 +78,20 @@ def design_array(p: ForecastParams) -> Column:
     return expand(F.col("base"))
 
 
-# Up to this many training rows a column of the design matrix is small enough for one task.
-COLUMN_ROWS = 4_000_000
+def fit_scaler(train: DataFrame, p: ForecastParams) -> DataFrame:
+    """One row per segment: ``center`` and ``scale`` arrays over the design matrix columns.
 
-
-def fit_scaler(train: DataFrame, p: ForecastParams, *, column_rows: int = COLUMN_ROWS) -> DataFrame:
-    """One row per segment: ``center`` and ``scale`` arrays over the design matrix columns."""
-    if p.scaler == "robust":
-        counts = train.groupBy(S.SEGMENT).agg(F.count(F.lit(1)).alias("n"))
-        largest = counts.agg(F.max("n")).first()[0] or 0
-        if largest <= column_rows:
-            quartiles = _column_quartiles(train, p)
-        else:
-            long = train.select(S.SEGMENT, F.posexplode(design_array(p)).alias("i", "x"))
-            quartiles = exact_quantiles(
-                long, [S.SEGMENT, "i"], ["x"], [0.25, 0.5, 0.75], max_values=column_rows
-            ).withColumnRenamed("x", "q")
-        at = lambda k: F.get("q", F.lit(k))
-        stats = quartiles.select(S.SEGMENT, "i", at(1).alias("m"), (at(2) - at(0)).alias("s"))
-    else:
-        long = train.select(S.SEGMENT, F.posexplode(design_array(p)).alias("i", "x"))
-        stats = long.groupBy(S.SEGMENT, "i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    unit = F.when(F.col("s") == 0, F.lit(1.0)).otherwise(F.col("s"))
-    rows = F.array_sort(F.collect_list(F.struct("i", "m", unit.alias("s"))))
-    return stats.groupBy(S.SEGMENT).agg(rows.alias("_r")).select(
-        S.SEGMENT, F.col("_r.m").alias("center"), F.col("_r.s").alias("scale")
-    )
-
-
-def _column_quartiles(train: DataFrame, p: ForecastParams) -> DataFrame:
-    """Quartiles of every design matrix column, for segments whose columns fit one task each.
-
-    Batches are cut into column pieces before the shuffle, so values travel packed.
+    Spreads of zero become one. Without rows the result is empty.
     """
     design = Design.of(p)
-    width = len(design.base)
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            segments = batch.column(0).to_numpy(zero_copy_only=False)
-            x = design.matrix(_unnest(batch.column(1), width))
-            for seg in pd.unique(segments):
-                mine = x[segments == seg]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        S.SEGMENT: pa.array([seg] * x.shape[1]),
-                        "i": pa.array(np.arange(x.shape[1], dtype="int32")),
-                        "piece": _nested(mine.T),
-                    }
-                )
-
-    def quartiles(rows: pd.DataFrame) -> pd.DataFrame:
-        values = np.concatenate(rows["piece"].to_list())
-        out = rows[[S.SEGMENT, "i"]].iloc[:1].copy()
-        out["q"] = [np.quantile(values, [0.25, 0.5, 0.75])]
-        return out
-
-    cut_up = train.select(S.SEGMENT, "base").mapInArrow(pieces, f"{S.SEGMENT} string, i int, piece array<double>")
-    return cut_up.groupBy(S.SEGMENT, "i").applyInPandas(quartiles, f"{S.SEGMENT} string, i int, q array<double>")
+    expand = lambda base: design.matrix(_unnest(base, len(design.base)))
+    if p.scaler == "robust":
+        quartiles = scaling.column_quantiles(train, expand, [0.25, 0.5, 0.75])
+        stats = {seg: (q[1], q[2] - q[0]) for seg, q in quartiles.items()}
+    else:
+        stats = scaling.column_moments(train, expand)
+    rows = [(seg, m.tolist(), np.where(s == 0, 1.0, s).tolist()) for seg, (m, s) in stats.items()]
+    return train.sparkSession.createDataFrame(rows, f"{S.SEGMENT} string, center array<double>, scale array<double>")
 
 
 def moment_rows(train: DataFrame, scaler: DataFrame, p: ForecastParams) -> DataFrame:

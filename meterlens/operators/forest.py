@@ -6,10 +6,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from meterlens import schema as S
 from meterlens.config import AnomalyParams
-from meterlens.operators.blocks import segment_rows
+from meterlens.operators.blocks import MAX_SEGMENTS, segment_rows
+from meterlens.session import cut
 
 FEATURES = S.RESIDUAL_FEATURES
 NODES = (
@@ -150,6 +152,54 @@ def score_rows(forest: dict, x: np.ndarray, step: int = 1024) -> np.ndarray:
     return np.exp2(-paths / forest["unit"])
 
 
+#: Node rows of all segments' forests that are broadcast; larger tables meet the rows in a shuffle.
+BROADCAST_NODES = 2_000_000
+#: Rows of one segment that are scored in one task of that shuffle.
+SLICE_ROWS = 200_000
+
+
+def with_scores(
+    features: DataFrame,
+    nodes: DataFrame,
+    samples: DataFrame,
+    *,
+    broadcast_nodes: int = BROADCAST_NODES,
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """``features`` with ``score``, null where a segment has no forest. ``samples`` has ``forest_samples`` per segment.
+
+    Forests of few segments are broadcast, after their nodes were counted. Beyond that the rows of a segment are dealt
+    into slices, the segment's nodes are copied to each, and every task sees one slice and one forest, so neither the
+    driver nor a task holds what grows with the number of segments.
+    """
+    if nodes.count() <= broadcast_nodes and samples.limit(MAX_SEGMENTS + 1).count() <= MAX_SEGMENTS:
+        used = {r[S.SEGMENT]: r["forest_samples"] for r in segment_rows(samples)}
+        return features.withColumn("score", scorer(features, load_forests(nodes, used)))
+    columns = features.columns
+    slices = cut(
+        features.groupBy(S.SEGMENT).agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("_slices"))
+    )
+    part = F.pmod(F.xxhash64(*columns), F.col("_slices")).cast("int")
+    dealt = features.join(slices, S.SEGMENT).select(*columns, part.alias("_slice"))
+    copies = nodes.join(samples.select(S.SEGMENT, "forest_samples"), S.SEGMENT).join(
+        slices.select(S.SEGMENT, F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice")), S.SEGMENT
+    )
+    # Written, so that the two sides of the cogroup share no column even if both were made from the same rows.
+    copies = cut(copies)
+
+    def score(rows: pa.Table, forest: pa.Table) -> pa.Table:
+        rows = rows.select(columns)
+        if not rows.num_rows or not forest.num_rows:
+            return rows.append_column("score", pa.nulls(rows.num_rows, pa.float64()))
+        arrays = forest_arrays(forest.to_pandas(), forest["forest_samples"][0].as_py())
+        x = np.column_stack([rows[c].to_numpy() for c in FEATURES])
+        return rows.append_column("score", pa.array(score_rows(arrays, x)))
+
+    keys = [S.SEGMENT, "_slice"]
+    layout = StructType([*features.schema.fields, StructField("score", DoubleType())])
+    return dealt.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(score, layout)
+
+
 def load_forests(nodes: DataFrame, sizes: dict[str, int]) -> dict[str, dict]:
     """Scoring arrays per segment; the node table is bounded by segments x trees x 2 x samples."""
     segment_rows(nodes.select(S.SEGMENT).distinct())

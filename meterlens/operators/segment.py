@@ -75,6 +75,9 @@ def nearest_centre(points: DataFrame, centres: DataFrame) -> DataFrame:
     a point looks at the centres of its own and the touching cells, and is done as soon as one lies within a cell's
     width, since any centre that near is among them. The rest go on to cells twice as wide.
     """
+    finite = lambda i: F.abs(F.col(f"x{i}")) < F.lit(float("inf"))  # noqa: E731 - false for NaN, which is the largest
+    for i in range(4):
+        points, centres = points.where(finite(i)), centres.where(finite(i))
     n = centres.count()
     if n <= CENTRES_PER_ROW:
         packed = centres.agg(F.collect_list(F.struct("x0", "x1", "x2", "x3", "cluster", S.SEGMENT)).alias("_c"))
@@ -146,7 +149,10 @@ def segment_profiles(profiles: DataFrame, p: SegmentParams = SegmentParams()) ->
     near = nearest_centre(
         standardise(noise, spread), standardise(centres, spread).select("cluster", S.SEGMENT, "x0", "x1", "x2", "x3")
     )
-    outside = noise.join(near, S.CLIENT)
+    # Clients without a finite place are near to no centre.
+    outside = noise.join(near, S.CLIENT, "left").withColumn(
+        S.SEGMENT, F.coalesce(S.SEGMENT, F.lit(S.DEFAULT_SEGMENT))
+    )
     return inside.select(*outside.columns).unionByName(outside)
 
 

@@ -11,7 +11,7 @@ from meterlens import schema as S
 from meterlens.config import JobParams
 from meterlens.operators import clean, evaluate, flags, forest, report, series
 from meterlens.operators import forecast as fc
-from meterlens.operators.blocks import segment_rows, series_blocks
+from meterlens.operators.blocks import series_blocks
 from meterlens.operators.columns import find_label_column
 from meterlens.operators.segment import attach_segments
 from meterlens.plans.train import OUTPUT, Models, lagged_series, prepare
@@ -46,9 +46,7 @@ def score(
     """
     base = cut(prepare(readings))
     features = residuals(base, models, p, max_rows=max_rows)
-    used = {r[S.SEGMENT]: r["forest_samples"] for r in segment_rows(models.thresholds)}
-    forests = forest.load_forests(models.forest, used)
-    scored = cut(features.withColumn("score", forest.scorer(features, forests)))
+    scored = cut(forest.with_scores(features, models.forest, models.thresholds))
     if thresholds == "stored":
         limits = models.thresholds.drop("forest_samples")
     else:

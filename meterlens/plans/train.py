@@ -10,7 +10,7 @@ from meterlens import schema as S
 from meterlens.config import ForecastParams, JobParams
 from meterlens.operators import clean, flags, forest, series
 from meterlens.operators import forecast as fc
-from meterlens.operators.blocks import Blocks, segment_rows, series_blocks
+from meterlens.operators.blocks import Blocks, series_blocks
 from meterlens.operators.ordering import running_totals
 from meterlens.operators.ssa import smooth_lagged
 from meterlens.session import cut
@@ -116,9 +116,8 @@ def train(readings: DataFrame, p: JobParams = JobParams(), *, max_rows: int | No
         numbered = dense.withColumn("train_pos", F.col("train_pos") - 1)
     samples = forest.draw_samples(numbered, sizes, a, p.seed)
     nodes = cut(forest.fit_forest(samples, a, p.seed))
-    used = {r[S.SEGMENT]: min(a.max_samples, r["n_train"]) for r in segment_rows(sizes)}
-
-    scored = cut(features.withColumn("score", forest.scorer(features, forest.load_forests(nodes, used))))
+    used = sizes.select(S.SEGMENT, F.least("n_train", F.lit(a.max_samples)).cast("int").alias("forest_samples"))
+    scored = cut(forest.with_scores(features, nodes, used))
     thresholds = flags.score_thresholds(scored, flags.score_range(scored), a)
     thresholds = cut(
         thresholds.join(sizes, S.SEGMENT).withColumn(

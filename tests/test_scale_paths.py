@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterlens.catalog.views import readings
 from meterlens.config import ForecastParams
-from meterlens.operators import clean, explore, forecast, series
+from meterlens.operators import clean, explore, forecast, forest, scaling, segment, series
 from meterlens.operators.blocks import series_blocks
 from meterlens.operators.ordering import running_totals
 from meterlens.operators.quantiles import exact_quantiles
@@ -100,12 +100,90 @@ def test_seasonality_statistics(skewed):
         pd.testing.assert_frame_equal(a, b, rtol=1e-6, atol=1e-8)
 
 
-def test_scaler_by_narrowing(skewed):
+def test_scaler_by_counting(skewed, monkeypatch):
+    """Few bins, many passes, the same quartiles as numpy."""
     p = ForecastParams()
     b = series_blocks(skewed.withColumn("segment", F.lit("x")), 64, 24, keys=("segment", "client_id"))
     train = series.lag_arrays(b, "volume", p).core()
-    direct, narrow = (forecast.fit_scaler(train, p, column_rows=n).first() for n in (10**6, 50))
-    assert np.allclose(direct["center"], narrow["center"]) and np.allclose(direct["scale"], narrow["scale"])
+    x = forecast.Design.of(p).matrix(np.stack([r.base for r in train.select("base").collect()]))
+    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    for bins in (2048, 3):
+        monkeypatch.setattr(scaling, "BINS", bins)
+        got = forecast.fit_scaler(train, p).first()
+        assert np.allclose(got["center"], q[1], rtol=1e-12) and np.allclose(got["scale"], np.where(q[2] == q[0], 1, q[2] - q[0]))
+    got = forecast.fit_scaler(train, ForecastParams(scaler="standard")).first()
+    assert np.allclose(got["center"], x.mean(0)) and np.allclose(got["scale"], np.where(x.std(0) == 0, 1, x.std(0)))
+
+
+def test_columns_of_any_shape(spark):
+    """Ties, one row, huge and tiny values, values far from zero; several segments at once."""
+    rng = np.random.default_rng(5)
+    tied = np.where(rng.random(500) < 0.8, 3.0, rng.random(500))
+    data = {
+        "a": np.column_stack([tied, rng.normal(size=500) * 1e300, rng.random(500) * 5e-320, rng.normal(size=500) + 1e9]),
+        "b": np.array([[1.0, -2.0, 0.0, 4.0]]), "c": np.tile([7.0, 7.0, -1e308, 1e308], (9, 1)),
+        "d": np.array([[1e308, 0.0, 1.0, 2.0], [-1e308, 1.0, 1.0, 2.5], [0.0, 2.0, 1.0, 2.5]]),
+    }
+    rows = [(s, r.tolist()) for s, x in data.items() for r in x]
+    df = spark.createDataFrame(rows, "segment string, base array<double>").repartition(5)
+    expand = lambda base: forecast._unnest(base, 4)
+    got = scaling.column_quantiles(df, expand, [0.0, 0.25, 0.5, 0.99, 1.0])
+    assert set(got) == set(data)
+    for s, x in data.items():
+        with np.errstate(over="ignore"):
+            want = np.quantile(x, [0.0, 0.25, 0.5, 0.99, 1.0], axis=0)
+        fine = np.isfinite(want) & np.isfinite(got[s])
+        assert np.allclose(got[s][fine], want[fine], rtol=1e-9, atol=0) and fine[:, 1:3].all()
+    near = scaling.column_moments(df.where("segment = 'a'"), expand)["a"]
+    assert np.allclose(near[1][3], data["a"][:, 3].std(), rtol=1e-9)
+    assert scaling.column_quantiles(df.limit(0), expand, [0.5]) == {}
+
+
+def test_forests_of_many_segments(spark):
+    """Rows meet their segment's forest in a shuffle; scores equal the broadcast way, and none is lost."""
+    rng = np.random.default_rng(6)
+    names = [f"s{i}" for i in range(5000)]
+    rows = [(s, i, *map(float, rng.normal(size=6))) for i, s in enumerate(names + ["s0"] * 3000 + ["unknown"] * 3)]
+    df = spark.createDataFrame(rows, "segment string, id long, " + ", ".join(f"{c} double" for c in forest.FEATURES))
+    # Two trees a segment: a split on a feature of its own, and one leaf.
+    nodes = [
+        n for i, s in enumerate(names)
+        for n in ((s, 0, 0, i % 6, 0.1 * (i % 7 - 3), 1, 2, 0.0), (s, 0, 1, -1, 0.0, -1, -1, 5.0), (s, 0, 2, -1, 0.0, -1, -1, 2.0), (s, 1, 0, -1, 0.0, -1, -1, 3.0))
+    ]
+    trees = spark.createDataFrame(nodes, forest.NODES)
+    samples = spark.createDataFrame([(s, 256) for s in names], "segment string, forest_samples int")
+    got = {r.id: r.score for r in forest.with_scores(df, trees, samples, slice_rows=500).select("id", "score").collect()}
+    unit = float(forest.average_path(256))
+    assert len(got) == len(rows)
+    for s, i, *x in rows:
+        if s == "unknown":
+            assert got[i] is None
+            continue
+        k = int(s[1:])
+        path = (2.0 if x[k % 6] > 0.1 * (k % 7 - 3) else 5.0) + 3.0
+        assert np.isclose(got[i], 2 ** (-path / 2 / unit))
+    few = samples.where("segment in ('s0', 's1')")
+    small = df.where("segment in ('s0', 's1')")
+    wide = forest.with_scores(small, trees.join(few.select("segment"), "segment", "left_semi"), few).select("id", "score")
+    assert {r.id: r.score for r in wide.collect()} == {r[1]: got[r[1]] for r in rows if r[0] in ("s0", "s1")}
+
+
+def test_points_without_a_place_do_not_hold_up_the_rest(spark, monkeypatch):
+    """NaN and infinite coordinates are nearest to nothing, however many centres there are."""
+    inf, nan = float("inf"), float("nan")
+    xs = ", ".join(f"x{i} double" for i in range(4))
+    centres = spark.createDataFrame(
+        [(float(i), 0.0, 0.0, 0.0, i, f"s{i}") for i in range(8)] + [(nan, 0.0, 0.0, 0.0, 9, "bad")],
+        f"{xs}, cluster int, segment string",
+    )
+    points = spark.createDataFrame(
+        [("a", 0.2, 0.0, 0.0, 0.0), ("b", nan, 0.0, 0.0, 0.0), ("c", 1.0, inf, 0.0, 0.0), ("d", 6.9, 0.0, 0.0, 0.0)],
+        f"client_id string, {xs}",
+    )
+    for most in (5000, 3):
+        monkeypatch.setattr(segment, "CENTRES_PER_ROW", most)
+        got = segment.nearest_centre(points, centres).collect()
+        assert {(r.client_id, r.segment) for r in got} == {("a", "s0"), ("d", "s7")}
 
 
 @pytest.mark.parametrize("limit", [None, 20])
