@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlens.llm import exact_dedup, near_overlap, packing, quality, secret_scan
+from meterlens.llm import exact_dedup, packing, quality, secret_scan, simhash
 from meterlens.llm.tables import table
 from meterlens.session import cut
 
@@ -24,8 +24,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose 5-word shingles overlap by 0.8 or more the document with the smallest doc_id."""
-    return near_overlap.keep_one_of_each(docs)
+    """Of each group of fingerprints (3-word shingles) linked by 2 or fewer bits the document with the smallest doc_id."""
+    return simhash.keep_one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
