@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from meterlens.llm.bitfilter import ask, build, cells_for
 from meterlens.llm.components import components
 from meterlens.llm.tables import hex64, small_batches
 from meterlens.session import cut
@@ -133,36 +134,43 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``documents`` that stay: of each class one row of the smallest doc_id, all columns unchanged.
 
-    Null ids come last. Where several rows hold a class's smallest id, the one with the least text hash stays.
+    Null ids come last. Where several rows hold a class's smallest id, the one with the least text hash stays; of rows
+    that repeat id and text one stays. Null, empty and blank texts are one class. An empty table gives an empty result,
+    and columns of any name pass through.
+
+    Only rows of classes with more than one row shuffle with their texts: a filter of bounded size lets the others,
+    whose class is theirs alone, pass straight through.
     """
     columns = documents.columns
-    rows = documents.select(
-        F.struct("*").alias("__row"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("__id"),
-        F.xxhash64(F.col(text_col)).alias("__h"),
-    )
-    texts = documents.select(
+    place = [
         F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("__id"),
         F.xxhash64(F.col(text_col)).alias("__h"),
-        F.col(text_col).alias("__text"),
-    )
+    ]
     with small_batches(documents.sparkSession):
-        keyed = cut(_with_prints(texts))
-    distinct = cut(keyed.groupBy("fp").agg(F.min(F.struct("__id", "__h")).alias("first")))
+        keyed = cut(_with_prints(documents.select(*place, F.col(text_col).alias("__text"))))
+    distinct = cut(keyed.groupBy("fp").agg(F.min(F.struct("__id", "__h")).alias("first"), F.count(F.lit(1)).alias("n")))
     member = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    first = (
-        distinct.join(member, "fp", "left")
-        .groupBy(F.coalesce("root", "fp").alias("class_fp"))
-        .agg(F.min("first").alias("first"))
-        .select("first.*")
-        .distinct()
-    )
-    return (
-        rows.join(first, ["__id", "__h"])
-        .groupBy("__id", "__h")
+    placed = distinct.join(member, "fp", "left").withColumn("class_fp", F.coalesce("root", "fp"))
+    classes = placed.groupBy("class_fp").agg(F.min("first").alias("first"), F.sum("n").alias("rows"))
+    several = cut(placed.select("fp", "class_fp").join(classes.where("rows > 1"), "class_fp").select("fp", "first.*"))
+    touched = cut(keyed.join(several.select("fp"), "fp").select(F.xxhash64("__id", "__h").alias("__k")).distinct())
+    cells = cells_for(touched.count())
+    rows = documents.select(F.struct("*").alias("__row"), *place).withColumn("__k", F.xxhash64("__id", "__h"))
+    tested = ask(rows, "__k", build(touched, "__k", cells, least=1), cells, "__maybe")
+    alone = tested.where(~F.col("__maybe")).select("__row")
+    # Rows that only seem touched are the first of their own class, so they stay as well.
+    kept = several.select("__id", "__h").distinct().withColumn("__stays", F.lit(True))
+    in_class = touched.withColumn("__in", F.lit(True))
+    decided = (
+        tested.where("__maybe")
+        .groupBy("__id", "__h", "__k")
         .agg(F.first("__row").alias("__row"))
-        .select(*[F.col(f"__row.`{c}`").alias(c) for c in columns])
+        .join(in_class, "__k", "left")
+        .join(kept, ["__id", "__h"], "left")
+        .where("__in is null or __stays")
+        .select("__row")
     )
+    return alone.unionByName(decided).select(*[F.col(f"__row.`{c}`").alias(c) for c in columns])
 
 
 def _with_prints(rows: DataFrame) -> DataFrame:
