@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from meterlens import schema as S
@@ -111,6 +113,57 @@ def _scaler_columns(spark, sf, p, digits):
     )
 
 
+#: A given model per segment: coefficients, centres and scales over all columns of the design matrix.
+_GIVEN = {
+    seg: {
+        "coef": [factor * math.sin(i + 1) / 20 for i in range(len(_DESIGN.names))],
+        "center": [float(i % 5) for i in range(len(_DESIGN.names))],
+        "scale": [1.0 + i % 3 for i in range(len(_DESIGN.names))],
+        "intercept": 12.5 * factor,
+    }
+    for seg, factor in (("Comercial", 1.0), ("Industrial", -2.0))
+}
+
+
+def _given_sql(model: dict) -> str:
+    terms = zip(model["coef"], _DESIGN.names, model["center"], model["scale"])
+    return " + ".join([str(model["intercept"]), *[f"({w}) * (({c}) - {m}) / {s}" for w, c, m, s in terms]])
+
+
+@query(
+    "forecast_values",
+    f"""WITH {cte(E)}, t AS ({SUPERVISED.format(view=E)}) SELECT client_id, ts, src_ord, round(CASE segment
+        {' '.join(f"WHEN '{seg}' THEN {_given_sql(m)}" for seg, m in _GIVEN.items())} END, 4) AS volume_hat FROM t""",
+)
+def _(spark, sf):
+    """The forecast of a given model, on every row with all lags."""
+    rows = series.lag_arrays(_blocks(spark, sf), "volume", P).core()
+    given = [(seg, m["coef"], m["center"], m["scale"], m["intercept"]) for seg, m in _GIVEN.items()]
+    layout = "segment string, coef array<double>, center array<double>, scale array<double>, intercept double"
+    hat = forecast.predictor(spark.createDataFrame(given, layout), P)
+    return rows.select("client_id", "ts", "src_ord", F.round(hat, 4).alias("volume_hat"))
+
+
+_ONE = ForecastParams(lags_v=1, lags_exo=0, poly_degree=1, scaler="standard")
+
+
+@query(
+    "elastic_net_one_feature",
+    f"""WITH {cte(E)}, m AS (SELECT segment, count(*) AS n_train, avg(y) AS mean_y,
+            covar_pop(temperature, y) / stddev_pop(temperature) AS c
+            FROM (SELECT segment, temperature, volume + 3 * temperature + 1e8 AS y FROM {E}) GROUP BY segment)
+        SELECT segment, n_train, round(sign(c) * greatest(abs(c) - {_ONE.alpha * _ONE.l1_ratio}, 0)
+            / (1 + {_ONE.alpha * (1 - _ONE.l1_ratio)}), 5) AS coef, round(mean_y, 4) AS intercept FROM m""",
+)
+def _(spark, sf):
+    """One standardised feature has a closed form; the target's level is far above its spread."""
+    target = F.col("volume") + 3 * F.col("temperature") + 1e8
+    rows = readings(spark, sf, E).select("segment", F.array("temperature").alias("base"), target.alias("volume_next"))
+    model = forecast.fit_elastic_net(forecast.moment_rows(rows, forecast.fit_scaler(rows, _ONE), _ONE), _ONE)
+    only = F.round(F.get("coef", F.lit(0)), 5).alias("coef")
+    return model.select("segment", "n_train", only, F.round("intercept", 4).alias("intercept"))
+
+
 _RW = "(PARTITION BY client_id ORDER BY ts, src_ord ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"
 _RESID = f"""r AS (SELECT client_id, ts, src_ord, volume - 100 AS resid FROM {E}),
     s AS (SELECT *, CASE WHEN count(*) OVER {_RW} >= 5 THEN avg(resid) OVER {_RW} ELSE 0 END AS r_mean,

@@ -94,19 +94,82 @@ def fit_scaler(train: DataFrame, p: ForecastParams) -> DataFrame:
     return train.sparkSession.createDataFrame(rows, f"{S.SEGMENT} string, center array<double>, scale array<double>")
 
 
+#: Columns of one page of co-moments: a page is ``PAGE`` rows of the matrix, laid end to end.
+MOMENTS = f"{S.SEGMENT} string, page int, n double, mean array<double>, rows array<double>"
+PAGE = 16
+
+
+class _CoMoments:
+    """Count, mean and centred products of the columns of all rows so far.
+
+    Two parts are joined by their difference of means (pairwise update), so a level far above the spread costs no digits.
+    """
+
+    def __init__(self, n: float, mean: np.ndarray, products: np.ndarray, at: slice = slice(None)):
+        self.n, self.mean, self.products, self.at = n, mean, products, at
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> _CoMoments:
+        mean = x.mean(axis=0)
+        x = x - mean
+        return cls(float(len(x)), mean, x.T @ x)
+
+    def add(self, other: _CoMoments) -> None:
+        n = self.n + other.n
+        apart = other.mean - self.mean
+        self.products += other.products + np.outer(apart[self.at], apart) * (self.n * other.n / n)
+        self.mean = self.mean + apart * (other.n / n)
+        self.n = n
+
+
+def _read_pages(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], _CoMoments]]:
+    for r in batch.to_pylist():
+        mean = np.asarray(r["mean"])
+        at = slice(r["page"] * PAGE, (r["page"] + 1) * PAGE)
+        products = np.asarray(r["rows"]).reshape(-1, len(mean))
+        yield (r[S.SEGMENT], r["page"]), _CoMoments(r["n"], mean, products, at)
+
+
+def _write_pages(pages: list[tuple[str, int, float, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    segment, page, n, mean, rows = zip(*pages)
+    doubles = pa.list_(pa.float64())
+    return pa.RecordBatch.from_pydict(
+        {
+            S.SEGMENT: pa.array(segment, pa.string()),
+            "page": pa.array(page, pa.int32()),
+            "n": pa.array(n, pa.float64()),
+            "mean": pa.array(list(mean), doubles),
+            "rows": pa.array([r.ravel() for r in rows], doubles),
+        }
+    )
+
+
+def _merge_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Join the parts of each page as they come; one page per key is held, however many tasks sent parts."""
+    held: dict[tuple[str, int], _CoMoments] = {}
+    for batch in batches:
+        for key, part in _read_pages(batch):
+            if key in held:
+                held[key].add(part)
+            else:
+                held[key] = part
+    if held:
+        yield _write_pages([(seg, page, m.n, m.mean, m.products) for (seg, page), m in held.items()])
+
+
 def moment_rows(train: DataFrame, scaler: DataFrame, p: ForecastParams) -> DataFrame:
-    """Sums of products of (1, scaled features, target) per segment, one row per matrix row.
+    """Centred products of (scaled features, target) per segment, one row per page of the matrix (``MOMENTS``).
 
-    Each task adds up its own rows; the sums of all tasks are then added, a few matrix rows per group.
+    Each task joins the moments of its batches; the pages of all tasks are then joined, a few matrix rows per key.
     """
     design = Design.of(p)
     scales = {
         r[S.SEGMENT]: (np.asarray(r["center"]), np.asarray(r["scale"])) for r in segment_rows(scaler)
     }
-    width, size = len(design.base), len(design.names) + 2
+    width, size = len(design.base), len(design.names) + 1
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[str, _CoMoments] = {}
         for batch in batches:
             segments = batch.column(0).to_numpy(zero_copy_only=False)
             x = design.matrix(_unnest(batch.column(1), width))
@@ -114,28 +177,17 @@ def moment_rows(train: DataFrame, scaler: DataFrame, p: ForecastParams) -> DataF
             for seg in pd.unique(segments):
                 mine = segments == seg
                 centre, scale = scales[seg]
-                z = np.column_stack([np.ones(mine.sum()), (x[mine] - centre) / scale, y[mine]])
-                sums[seg] = sums.get(seg, 0) + z.T @ z
-        for seg, total in sums.items():
-            yield pa.RecordBatch.from_pydict(
-                {
-                    S.SEGMENT: pa.array([seg] * size),
-                    "i": pa.array(np.arange(size, dtype="int32")),
-                    "row": pa.array(list(total), type=pa.list_(pa.float64())),
-                }
-            )
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        at, which = np.unique(rows["i"], return_inverse=True)
-        total = np.zeros((len(at), size))
-        np.add.at(total, which, np.stack(rows["row"].to_list()))
-        return pd.DataFrame({S.SEGMENT: rows[S.SEGMENT].iloc[0], "i": at, "row": list(total)})
-
-    layout = f"{S.SEGMENT} string, i int, row array<double>"
-    parts = train.select(S.SEGMENT, "base", "volume_next").mapInArrow(partial, layout)
-    # A few matrix rows per group: enough groups to spread, few enough to be cheap.
-    page = F.floor(F.col("i") / 16).alias("page")
-    return parts.groupBy(S.SEGMENT, page).applyInPandas(add, layout)
+                part = _CoMoments.of(np.column_stack([(x[mine] - centre) / scale, y[mine]]))
+                if seg in sums:
+                    sums[seg].add(part)
+                else:
+                    sums[seg] = part
+        for seg, m in sums.items():
+            starts = range(0, size, PAGE)
+            yield _write_pages([(seg, i // PAGE, m.n, m.mean, m.products[i : i + PAGE]) for i in starts])
+
+    parts = train.select(S.SEGMENT, "base", "volume_next").mapInArrow(partial, MOMENTS)
+    return parts.repartition(S.SEGMENT, "page").mapInArrow(_merge_pages, MOMENTS)
 
 
 def elastic_net(gram: np.ndarray, xy: np.ndarray, n: float, yy: float, p: ForecastParams) -> np.ndarray:
@@ -179,10 +231,9 @@ def fit_elastic_net(moments: DataFrame, p: ForecastParams) -> DataFrame:
     """One row per segment: ``coef`` over the scaled design matrix, ``intercept``, ``n_train``."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        full = np.stack(rows.sort_values("i")["row"].to_numpy())
-        n = full[0, 0]
-        mean = full[0, 1:] / n
-        centred = full[1:, 1:] - n * np.outer(mean, mean)
+        rows = rows.sort_values("page")
+        n, mean = rows["n"].iloc[0], rows["mean"].iloc[0]
+        centred = np.concatenate([np.reshape(r, (-1, len(mean))) for r in rows["rows"]])
         w = elastic_net(centred[:-1, :-1], centred[:-1, -1], n, centred[-1, -1], p)
         return pd.DataFrame(
             {

@@ -60,6 +60,28 @@ def test_residual_edges(spark):
         assert np.allclose(g.dz_abs, z.diff().fillna(0).abs(), rtol=1e-6) and np.allclose(g.dr_abs, r.diff().fillna(0).abs())
 
 
+def test_moments_of_a_distant_level(spark):
+    """A level far above the spread changes no coefficient, however the rows lie in tasks."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5000, 3)) * [1.0, 5.0, 0.2] + [0.0, 1e6, 40.0]
+    y = x @ [2.0, -0.5, 3.0] + rng.normal(size=5000)
+    p = ForecastParams(lags_v=3, lags_exo=0, poly_degree=1)
+    found = {}
+    for level in (0.0, 1e8):
+        for parts in (1, 7):
+            rows = [("a" if i % 4 else "b", r.tolist(), float(t + level)) for i, (r, t) in enumerate(zip(x, y))]
+            df = spark.createDataFrame(rows, "segment string, base array<double>, volume_next double").repartition(parts)
+            moments = forecast.moment_rows(df, forecast.fit_scaler(df, p), p)
+            for r in forecast.fit_elastic_net(moments, p).collect():
+                found.setdefault(r.segment, []).append([*r.coef, r.intercept - level])
+                assert r.n_train == (1250 if r.segment == "b" else 3750)
+    assert sorted(found) == ["a", "b"]
+    for fits in found.values():
+        assert np.ptp(fits, axis=0).max() < 1e-6
+    empty = df.limit(0)
+    assert forecast.fit_elastic_net(forecast.moment_rows(empty, forecast.fit_scaler(df, p), p), p).count() == 0
+
+
 def test_elastic_net_is_optimal(spark, sf):
     """Subgradient conditions of the penalised problem at the fitted coefficients."""
     p = ForecastParams()
