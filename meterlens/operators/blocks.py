@@ -155,44 +155,3 @@ def _spread(df: DataFrame, size: int, back: int, ahead: int) -> DataFrame:
     return df.withColumn("block", F.explode(F.sequence(first, final))).withColumn(
         "is_core", F.col("block") == F.floor(pos / size)
     )
-
-
-def time_blocks(
-    df: DataFrame,
-    reach: int,
-    *,
-    clock: str,
-    keys: Sequence[str] = (S.CLIENT,),
-    max_rows: int | None = None,
-) -> tuple[DataFrame, list[str]]:
-    """Blocks by time, for windows that reach back ``reach`` units of the numeric column ``clock``.
-
-    Returns the rows with ``block``/``is_core`` and the columns to partition windows by. Only clients
-    above ``max_rows`` are cut; their block width follows their own reading density.
-    """
-    keys = list(keys)
-    max_rows = max_rows or MAX_ROWS
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(clock).alias("_t0"), F.max(clock).alias("_t1")
-    )
-    hot = stats.where(F.col("_n") > max_rows)
-    n_hot = hot.count()
-    if n_hot == 0:
-        return df.withColumns({"block": F.lit(0).cast("long"), "is_core": F.lit(True)}), keys
-    pieces = F.ceil(F.col("_n") * 4 / max_rows)
-    width = F.greatest(F.lit(reach), F.ceil((F.col("_t1") - F.col("_t0") + 1) / pieces))
-    side = hot.select(*keys, "_t0", "_t1", width.cast("long").alias("_width"))
-    joined = df.join(checked_broadcast(side, n_hot), keys, "left")
-    offset = F.col(clock) - F.col("_t0")
-    own = F.coalesce(F.floor(offset / F.col("_width")), F.lit(0).cast("long"))
-    last = F.floor((F.col("_t1") - F.col("_t0")) / F.col("_width"))
-    final = F.coalesce(
-        F.least(F.floor((offset + reach) / F.col("_width")), last), F.lit(0).cast("long")
-    )
-    spread = (
-        joined.withColumn("_own", own)
-        .withColumn("block", F.explode(F.sequence(F.col("_own"), final)))
-        .withColumn("is_core", F.col("block") == F.col("_own"))
-        .drop("_own", "_t0", "_t1", "_width")
-    )
-    return spread, [*keys, "block"]

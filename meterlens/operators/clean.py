@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterlens import schema as S
-from meterlens.operators.blocks import time_blocks
+from meterlens.operators.blocks import checked_broadcast, hot_keys, task_count
+from meterlens.operators.ordering import trailing_mean
 
 HOUR = 3_600_000_000  # microseconds
+BURST_ROWS = 100_000
 
 
 def micros(ts: str = S.TS) -> Column:
@@ -53,13 +55,24 @@ def duplicate_count(df: DataFrame, keys: Sequence[str] = (S.CLIENT, S.TS)) -> Da
 def prior_mean(
     df: DataFrame, lookback: int = 3 * HOUR, col: str = S.PRESSURE, *, max_rows: int | None = None
 ) -> DataFrame:
-    """Add ``prior_mean``: the client's mean of ``col`` over ``[ts - lookback, ts)``, null if empty."""
-    rows, group = time_blocks(
-        df.withColumn("_us", micros()), lookback, clock="_us", max_rows=max_rows
+    """Add ``prior_mean``: the client's mean of ``col`` over ``[ts - lookback, ts)``, null if empty or without time.
+
+    Spark's own sliding window reads the whole look-back for every row and holds a client in one task, so clients with
+    more than ``max_rows`` readings, who may have sent them in one burst, go through running totals.
+    """
+    max_rows = max_rows or BURST_ROWS
+    timed = df.withColumn("_us", micros())
+    w = Window.partitionBy(S.CLIENT).orderBy("_us").rangeBetween(-lookback, -1)
+    slide = F.when(F.col("_us").isNotNull(), F.avg(col).over(w))
+    hot, n_hot, rows = hot_keys(timed, [S.CLIENT], max_rows)
+    if n_hot == 0:
+        return timed.withColumn("prior_mean", slide).drop("_us")
+    side = checked_broadcast(hot.select(S.CLIENT), n_hot)
+    few = timed.join(side, S.CLIENT, "left_anti").withColumn("prior_mean", slide)
+    many = trailing_mean(
+        timed.join(side, S.CLIENT, "left_semi"), [S.CLIENT], "_us", lookback, col, "prior_mean", parts=task_count(df, rows)
     )
-    w = Window.partitionBy(*group).orderBy("_us").rangeBetween(-lookback, -1)
-    with_mean = rows.withColumn("prior_mean", F.avg(col).over(w))
-    return with_mean.where("is_core").drop("_us", "block", "is_core")
+    return few.unionByName(many).drop("_us")
 
 
 def impute_pressure(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterlens.catalog.views import readings
 from meterlens.config import ForecastParams
-from meterlens.operators import clean, explore, forecast, forest, scaling, segment, series
+from meterlens.operators import clean, explore, forecast, forest, ordering, scaling, segment, series
 from meterlens.operators.blocks import series_blocks
 from meterlens.operators.ordering import running_totals
 from meterlens.operators.quantiles import exact_quantiles
@@ -59,6 +59,35 @@ def test_time_lookback(skewed):
     pd.testing.assert_frame_equal(made(None), made(60))
 
 
+def test_time_lookback_of_a_burst(spark, monkeypatch):
+    """All rows of a client within one look-back, many at one time: even tasks, the same means."""
+    rng = np.random.default_rng(8)
+    second = [*rng.integers(0, 9000, 2000).tolist(), *[4000] * 1500, *rng.integers(0, 10**6, 2500).tolist()]
+    value = rng.normal(5, 2, len(second)).tolist()
+    odd = {3: float("nan"), 9: float("inf"), 11: float("-inf"), 20: 1e18, 21: -1e9, 30: None, 31: 0.0}
+    rows = [("burst", t, x, i) for i, (t, x) in enumerate(zip(second, value))]
+    rows += [("late", 50000 + 400 * i, odd.get(i, 1.5), i) for i in range(300)] + [("few", 7, 1.0, 0), ("burst", None, 2.0, -1)]
+    df = spark.createDataFrame(rows, "client_id string, s long, pressure double, src_ord long")
+    df = df.withColumn("ts", F.timestamp_seconds("s")).withColumn("_at", F.lit("kept"))
+    sizes, plain_cut = [], ordering.cut
+
+    def watched(table):
+        made = plain_cut(table)
+        sizes.append([r["count"] for r in made.groupBy("_part").count().collect()])
+        return made
+
+    monkeypatch.setattr(ordering, "cut", watched)
+    got = table(clean.prior_mean(df, max_rows=200), "client_id", "src_ord")
+    assert len(sizes) == 1 and len(sizes[0]) > 4 and max(sizes[0]) < 2.5 * sum(sizes[0]) / len(sizes[0])
+    want = table(clean.prior_mean(df, max_rows=10**6), "client_id", "src_ord")
+    pd.testing.assert_frame_equal(got, want[got.columns], rtol=1e-9)
+    assert got.prior_mean.isna().any() and np.isinf(got.prior_mean).any()
+    # By hand: the late client's window of 10,800 s holds the 26 or 27 readings before.
+    late = got[got.client_id == "late"].prior_mean
+    assert np.isnan(late.iloc[0]) and np.allclose(late.iloc[100:], 1.5)
+    assert clean.prior_mean(df.limit(0), max_rows=1).count() == 0
+
+
 def test_interpolation(skewed):
     grid = series.hourly_grid(skewed, truncate=True)
     made = lambda limit: table(series.interpolate(series_blocks(grid, 0, 0, order=("ts",), max_rows=limit)).core().select("client_id", "ts", "volume", "pressure"), "client_id", "ts")
