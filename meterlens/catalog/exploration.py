@@ -176,12 +176,12 @@ def _first_l(spark, sf):
     return cut(clean.keep_first(readings(spark, sf, L).drop("segment", "label")))
 
 
-def _lag_blocks(spark, sf, reach=40):
+def _lag_blocks(spark, sf, reach=plan.MAX_LAG):
     return series_blocks(_first_l(spark, sf).select("client_id", "ts", "src_ord", "volume"), reach, reach)
 
 
 _LAGGED = f"""{FIRST_L}, sq AS (SELECT client_id, volume AS x, row_number() OVER (PARTITION BY client_id ORDER BY ts, src_ord) AS i FROM first_l),
-    pr AS (SELECT a.client_id, k.lag, a.x AS x, b.x AS y FROM sq a, (SELECT unnest(generate_series(0, 40)) AS lag) k, sq b
+    pr AS (SELECT a.client_id, k.lag, a.x AS x, b.x AS y FROM sq a, (SELECT unnest(generate_series(0, {plan.MAX_LAG})) AS lag) k, sq b
         WHERE b.client_id = a.client_id AND b.i = a.i + k.lag)"""
 
 
@@ -190,35 +190,48 @@ _LAGGED = f"""{FIRST_L}, sq AS (SELECT client_id, volume AS x, row_number() OVER
     f"WITH {_LAGGED} SELECT client_id, CAST(lag AS INTEGER) AS lag, round(corr(x, y), 6) AS r FROM pr GROUP BY ALL",
 )
 def _(spark, sf):
-    sums = explore.lag_sums(_lag_blocks(spark, sf), "volume", 40)
+    sums = explore.lag_sums(_lag_blocks(spark, sf), "volume", plan.MAX_LAG)
     return explore.lag_correlation(sums).select("client_id", "lag", F.round("r", 6).alias("r"))
 
 
-@query(
-    "autocorrelation",
-    f"""WITH {_LAGGED}, m AS (SELECT client_id, avg(x) AS mu, var_pop(x) * count(*) AS v FROM sq GROUP BY client_id)
-        SELECT client_id, CAST(lag AS INTEGER) AS lag, round(sum((x - mu) * (y - mu)) / any_value(v), 6) AS acf
-        FROM pr JOIN m USING (client_id) GROUP BY client_id, lag""",
-)
+_ACF = f"""{_LAGGED}, m AS (SELECT client_id, avg(x) AS mu, var_pop(x) * count(*) AS v FROM sq GROUP BY client_id),
+    acf AS (SELECT client_id, CAST(lag AS INTEGER) AS lag, sum((x - mu) * (y - mu)) / any_value(v) AS acf
+        FROM pr JOIN m USING (client_id) GROUP BY client_id, lag)"""
+
+
+@query("autocorrelation", f"WITH {_ACF} SELECT client_id, lag, round(acf, 6) AS acf FROM acf")
 def _(spark, sf):
-    sums = explore.lag_sums(_lag_blocks(spark, sf), "volume", 40)
+    sums = explore.lag_sums(_lag_blocks(spark, sf), "volume", plan.MAX_LAG)
     return explore.autocorrelation(sums, ["client_id"]).select("client_id", "lag", F.round("acf", 6).alias("acf"))
 
 
 @query(
     "seasonal_period",
     f"""WITH {_LAGGED}, c AS (SELECT client_id, lag, corr(x, y) AS r FROM pr GROUP BY ALL)
-        SELECT client_id, CAST(min(lag) FILTER (lag > 0 AND r > 0.05) AS INTEGER) AS period FROM c GROUP BY client_id""",
+        SELECT client_id, CAST(min(lag) FILTER (lag > 0 AND r > 0.25) AS INTEGER) AS period,
+            CAST(min(lag) FILTER (lag > 0 AND r > 0.05) AS INTEGER) AS faint_period FROM c GROUP BY client_id""",
 )
 def _(spark, sf):
-    sums = explore.lag_sums(_lag_blocks(spark, sf), "volume", 40)
-    return explore.seasonal_period(sums, ["client_id"], threshold=0.05)
+    sums = cut(explore.lag_sums(_lag_blocks(spark, sf), "volume", plan.MAX_LAG))
+    faint = explore.seasonal_period(sums, ["client_id"], threshold=0.05).withColumnRenamed("period", "faint_period")
+    return explore.seasonal_period(sums, ["client_id"]).join(faint, "client_id")
 
 
-@query("partial_autocorrelation")
+@query(
+    "partial_autocorrelation",
+    f"""WITH RECURSIVE {_ACF}, a AS (SELECT client_id, list(acf ORDER BY lag) AS rho FROM acf GROUP BY client_id),
+        steps AS (SELECT client_id, rho, 0 AS k, CAST([] AS DOUBLE[]) AS phi, CAST(1 AS DOUBLE) AS pacf FROM a
+            UNION ALL
+            SELECT client_id, rho, k + 1, list_append([phi[j] - last * phi[k + 1 - j] FOR j IN range(1, k + 1)], last), last
+            FROM (SELECT *, (rho[k + 2] - coalesce(list_sum([phi[j] * rho[k + 2 - j] FOR j IN range(1, k + 1)]), 0))
+                / (1 - coalesce(list_sum([phi[j] * rho[j + 1] FOR j IN range(1, k + 1)]), 0)) AS last
+                FROM steps WHERE k + 1 < len(rho)))
+        SELECT client_id, k AS lag, round(pacf, 6) AS pacf FROM steps""",
+)
 def _(spark, sf):
-    sums = explore.lag_sums(_lag_blocks(spark, sf), "volume", 40)
-    return explore.partial_autocorrelation(explore.autocorrelation(sums, ["client_id"]), ["client_id"])
+    sums = explore.lag_sums(_lag_blocks(spark, sf), "volume", plan.MAX_LAG)
+    made = explore.partial_autocorrelation(explore.autocorrelation(sums, ["client_id"]), ["client_id"])
+    return made.select("client_id", "lag", F.round("pacf", 6).alias("pacf"))
 
 
 _PERIOD = 7

@@ -280,7 +280,7 @@ def lag_sums(blocks: Blocks, col: str, lags: int) -> DataFrame:
                 "sy": upto[stop + lag] - upto[first + lag],
                 "sxx": squares[stop] - squares[first],
                 "syy": squares[stop + lag] - squares[first + lag],
-                "sxy": [x[first:b] @ x[first + k : b + k] for k, b in zip(lag, stop)],
+                "sxy": _lag_products_of(x[first : last + 1], x[first:], len(lag)),
             }
         )
         for k in reversed(keys):
@@ -300,6 +300,21 @@ def lag_sums(blocks: Blocks, col: str, lags: int) -> DataFrame:
     )
 
 
+def _lag_products_of(own: np.ndarray, longer: np.ndarray, lags: int) -> np.ndarray:
+    """Sum of ``own[i] * longer[i + k]`` for each lag ``k``, all lags at once.
+
+    Runs through ``own`` in pieces of a few lags' length: each is multiplied in the frequency domain with its piece of
+    ``longer`` and the margin after it, so time grows with the logarithm of the lags and memory not with the series.
+    """
+    size = 1 << max(10, (4 * lags - 1).bit_length())  # of a transform
+    step = size - lags  # rows whose products of all lags fit without wrapping round
+    total = np.zeros(size // 2 + 1, dtype=complex)
+    for i in range(0, len(own), step):
+        here = np.fft.rfft(own[i : i + step], size)
+        total += np.conj(here) * np.fft.rfft(longer[i : i + size], size)
+    return np.fft.irfft(total, size)[:lags]
+
+
 def lag_correlation(sums: DataFrame) -> DataFrame:
     """Pearson correlation of the series with itself ``lag`` rows later."""
     n = F.col("n")

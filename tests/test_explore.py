@@ -70,6 +70,14 @@ def test_kpss(walk):
     assert got["short"].kpss_stat is None
 
 
+@pytest.mark.parametrize("own, margin, lags", [(1, 0, 1), (30, 7, 401), (5000, 400, 401), (3000, 0, 401), (2500, 60, 1500)])
+def test_lag_products_by_pieces(own, margin, lags):
+    x = np.random.default_rng(own).normal(size=own + margin)
+    got = explore._lag_products_of(x[:own], x, lags)
+    want = [x[: min(own, len(x) - k)] @ x[k : k + min(own, len(x) - k)] if k < len(x) else 0.0 for k in range(lags)]
+    assert np.allclose(got, want, atol=1e-9)
+
+
 def test_period_and_partial_correlations(walk):
     sets, blocks, _ = walk
     sums = explore.lag_sums(blocks, "volume", 40)
