@@ -11,6 +11,7 @@ from meterlens.catalog.registry import query
 from meterlens.catalog.views import cte, readings, table
 from meterlens.operators import clean, columns, flags, report
 from meterlens.operators.timestamps import parse_fixed_timestamp, parse_timestamp
+from meterlens.sources.readers import empty_readings
 
 E, L, O = "readings_e", "readings_l", "readings_o"
 
@@ -116,6 +117,21 @@ def _(spark, sf):
     return columns.require_date_column(df).select("client_id", "ts")
 
 
+@query(
+    "required_columns",
+    f"WITH {cte(O)} SELECT client_id, CAST(ts AS TIMESTAMP) AS ts, volume, pressure, temperature FROM {O}",
+)
+def _(spark, sf):
+    """Readings that have every required column join an empty readings table; a table that lacks some is refused."""
+    raw = table(spark, sf, "events").selectExpr("CAST(user_id AS STRING) AS client_id", "ts", "value AS volume")
+    try:
+        kept = columns.require_columns(raw)
+    except S.MissingColumns:
+        kept = empty_readings(spark)
+    whole = columns.require_columns(readings(spark, sf, O))
+    return kept.select(*S.REQUIRED).unionByName(whole.select(*S.REQUIRED))
+
+
 @query(
     "coerce_numbers",
     """SELECT event_id, TRY_CAST(raw AS DOUBLE) AS volume FROM (

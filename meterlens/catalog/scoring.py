@@ -16,7 +16,7 @@ from meterlens.operators.blocks import series_blocks
 from meterlens.operators.ordering import running_totals
 from meterlens.operators.ssa import smooth
 
-E, L, O = "readings_e", "readings_l", "readings_o"
+E, L = "readings_e", "readings_l"
 P = ForecastParams()
 KEYS = (S.SEGMENT, S.CLIENT)
 
@@ -55,12 +55,20 @@ def _(spark, sf):
     return df.select("client_id", "ts", "volume_next", *_LAG_NAMES)
 
 
+# Every client's readings as runs of 25, 26 or 27: too short for a lagged row, just long enough, and one more.
+_RUN = "concat(client_id, '_', CAST(floor((nth - 1) / (25 + CAST(client_id AS INT) % 3)) AS INT))"
+_NTH = "row_number() OVER (PARTITION BY client_id ORDER BY ts, src_ord) AS nth"
+
+
 @query(
     "lag_table_short_clients",
-    f"WITH {cte(O)} SELECT client_id, ts, src_ord, volume_next, vf_lag23, t_lag11 FROM ({SUPERVISED.format(view=O)})",
+    f"""WITH {cte(E)}, short AS (SELECT * REPLACE ({_RUN} AS client_id) FROM (SELECT *, {_NTH} FROM {E}))
+        SELECT client_id, ts, src_ord, volume_next, vf_lag23, t_lag11 FROM ({SUPERVISED.format(view="short")})""",
 )
 def _(spark, sf):
-    df = series.lag_columns(series.lag_arrays(_blocks(spark, sf, O), "volume", P).core(), P)
+    short = readings(spark, sf, E).selectExpr("*", _NTH).withColumn("client_id", F.expr(_RUN)).drop("nth")
+    blocks = series_blocks(short, series.HISTORY_REACH, series.FUTURE_REACH, keys=KEYS)
+    df = series.lag_columns(series.lag_arrays(blocks, "volume", P).core(), P)
     return df.select("client_id", "ts", "src_ord", "volume_next", "vf_lag23", "t_lag11")
 
 
