@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -131,3 +132,17 @@ def _(spark, sf):
     store.upsert(keep_last(df.where("src_ord % 2 = 0")))
     store.upsert(df.where("src_ord % 2 = 1"))
     return store.current().select(*_fields(df).columns, "src_ord").withColumn("volume", F.round("volume", 5))
+
+
+@query("store_two_writers", f"WITH {cte(O)} SELECT {_FIELDS}, src_ord FROM {O} QUALIFY row_number() OVER (PARTITION BY client_id, ts ORDER BY src_ord DESC) = 1")
+def _(spark, sf):
+    """Two writers at once on the same months, and a batch whose number the store already has; nothing is lost."""
+    path = _folder(spark, "")
+    df = readings(spark, sf, O).drop("label")
+    half = F.pmod(F.xxhash64("client_id"), F.lit(2))
+    batches = [keep_last(df.where(half == i)) for i in range(2)]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda i: writers.ReadingsStore(spark, path).upsert(batches[i], f"writer{i}", 7), range(2)))
+    store = writers.ReadingsStore(spark, path)
+    store.upsert(df.withColumn("volume", F.lit(0.0)), "writer0", 7)
+    return store.current().select(*_fields(df).columns, "src_ord").withColumn("volume", F.round("volume", 5))

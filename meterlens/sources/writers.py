@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from meterlens import schema as S
 from meterlens.functions.names import safe_suffix
 from meterlens.operators.clean import upsert
 from meterlens.operators.columns import to_external
+from meterlens.session import cut
+from meterlens.sources.commits import CommitLog, Entry
 
 
 def write_csv(df: DataFrame, path: str, *, external: bool = True, mode: str = "error") -> None:
@@ -62,70 +64,111 @@ def load_models(spark: SparkSession, path: str, segments: list[str] | None = Non
     return Models(**tables)
 
 
+#: Entries of a store's log that stay, and how often a writer that others overtake begins again.
+KEEP, ATTEMPTS = 10, 50
+
+
 class ReadingsStore:
     """Readings kept as Parquet by calendar month; an update writes the months it touches anew, then says so.
 
-    Each update adds a line to the list of versions, which names its months. The current state of a month is that of
-    the newest version that names it. A reader never sees half an update, a lost job leaves the old state in place, and
-    a batch costs what the months it falls in hold, not the store.
+    An update writes a folder of its own and then the next entry of the log, which names the version of every month. A
+    reader never sees half an update, a lost job leaves the old state in place, and a batch costs what the months it
+    falls in hold, not the store. Only one writer gets an entry's number. One that comes late looks at what the others
+    changed: if that is none of its months it takes the next number, else it merges its batch with their result.
+
+    The last ``keep`` entries and the months they name stay, so a reader or writer may be overtaken that often while it
+    reads. Older ones are removed by updates. What a lost job wrote without an entry is never read; it stays.
     """
 
-    LINES = "version string, at timestamp, whole boolean, months array<string>"
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-
-    def _lines(self) -> list:
-        """All updates, oldest first: one short line each."""
-        try:
-            return self.spark.read.schema(self.LINES).json(f"{self.path}/versions").orderBy("at").collect()
-        except Exception as e:  # the folder is absent before the first write
-            if "PATH_NOT_FOUND" in str(e):
-                return []
-            raise
-
-    def _state(self) -> dict[str, str]:
-        """The version that holds each month."""
-        state: dict[str, str] = {}
-        for line in self._lines():
-            if line["whole"]:
-                state = {}
-            state.update(dict.fromkeys(line["months"], line["version"]))
-        return state
+    def __init__(self, spark: SparkSession, path: str, keep: int = KEEP) -> None:
+        self.spark, self.path, self.keep = spark, path, max(2, keep)
+        self.log = CommitLog(spark, f"{path}/log")
+
+    def _folder(self, version: str, month: str) -> str:
+        return f"{self.path}/data/{version}/month={month}"
 
     def _read(self, state: dict[str, str]) -> DataFrame | None:
-        files = [f"{self.path}/data/{version}/month={month}" for month, version in sorted(state.items())]
+        files = [self._folder(version, month) for month, version in sorted(state.items())]
         return self.spark.read.option("mergeSchema", True).parquet(*files) if files else None
 
     def current(self) -> DataFrame | None:
-        state = self._state()
-        found = self._read(state)
-        if found is None and any(line["whole"] for line in self._lines()):
-            return empty_like(self.spark)
-        return found
+        """All readings; None before the first update."""
+        last = self.log.last()
+        found = self._read(last.state)
+        return empty_like(self.spark) if found is None and last.n >= 0 else found
 
     def write(self, df: DataFrame) -> None:
-        """``df`` becomes the whole store."""
-        self._add(df, True)
-
-    def _add(self, df: DataFrame, whole: bool) -> None:
+        """``df`` becomes the whole store, whatever others write meanwhile."""
+        state = self._written(df)
+        for _ in range(ATTEMPTS):
+            last = self.log.last()
+            if self.log.put(Entry(last.n + 1, state, last.batches)):
+                return self._tidy(last.n + 1)
+        raise RuntimeError(f"{self.path}: overtaken {ATTEMPTS} times")
+
+    def _written(self, df: DataFrame) -> dict[str, str]:
+        """Write a version; the months it holds. Readings without a time have a month of their own."""
         version = uuid.uuid4().hex
         folder = f"{self.path}/data/{version}"
-        # Readings without a time have a month of their own.
-        marked = df.withColumn("month", F.coalesce(F.date_format(S.TS, "yyyyMM"), F.lit("none")))
+        marked = df.withColumn("month", _month())
         marked.write.partitionBy("month").parquet(folder)
         held = self.spark.read.schema(marked.schema).parquet(folder).select(F.col("month").cast("string")).distinct()
-        line = held.agg(F.sort_array(F.collect_list("month")).alias("months")).select(
-            F.lit(version).alias("version"), F.current_timestamp().alias("at"), F.lit(whole).alias("whole"), "months"
-        )
-        line.coalesce(1).write.mode("append").json(f"{self.path}/versions")
-
-    def upsert(self, batch: DataFrame) -> None:
-        """Add a batch; the newest row of a (client, timestamp) wins. Only the months of the batch are rewritten."""
-        month = F.coalesce(F.date_format(S.TS, "yyyyMM"), F.lit("none"))
-        touched = {r[0] for r in batch.select(month).distinct().collect()}  # calendar months: a short list
-        held = self._read({m: v for m, v in self._state().items() if m in touched})
-        self._add(batch if held is None else upsert(held, batch), False)
+        return {r[0]: version for r in held.collect()}
+
+    def upsert(self, batch: DataFrame, stream: str | None = None, batch_id: int = 0) -> None:
+        """Add a batch; the newest row of a (client, timestamp) wins. Only the months of the batch are rewritten.
+
+        A batch of a ``stream`` whose number, or a later one, is in the store already is left out, so a micro-batch that
+        runs again after a failure changes nothing. The batch is computed once.
+        """
+        base = self.log.last()
+        if stream is not None and base.batches.get(stream, -1) >= batch_id:
+            return
+        batch = cut(batch)
+        touched = {r[0] for r in batch.select(_month()).distinct().collect()}  # calendar months: a short list
+        made: dict[str, str] | None = None
+        for _ in range(ATTEMPTS):
+            if stream is not None and base.batches.get(stream, -1) >= batch_id:
+                return self._forget(made)
+            if made is None:
+                held = self._read({m: v for m, v in base.state.items() if m in touched})
+                made = self._written(batch if held is None else upsert(held, batch))
+            state = {m: v for m, v in base.state.items() if m not in touched} | made
+            batches = base.batches if stream is None else base.batches | {stream: batch_id}
+            # Numbers of removed entries are free again, so a number is tried only if it is the next one.
+            now = self.log.last()
+            if now.n == base.n and self.log.put(Entry(base.n + 1, state, batches)):
+                return self._tidy(now.n + 1)
+            now = self.log.last()
+            if any(now.state.get(m) != base.state.get(m) for m in touched):
+                self._forget(made)
+                made = None
+            base = now
+        raise RuntimeError(f"{self.path}: overtaken {ATTEMPTS} times")
+
+    def _forget(self, made: dict[str, str] | None) -> None:
+        """Remove a version that no entry names."""
+        for version in set((made or {}).values()):
+            self.log.remove(f"{self.path}/data/{version}")
+
+    def _tidy(self, n: int) -> None:
+        """After every ``keep``-th entry, remove all before the last ``keep`` and what only they name: data first."""
+        if n % self.keep:
+            return
+        entries = self.log.entries()
+        old, kept = entries[: -self.keep], entries[-self.keep :]
+        live = {item for e in kept for item in e.state.items()}
+        dead = {item for e in old for item in e.state.items()} - live
+        for month, version in dead:
+            self.log.remove(self._folder(version, month))
+        for version in {v for _, v in dead} - {v for _, v in live}:
+            self.log.remove(f"{self.path}/data/{version}")
+        for entry in old:
+            self.log.drop(entry)
+
+
+def _month() -> Column:
+    return F.coalesce(F.date_format(S.TS, "yyyyMM"), F.lit("none"))
 
 
 def empty_like(spark: SparkSession) -> DataFrame:

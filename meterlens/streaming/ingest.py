@@ -71,13 +71,14 @@ def daily_stream(readings: DataFrame) -> DataFrame:
 def upsert_stream(readings: DataFrame, store_path: str, checkpoint: str) -> StreamingQuery:
     """Merge every micro-batch into the readings store, newest row wins.
 
-    A later batch beats an earlier one; within a batch the later row wins, and ``src_ord`` is its place there.
+    A later batch beats an earlier one; within a batch the later row wins, and ``src_ord`` is its place there. The store
+    remembers the last batch of each ``checkpoint``, so one that runs again is left out.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         cols = [c for c in S.READINGS.names if c in batch.columns and c != S.ORD]
         placed = batch.select(*cols, F.monotonically_increasing_id().alias(S.ORD))
-        ReadingsStore(batch.sparkSession, store_path).upsert(keep_last(placed))
+        ReadingsStore(batch.sparkSession, store_path).upsert(keep_last(placed), checkpoint, batch_id)
 
     return (
         readings.writeStream.foreachBatch(merge)

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+from concurrent.futures import ThreadPoolExecutor
+from threading import Barrier
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +98,66 @@ def test_an_update_writes_only_the_months_it_touches(spark, tmp_path):
     assert got == {("a", m): 1.0 for m in (1, 2, 4, 5, 6)} | {("a", 3): 9.0, ("b", 3): 2.0, ("c", None): 3.0}
     store.write(make(rows[:1]))
     assert store.current().count() == 1
+
+
+ROW = "client_id string, ts timestamp_ntz, volume double, src_ord long"
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    """Both read the same state and write: in one month the later one merges again, in another it only takes the next number."""
+    store = writers.ReadingsStore(spark, str(tmp_path))
+    store.upsert(spark.createDataFrame([("old", dt.datetime(2024, 1, 1), 0.0, 0)], ROW))
+    for months in ((1, 1), (1, 2), (1, 1)):
+        meet, plain = Barrier(2), writers.ReadingsStore._written
+        calls = []
+
+        def together(self, df):
+            calls.append(1)
+            made = plain(self, df)
+            if len(calls) <= 2:
+                meet.wait(60)
+            return made
+
+        monkeypatch.setattr(writers.ReadingsStore, "_written", together)
+        before = store.current().count()
+        batches = [
+            spark.createDataFrame([(f"{before}-{i}", dt.datetime(2024, m, 2 + i), 1.0, 0)], ROW) for i, m in enumerate(months)
+        ]
+        with ThreadPoolExecutor(2) as pool:
+            list(pool.map(lambda b: writers.ReadingsStore(spark, str(tmp_path)).upsert(b), batches))
+        monkeypatch.undo()
+        assert store.current().count() == before + 2
+        assert len(calls) == (3 if months[0] == months[1] else 2)
+    assert [e.n for e in store.log.entries()] == list(range(7))
+
+
+def test_an_entry_is_written_once(spark, tmp_path):
+    log = writers.CommitLog(spark, str(tmp_path / "log"))
+    assert log.last().n == -1 and log.entries() == []
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: log.put(writers.Entry(0, {"202401": str(i)})), range(32)))
+    assert sum(won) == 1 and log.last().state == {"202401": str(won.index(True))}
+    assert [p.name for p in (tmp_path / "log").iterdir()] == ["000000000000.json"]
+
+
+def test_store_stays_small(spark, tmp_path):
+    store = writers.ReadingsStore(spark, str(tmp_path), keep=2)
+    first = [("a", dt.datetime(2024, m, 1), 1.0, 0) for m in (1, 2, 3)]
+    store.upsert(spark.createDataFrame(first, ROW))
+    again = spark.createDataFrame([("b", dt.datetime(2024, 3, 1), -1.0, 0)], ROW)
+    for i in range(50):
+        store.upsert(spark.createDataFrame([("b", dt.datetime(2024, 2, 1), float(i), 0)], ROW), "s", i)
+        store.upsert(again, "s", i)  # its number is taken, so it is left out
+    assert len(list((tmp_path / "log").iterdir())) <= 4
+    months = [p for v in (tmp_path / "data").iterdir() for p in v.iterdir() if p.is_dir()]
+    assert len(months) <= 3 + 4
+    got = sorted((r.client_id, r.ts.month, r.volume) for r in store.current().collect())
+    assert got == [("a", 1, 1.0), ("a", 2, 1.0), ("a", 3, 1.0), ("b", 2, 49.0)]
+
+
+def test_an_empty_table_empties_the_store(spark, tmp_path):
+    store = writers.ReadingsStore(spark, str(tmp_path))
+    store.write(spark.createDataFrame([("a", dt.datetime(2024, 1, 1), 1.0, 0)], ROW))
+    store.write(spark.createDataFrame([], ROW))
+    assert store.current().count() == 0
+    assert store.log.last().n == 1
