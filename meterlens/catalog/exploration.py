@@ -126,9 +126,35 @@ def _(spark, sf):
     )
 
 
-@query("anderson_darling")
+def _horner(x: str, *coefficients: float) -> str:
+    """A polynomial as SQL, highest power first."""
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+# Hart's rational form of the normal tail beyond x, for x from 0 to 7.07, to double precision.
+_TAIL_OVER = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+_TAIL_UNDER = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+_TAIL = f"exp(-z * z / 2) * {_horner('abs(z)', *_TAIL_OVER)} / {_horner('abs(z)', *_TAIL_UNDER)}"
+
+
+@query(
+    "anderson_darling",
+    f"""WITH {cte(L)}, xs AS ({_union("SELECT '{c}' AS variable, {c} AS x FROM " + L + " WHERE {c} IS NOT NULL")}),
+        st AS (SELECT variable, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS sd FROM xs GROUP BY 1),
+        z AS (SELECT variable, n, (x - mean) / sd AS z, row_number() OVER (PARTITION BY variable ORDER BY x) AS i FROM xs JOIN st USING (variable)),
+        t AS (SELECT variable, n, i, z, {_TAIL} AS tail FROM z),
+        l AS (SELECT *, CASE WHEN z < 0 THEN ln(tail) ELSE ln(1 - tail) END AS below, CASE WHEN z < 0 THEN ln(1 - tail) ELSE ln(tail) END AS above FROM t),
+        a AS (SELECT variable, n, -n - fsum((2 * i - 1) * below + (2 * (n - i) + 1) * above) / n AS a2 FROM l GROUP BY variable, n)
+        SELECT variable, round(a2, 3) AS anderson_stat, k.level AS level, round(k.base / (1 + 4.0 / n - 25.0 / n / n), 3) AS critical
+        FROM a, (VALUES (15.0::DOUBLE, 0.576::DOUBLE), (10.0, 0.656), (5.0, 0.787), (2.5, 0.918), (1.0, 1.092)) AS k(level, base)""",
+)
 def _(spark, sf):
-    return explore.anderson_darling(readings(spark, sf, L), COLS)
+    made = explore.anderson_darling(readings(spark, sf, L), COLS)
+    levels = F.arrays_zip(F.col("anderson_sig").alias("level"), F.col("anderson_crit").alias("critical"))
+    return made.select("variable", F.round("anderson_stat", 3).alias("anderson_stat"), F.inline(levels).alias("level", "critical"))
 
 
 @query("normality_table")
@@ -167,9 +193,25 @@ def _(spark, sf):
     return _round(explore.boxplot(readings(spark, sf, E), ["volume", "pressure"]), 5)
 
 
-@query("qq_points")
+# Acklam's rational form of the normal quantile, relative error below 1.2e-9.
+_MID_OVER = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+_MID_UNDER = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+_END_OVER = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+_END_UNDER = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+_NORMAL_QUANTILE = f"""CASE WHEN least(p, 1 - p) < 0.02425 THEN sign(0.5 - p) * {_horner('e', *_END_OVER)} / {_horner('e', *_END_UNDER)}
+    ELSE (p - 0.5) * {_horner('m', *_MID_OVER)} / {_horner('m', *_MID_UNDER)} END"""
+
+
+@query(
+    "qq_points",
+    f"""WITH {cte(E)}, ps AS (SELECT i, (i + 1) / 100.0::DOUBLE AS p FROM (SELECT unnest(generate_series(0, 98)) AS i)),
+        th AS (SELECT i, {_NORMAL_QUANTILE} AS theory FROM (SELECT *, sqrt(-2 * ln(least(p, 1 - p))) AS e, (p - 0.5) ** 2 AS m FROM ps)),
+        q AS ({_union("SELECT '{c}' AS variable, quantile_cont({c}, [k / 100.0 FOR k IN range(1, 100)]) AS v, avg({c}) AS mean, stddev_samp({c}) AS sd FROM " + E)})
+        SELECT variable, CAST(i AS INTEGER) AS i, round(theory, 6) AS theory, round(v[i + 1], 5) AS sample, round(mean + sd * theory, 5) AS line FROM q, th""",
+)
 def _(spark, sf):
-    return explore.qq_points(readings(spark, sf, E), ["volume", "temperature"])
+    made = explore.qq_points(readings(spark, sf, E), COLS)
+    return made.select("variable", "i", F.round("theory", 6).alias("theory"), F.round("sample", 5).alias("sample"), F.round("line", 5).alias("line"))
 
 
 def _first_l(spark, sf):
