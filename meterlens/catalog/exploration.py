@@ -140,14 +140,17 @@ _TAIL_UNDER = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322
 _TAIL = f"exp(-z * z / 2) * {_horner('abs(z)', *_TAIL_OVER)} / {_horner('abs(z)', *_TAIL_UNDER)}"
 
 
+_AD = f"""xs AS ({_union("SELECT '{c}' AS variable, {c} AS x FROM " + L + " WHERE {c} IS NOT NULL")}),
+    st AS (SELECT variable, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS sd FROM xs GROUP BY 1),
+    z AS (SELECT variable, n, (x - mean) / sd AS z, row_number() OVER (PARTITION BY variable ORDER BY x) AS i FROM xs JOIN st USING (variable)),
+    t AS (SELECT variable, n, i, z, {_TAIL} AS tail FROM z),
+    l AS (SELECT *, CASE WHEN z < 0 THEN ln(tail) ELSE ln(1 - tail) END AS below, CASE WHEN z < 0 THEN ln(1 - tail) ELSE ln(tail) END AS above FROM t),
+    a AS (SELECT variable, n, -n - fsum((2 * i - 1) * below + (2 * (n - i) + 1) * above) / n AS a2 FROM l GROUP BY variable, n)"""
+
+
 @query(
     "anderson_darling",
-    f"""WITH {cte(L)}, xs AS ({_union("SELECT '{c}' AS variable, {c} AS x FROM " + L + " WHERE {c} IS NOT NULL")}),
-        st AS (SELECT variable, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS sd FROM xs GROUP BY 1),
-        z AS (SELECT variable, n, (x - mean) / sd AS z, row_number() OVER (PARTITION BY variable ORDER BY x) AS i FROM xs JOIN st USING (variable)),
-        t AS (SELECT variable, n, i, z, {_TAIL} AS tail FROM z),
-        l AS (SELECT *, CASE WHEN z < 0 THEN ln(tail) ELSE ln(1 - tail) END AS below, CASE WHEN z < 0 THEN ln(1 - tail) ELSE ln(tail) END AS above FROM t),
-        a AS (SELECT variable, n, -n - fsum((2 * i - 1) * below + (2 * (n - i) + 1) * above) / n AS a2 FROM l GROUP BY variable, n)
+    f"""WITH {cte(L)}, {_AD}
         SELECT variable, round(a2, 3) AS anderson_stat, k.level AS level, round(k.base / (1 + 4.0 / n - 25.0 / n / n), 3) AS critical
         FROM a, (VALUES (15.0::DOUBLE, 0.576::DOUBLE), (10.0, 0.656), (5.0, 0.787), (2.5, 0.918), (1.0, 1.092)) AS k(level, base)""",
 )
@@ -157,9 +160,27 @@ def _(spark, sf):
     return made.select("variable", F.round("anderson_stat", 3).alias("anderson_stat"), F.inline(levels).alias("level", "critical"))
 
 
-@query("normality_table")
+_LEVELS = "[0.576::DOUBLE, 0.656, 0.787, 0.918, 1.092]"
+
+
+@query(
+    "normality_table",
+    f"""WITH {cte(L)}, {_K2}, {_AD}
+        SELECT variable, sk.n, round(st.mean, 6) AS mean, round(st.sd, 6) AS std, round(mo.sd, 6) AS std_pop, round(skew, 6) AS skew,
+            round(kurtosis, 6) AS kurtosis, round(sk.n / 6.0 * (skew ** 2 + kurtosis ** 2 / 4), 4) AS jarque_bera,
+            round(exp(-sk.n / 12.0 * (skew ** 2 + kurtosis ** 2 / 4)), 6) AS jarque_bera_p,
+            exp(-sk.n / 12.0 * (skew ** 2 + kurtosis ** 2 / 4)) > 0.05 AS jarque_bera_normal,
+            round(k2, 4) AS dagostino_k2, round(exp(-k2 / 2), 6) AS dagostino_p, exp(-k2 / 2) > 0.05 AS dagostino_normal,
+            round(a2, 3) AS anderson_stat, '15.0,10.0,5.0,2.5,1.0' AS anderson_sig,
+            array_to_string([round(b / (1 + 4.0 / sk.n - 25.0 / sk.n / sk.n), 3) FOR b IN {_LEVELS}], ',') AS anderson_crit
+        FROM sk JOIN mo USING (variable) JOIN st USING (variable) JOIN k USING (variable) JOIN a USING (variable)""",
+)
 def _(spark, sf):
-    return explore.normality(readings(spark, sf, L), COLS)
+    made = explore.normality(readings(spark, sf, L), COLS)
+    digits = {c: 6 for c in ("mean", "std", "std_pop", "skew", "kurtosis", "jarque_bera_p", "dagostino_p")}
+    digits |= {"jarque_bera": 4, "dagostino_k2": 4, "anderson_stat": 3}
+    made = made.withColumns({c: F.round(c, n) for c, n in digits.items()})
+    return made.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("anderson_sig", "anderson_crit")})
 
 
 _HIST = """SELECT '{c}' AS variable, b AS bin, lo + (hi - lo) / 30 * (b - 1) AS from_value, lo + (hi - lo) / 30 * b AS to_value,
