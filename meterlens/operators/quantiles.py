@@ -101,25 +101,36 @@ def _narrowed(
     halves = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
     share = F.when(apart < float("inf"), (F.col("_v") - F.col("_lo")) / apart).otherwise(halves)
     bin_no = F.least(F.floor(share * BINS), F.lit(BINS - 1).cast("long"))
+    # Ranks between the same bounds share an interval, and the intervals of a group lie apart. A value is led from one
+    # pass's interval and bin to the next one's by equal keys, so it is counted once however many ranks are wanted.
+    placed, inside = values, group
     upto = (
-        Window.partitionBy(*group, "_rank")
-        .orderBy("_bin")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*group, "_lo").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     while bounds.where("_lo < _hi").limit(1).count():
         open_ = bounds.where("_lo < _hi")
+        intervals = cut(open_.select(*inside, "_lo", "_hi").distinct())
+        placed = placed.join(checked_broadcast(intervals, n_bounds), inside)
+        placed = placed.select(*group, "_v", "_lo", "_hi", bin_no.alias("_bin"))
         binned = (
-            values.join(checked_broadcast(open_, n_bounds), group)
-            .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-            .groupBy(*group, "_rank", "_below", bin_no.alias("_bin"))
-            .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+            placed.groupBy(*group, "_lo", "_bin")
+            .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+            .withColumn("_to", F.sum("_c").over(upto))
         )
+        nth = F.col("_rank") - F.col("_below")
         chosen = (
-            binned.withColumn("_to", F.col("_below") + F.sum("_c").over(upto))
-            .where((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_c")))
-            .select(*group, "_lo", "_hi", "_rank", (F.col("_to") - F.col("_c")).alias("_below"))
+            open_.select(*group, "_lo", "_rank", "_below")
+            .join(binned, [*group, "_lo"])
+            .where((nth < F.col("_to")) & (nth >= F.col("_to") - F.col("_c")))
+            .select(
+                *group, F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), "_rank",
+                (F.col("_below") + F.col("_to") - F.col("_c")).alias("_below"),
+                F.col("_lo").alias("_in"), F.col("_bin").alias("_bin_in"),
+            )
         )
-        bounds = cut(bounds.where("_lo = _hi").unionByName(chosen))
+        bounds = cut(bounds.where("_lo = _hi").select(*group, "_lo", "_hi", "_rank", "_below").unionByName(chosen, True))
+        placed = placed.select(*group, "_v", F.col("_lo").alias("_in"), F.col("_bin").alias("_bin_in"))
+        inside = [*group, "_in", "_bin_in"]
 
     at = lambda rank, name: bounds.select(*group, F.col("_rank").alias(rank), F.col("_lo").alias(name))
     solved = (
