@@ -49,7 +49,8 @@ def lagged_series(readings: DataFrame, p: JobParams, *, max_rows: int | None = N
 
 
 def number_rows(lagged: Blocks, p: ForecastParams) -> Blocks:
-    """Add the row's position among its segment's rows in (client, time) order and the split.
+    """Add the row's position among its segment's rows in (client, time) order, the split and ``draw_pos``, the
+    position among the segment's training rows.
 
     The order over clients comes from running totals over one row per client, so no task sees a whole segment.
     """
@@ -60,29 +61,31 @@ def number_rows(lagged: Blocks, p: ForecastParams) -> Blocks:
         here &= F.col("is_core")
     lengths = lagged.df.where(here).select(S.SEGMENT, S.CLIENT, "n_rows")
     usable = F.col("n_rows") - first - 1
-    run = running_totals(lengths, [S.SEGMENT], [S.CLIENT], {"_upto": usable})
+    own_cut = F.floor(usable * (1.0 - p.test_size))
+    run = running_totals(lengths, [S.SEGMENT], [S.CLIENT], {"_upto": usable, "_upto_cut": own_cut})
     totals = lengths.groupBy(S.SEGMENT).agg(F.sum(usable).alias("_n"))
     # One row per client, read by every pass over the lag rows.
     offsets = cut(
         run.join(totals, S.SEGMENT).select(
-            S.SEGMENT, S.CLIENT, "n_rows", (F.col("_upto") - usable).alias("_before"), "_n"
+            S.SEGMENT, S.CLIENT, "n_rows", (F.col("_upto") - usable).alias("_before"),
+            (F.col("_upto_cut") - own_cut).alias("_before_cut"), "_n",
         )
     )
     cut_at = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_n") * (1.0 - p.test_size)))
     nth = F.col("pos") - first
     numbered = lagged.attach(offsets).df.withColumns({"train_pos": F.col("_before") + nth, "_cut": cut_at})
     if p.split == "time":
-        own_cut = F.floor((F.col("n_rows") - first - 1) * (1.0 - p.test_size))
-        is_train = nth < own_cut
+        # Every client's training rows are its first ones, so those before it number them without gaps.
+        is_train, draw_pos = nth < own_cut, F.when(nth < own_cut, F.col("_before_cut") + nth)
     else:
-        is_train = F.col("train_pos") < F.col("_cut")
+        is_train, draw_pos = F.col("train_pos") < F.col("_cut"), F.col("train_pos")
     in_cap = is_train
     if p.max_train_samples and p.split == "position":
         in_cap = is_train & (F.col("train_pos") >= F.col("_cut") - p.max_train_samples)
     return lagged.on(
-        numbered.withColumns({"is_train": is_train, "in_cap": in_cap, "n_train": F.col("_cut")})
+        numbered.withColumns({"is_train": is_train, "in_cap": in_cap, "n_train": F.col("_cut"), "draw_pos": draw_pos})
         .where(F.col("_n") >= p.min_samples)
-        .drop("_before", "_n", "_cut")
+        .drop("_before", "_before_cut", "_n", "_cut")
     )
 
 
@@ -100,7 +103,7 @@ def train(readings: DataFrame, p: JobParams = JobParams(), *, max_rows: int | No
 
     keep = [
         *rows.group, "pos", "n_rows", "is_core", S.CLIENT, S.SEGMENT, S.TS, S.ORD, *S.MEASURES, "v_filt",
-        "volume_next", "train_pos", "is_train", "n_train",
+        "volume_next", "draw_pos", "is_train", "n_train",
     ]
     keep = list(dict.fromkeys(keep))
     predicted = rows.df.withColumn("volume_hat", fc.predictor(model, f)).select(*keep, "volume_hat")
@@ -110,12 +113,8 @@ def train(readings: DataFrame, p: JobParams = JobParams(), *, max_rows: int | No
 
     sizes = features.where("is_train").groupBy(S.SEGMENT).agg(F.count(F.lit(1)).alias("n_train"))
     sizes = cut(sizes)
-    numbered = features.where("is_train")
-    if f.split == "time":
-        dense = running_totals(numbered.drop("train_pos"), [S.SEGMENT], [S.CLIENT, S.TS], {"train_pos": F.lit(1)})
-        numbered = dense.withColumn("train_pos", F.col("train_pos") - 1)
-    samples = forest.draw_samples(numbered, sizes, a, p.seed)
-    nodes = cut(forest.fit_forest(samples, a, p.seed))
+    samples = forest.draw_samples(features.where("is_train"), sizes, a, p.seed, "draw_pos")
+    nodes = cut(forest.fit_forest(samples, a, p.seed, "draw_pos"))
     used = sizes.select(S.SEGMENT, F.least("n_train", F.lit(a.max_samples)).cast("int").alias("forest_samples"))
     scored = cut(forest.with_scores(features, nodes, used))
     thresholds = flags.score_thresholds(scored, flags.score_range(scored), a)
