@@ -135,20 +135,25 @@ def forest_arrays(nodes: pd.DataFrame, max_samples: int) -> dict:
     }
 
 
-def score_rows(forest: dict, x: np.ndarray, step: int = 1024) -> np.ndarray:
+def score_rows(forest: dict, x: np.ndarray, step: int = 256) -> np.ndarray:
     """Anomaly score 2^(-mean path / expected path) of each row."""
-    starts, feature, threshold = forest["starts"], forest["feature"], forest["threshold"]
-    children, depth = forest["children"], forest["depth"]
+    threshold, depth = forest["threshold"], forest["depth"]
+    # Indices of the machine's own width are gathered without a conversion; few rows at once stay in the cache.
+    starts, feature, children = (forest[c].astype(np.intp) for c in ("starts", "feature", "children"))
     paths = np.empty(len(x))
     for a in range(0, len(x), step):
         part = np.ascontiguousarray(x[a : a + step])
         flat, width = part.ravel(), part.shape[1]
-        offset = (np.arange(len(part), dtype=np.int32) * width)[:, None]
-        at = np.broadcast_to(starts, (len(part), len(starts)))
+        offset = (np.arange(len(part)) * width)[:, None]
+        at = np.repeat(starts[None, :], len(part), axis=0)
         for _ in range(forest["rounds"]):
-            values = flat[offset + feature[at]]
-            at = children[2 * at + (values > threshold[at])]
-        paths[a : a + step] = depth[at].mean(axis=1)
+            place = feature.take(at)
+            place += offset
+            right = flat.take(place) > threshold.take(at)
+            at *= 2
+            at += right
+            at = children.take(at)
+        paths[a : a + step] = depth.take(at).mean(axis=1)
     return np.exp2(-paths / forest["unit"])
 
 

@@ -8,6 +8,9 @@ done in one step; a longer one adds up the products of its blocks first and is f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -17,6 +20,9 @@ from meterlens.config import JobParams, SsaParams
 from meterlens.operators.blocks import Blocks
 from meterlens.operators.series import lag_arrays
 
+#: Rows with lags that leave Python at once.
+SLICE_ROWS = 4096
+
 
 def lag_products(v: np.ndarray, pos: np.ndarray, core: np.ndarray, n: int, size: int) -> np.ndarray:
     """Sums of v[t]*v[t+d] over the trajectory columns, then both ends of the series, as one vector.
@@ -28,9 +34,9 @@ def lag_products(v: np.ndarray, pos: np.ndarray, core: np.ndarray, n: int, size:
     out = np.zeros(3 * size - 2)
     first, last = np.flatnonzero(core)[[0, -1]]
     stop = min(last + 1, first + max(columns - int(pos[first]), 0))
-    for d in range(size):
-        a, b = v[first:stop], v[first + d : stop + d]
-        out[d] = a @ b
+    if stop > first:
+        ahead = np.lib.stride_tricks.sliding_window_view(v[first : stop + size - 1], size)
+        out[:size] = v[first:stop] @ ahead
     head = core & (pos < size - 1)
     out[size + pos[head]] = v[head]
     tail = core & (pos >= columns)
@@ -41,13 +47,20 @@ def lag_products(v: np.ndarray, pos: np.ndarray, core: np.ndarray, n: int, size:
 def _gram(products: np.ndarray, size: int) -> np.ndarray:
     """Matrix of lag products from its first row and the two ends of the series."""
     sums, head, tail = np.split(products, [size, 2 * size - 1])
+    # Moving both indices on by one drops the first product and gains one past the end.
+    i, j, upper, lower = _diagonals(size)
+    change = np.zeros((size, size))  # by row and diagonal
+    change[0] = sums
+    change[i + 1, j - i] = (np.outer(tail, tail) - np.outer(head, head))[i, j]
     g = np.zeros((size, size))
-    g[0] = sums
-    for i in range(size - 1):
-        # Moving both indices on by one drops the first product and gains one past the end.
-        width = size - 1 - i
-        g[i + 1, i + 1 :] = g[i, i : i + width] + tail[i] * tail[i:] - head[i] * head[i:]
-    return np.triu(g) + np.triu(g, 1).T
+    g[upper, lower] = change.cumsum(axis=0)[upper, lower - upper]
+    return g + np.triu(g, 1).T
+
+
+@lru_cache(maxsize=8)
+def _diagonals(size: int) -> tuple[np.ndarray, ...]:
+    """Places on and above the diagonal of a matrix one smaller than ``size``, then of one of ``size``."""
+    return *np.triu_indices(size - 1), *np.triu_indices(size)
 
 
 def filter_taps(products: np.ndarray, n: int, size: int, rank: int) -> np.ndarray:
@@ -61,9 +74,9 @@ def filter_taps(products: np.ndarray, n: int, size: int, rank: int) -> np.ndarra
     projector = lead @ lead.T
     kinds = 2 * size - 1
     upto = np.zeros((size + 1, kinds))  # running sums over projector rows, by offset
-    for i in range(size):
-        upto[i + 1] = upto[i]
-        upto[i + 1, size - 1 - i : kinds - i] += projector[i]
+    i = np.arange(size)[:, None]
+    upto[i + 1, size - 1 - i + i.T] = projector
+    upto = upto.cumsum(axis=0)
     kind = np.arange(kinds)
     final = np.minimum(kind, size - 1)
     first = np.maximum(0, kind - (n - size if n <= kinds else size - 1))
@@ -79,8 +92,8 @@ def apply_taps(v: np.ndarray, pos: np.ndarray, n: int, taps: np.ndarray) -> np.n
     out = np.convolve(padded, taps[size - 1][::-1], mode="valid")
     edge = np.flatnonzero((pos < size - 1) | (pos > n - size))
     kind = np.where((n <= kinds) | (pos < size - 1), pos, pos - n + kinds)
-    for i in edge:
-        out[i] = taps[kind[i]] @ padded[i : i + kinds]
+    around = np.lib.stride_tricks.sliding_window_view(padded, kinds)[edge]
+    out[edge] = np.einsum("ij,ij->i", taps[kind[edge]], around)
     return out
 
 
@@ -124,8 +137,8 @@ def smooth(
 def smooth_lagged(blocks: Blocks, p: JobParams = JobParams()) -> Blocks:
     """``lag_arrays`` of the smoothed series, both in the one pass that has each series in order.
 
-    The rows are grouped by series once; no window has to shuffle and sort them again. Cut series go through the
-    windows of their blocks.
+    The rows of a partition come series after series, many in a batch, so a short series costs no call of its own. No
+    window has to shuffle and sort them again. Cut series go through the windows of their blocks.
     """
     f, out = p.forecast, "v_filt"
     if blocks.size:
@@ -134,20 +147,44 @@ def smooth_lagged(blocks: Blocks, p: JobParams = JobParams()) -> Blocks:
     layout = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in blocks.df.schema.fields)
     layout += f", {out} double, base array<double>, volume_next double"
 
-    def made(table: pa.Table) -> pa.Table:
-        table, pos = _in_order(table)
-        v, n = table[S.VOLUME].to_numpy(), len(pos)
-        values = v if n <= size else apply_taps(v, pos, n, filter_taps(lag_products(v, pos, np.ones(n, dtype=bool), n, size), n, size, rank))
-        rows = np.arange(first, max(first, n - 1))
-        ago = lambda x, lags: x[rows[:, None] - np.arange(lags)]
-        exo = [ago(table[c].to_numpy(), f.lags_exo) for c in (S.PRESSURE, S.TEMPERATURE)]
-        base = np.hstack([ago(values, f.lags_v), np.stack(exo, axis=2).reshape(len(rows), -1)])
-        offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * base.shape[1])
-        used = table.take(pa.array(rows)).append_column(out, pa.array(values[rows]))
-        used = used.append_column("base", pa.ListArray.from_arrays(offsets, pa.array(base.ravel())))
-        return used.append_column("volume_next", pa.array(v[rows + 1]))
-
-    return blocks.on(blocks.df.groupBy(*blocks.group).applyInArrow(made, layout))
+    def made(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """The rows of whole series that lie one after the other."""
+        table = table.combine_chunks()
+        v, pos, length = (table[c].to_numpy() for c in (S.VOLUME, "pos", "n_rows"))
+        values = v.copy()
+        for a in np.flatnonzero(pos == 0).tolist():
+            n = int(length[a])
+            if n > size:
+                mine, at = v[a : a + n], pos[a : a + n]
+                taps = filter_taps(lag_products(mine, at, np.ones(n, dtype=bool), n, size), n, size, rank)
+                values[a : a + n] = apply_taps(mine, at, n, taps)
+        usable = np.flatnonzero((pos >= first) & (pos < length - 1))
+        for a in range(0, len(usable), SLICE_ROWS):
+            rows = usable[a : a + SLICE_ROWS]
+            ago = lambda x, lags: x[rows[:, None] - np.arange(lags)]
+            exo = [ago(table[c].to_numpy(), f.lags_exo) for c in (S.PRESSURE, S.TEMPERATURE)]
+            base = np.hstack([ago(values, f.lags_v), np.stack(exo, axis=2).reshape(len(rows), -1)])
+            offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * base.shape[1])
+            used = table.take(pa.array(rows)).append_column(out, pa.array(values[rows]))
+            used = used.append_column("base", pa.ListArray.from_arrays(offsets, pa.array(base.ravel())))
+            yield from used.append_column("volume_next", pa.array(v[rows + 1])).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # begins with a series that may go on in the next batch
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("pos").to_numpy() == 0)
+            if len(starts):
+                held.append(batch.slice(0, starts[-1]))
+                yield from made(pa.Table.from_batches(held))
+                held = []
+                batch = batch.slice(starts[-1])
+            held.append(batch)
+        if held:
+            yield from made(pa.Table.from_batches(held))
+
+    # The windows that numbered the rows left them in this order; where they did, nothing is sorted again.
+    ordered = blocks.df.sortWithinPartitions(*blocks.group, *blocks.order)
+    return blocks.on(ordered.mapInArrow(run, layout))
 
 
 def _series_taps(blocks: Blocks, col: str, p: SsaParams) -> DataFrame:
