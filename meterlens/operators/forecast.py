@@ -170,7 +170,7 @@ def moment_rows(train: DataFrame, scaler: DataFrame, p: ForecastParams) -> DataF
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, _CoMoments] = {}
-        for batch in batches:
+        for batch in scaling.sliced(batches):
             segments = batch.column(0).to_numpy(zero_copy_only=False)
             x = design.matrix(_unnest(batch.column(1), width))
             y = batch.column(2).to_numpy(zero_copy_only=False)
@@ -272,9 +272,11 @@ def predictor(models: DataFrame, p: ForecastParams) -> Column:
         out = np.full(len(x), np.nan)
         for seg in pd.unique(segments):
             if seg in raw:
-                mine = segments == seg
+                mine = np.flatnonzero(segments == seg)
                 layout, slope, constant = raw[seg]
-                out[mine] = layout.matrix(x[mine]) @ slope + constant
+                for a in range(0, len(mine), scaling.SLICE_ROWS):  # a matrix row is wide
+                    some = mine[a : a + scaling.SLICE_ROWS]
+                    out[some] = layout.matrix(x[some]) @ slope + constant
         return pa.array(out, from_pandas=True)
 
     return forecast(F.col(S.SEGMENT), F.col("base"))

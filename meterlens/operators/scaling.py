@@ -21,13 +21,22 @@ from meterlens import schema as S
 
 #: Bins of a column in one pass.
 BINS = 2048
+#: Rows that are expanded at once.
+SLICE_ROWS = 1024
 Expand = Callable[[pa.Array], np.ndarray]
 _COUNTED = f"{S.SEGMENT} string, i int, bin int, n long, low double, high double"
 
 
-def _parts(batches: Iterator[pa.RecordBatch], expand: Expand) -> Iterator[tuple[str, np.ndarray]]:
-    """(segment, matrix rows) of each batch of (segment, base)."""
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``SLICE_ROWS``."""
     for batch in batches:
+        for a in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(a, SLICE_ROWS)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], expand: Expand) -> Iterator[tuple[str, np.ndarray]]:
+    """(segment, matrix rows) of each batch of (segment, base), some rows at a time: a matrix row is wide."""
+    for batch in sliced(batches):
         segments = batch.column(0).to_numpy(zero_copy_only=False)
         x = expand(batch.column(1))
         for seg in pd.unique(segments):
