@@ -9,6 +9,7 @@ of the batch job.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,11 +43,33 @@ def smooth_windows(windows: np.ndarray, size: int, rank: int, last: int) -> np.n
     _, vectors = np.linalg.eigh(trajectory @ trajectory.transpose(0, 2, 1))
     lead = vectors[:, :, -rank:]
     rebuilt = lead @ (lead.transpose(0, 2, 1) @ trajectory)
-    out = np.empty((len(windows), last))
-    for k, t in enumerate(range(n - last, n)):
-        i = np.arange(max(0, t - columns + 1), min(size, t + 1))
-        out[:, k] = rebuilt[:, i, t - i].mean(axis=1)
-    return out
+    places, starts, counts = _late_diagonals(n, size, last)
+    return np.add.reduceat(rebuilt.reshape(len(windows), -1)[:, places], starts, axis=1) / counts
+
+
+@lru_cache(maxsize=256)
+def _late_diagonals(n: int, size: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the ``last`` antidiagonals of a trajectory matrix laid out flat, where each begins, and its length."""
+    columns = n - size + 1
+    rows = [np.arange(max(0, t - columns + 1), min(size, t + 1)) for t in range(n - last, n)]
+    counts = np.array([len(i) for i in rows])
+    places = np.concatenate([i * columns + t - i for i, t in zip(rows, range(n - last, n))])
+    return places, np.cumsum(counts) - counts, counts
+
+
+def rolling_spread(resid: np.ndarray, m: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of up to ``width`` values up to each of the last ``m``; zeros below five values."""
+    mean, std = np.zeros(m), np.zeros(m)
+    first = len(resid) - m
+    for k in range(min(m, max(0, width - 1 - first))):
+        some = resid[: first + k + 1]
+        if len(some) >= 5:
+            mean[k], std[k] = some.mean(), some.std()
+    whole = max(0, width - 1 - first)
+    if whole < m:
+        rows = np.lib.stride_tricks.sliding_window_view(resid, width)[first + whole - width + 1 :]
+        mean[whole:], std[whole:] = rows.mean(axis=1), rows.std(axis=1)
+    return mean, std
 
 
 def stream_residuals(readings: DataFrame, models: Models, p: JobParams = JobParams()) -> DataFrame:
@@ -65,14 +88,17 @@ def stream_residuals(readings: DataFrame, models: Models, p: JobParams = JobPara
         at = np.arange(len(v) - m, len(v))
         start = np.maximum(0, at - keep)
         able = np.flatnonzero(seen + np.arange(m) > f.maxlag)
-        for n in np.unique((at - start)[able]):
-            ks = able[(at - start)[able] == n]
+        if not len(able):
+            return hats
+        lags, reach = np.empty((m, f.lags_v)), at - start
+        for n in np.unique(reach[able]):
+            ks = able[reach[able] == n]
             windows = v[at[ks, None] - n + np.arange(n)]
-            lags = smooth_windows(windows, size, rank, f.lags_v)[:, ::-1]
-            ago = at[ks, None] - len(v) - 1 - np.arange(f.lags_exo)  # from the end: the buffers differ in length
-            exo = np.stack([pr[ago], te[ago]], axis=2).reshape(len(ks), -1)
-            slope, constant = raw[segment]
-            hats[ks] = design.matrix(np.hstack([lags, exo])) @ slope + constant
+            lags[ks] = smooth_windows(windows, size, rank, f.lags_v)[:, ::-1]
+        ago = at[able, None] - len(v) - 1 - np.arange(f.lags_exo)  # from the end: the buffers differ in length
+        exo = np.stack([pr[ago], te[ago]], axis=2).reshape(len(able), -1)
+        slope, constant = raw[segment]
+        hats[able] = design.matrix(np.hstack([lags[able], exo])) @ slope + constant
         return hats
 
     def advance(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -89,18 +115,20 @@ def stream_residuals(readings: DataFrame, models: Models, p: JobParams = JobPara
         rs, out = list(buffers[3]), []
         if m and segment in raw:
             hats = forecasts(segment, seen, v, pr, te, m)
-            before_ts = [last_ts, *batch[S.TS].iloc[:-1]]
-            for ts, vol, hat in zip(before_ts, v[len(v) - m :].tolist(), hats.tolist()):
-                if np.isnan(hat):
-                    continue
+            known = np.flatnonzero(~np.isnan(hats))
+            if len(known):
+                before_ts = [last_ts, *batch[S.TS].iloc[:-1]]
+                vol, hat = v[len(v) - m :][known], hats[known]
                 resid = vol - hat
-                before, rs = (rs[-1] if rs else resid), [*rs, resid][-width:]
-                mean = float(np.mean(rs)) if len(rs) >= 5 else 0.0
-                std = float(np.std(rs)) if len(rs) >= 5 else 0.0
-                std = std if std > 0 else 1e-6
+                every = np.concatenate([rs, resid])
+                mean, std = rolling_spread(every, len(known), width)
+                std = np.where(std > 0, std, 1e-6)
                 now = (resid - mean) / std
-                was, z = (now if z is None else z), now
-                out.append((client, segment, ts, vol, hat, resid, mean, std, abs(now), abs(now - was), abs(resid - before)))
+                was = np.concatenate([[now[0] if z is None else z], now[:-1]])
+                before = np.concatenate([[rs[-1] if rs else resid[0]], resid[:-1]])
+                made = (vol, hat, resid, mean, std, np.abs(now), np.abs(now - was), np.abs(resid - before))
+                out = [(client, segment, before_ts[k], *row) for k, *row in zip(known, *(x.tolist() for x in made))]
+                rs, z = every[-width:].tolist(), float(now[-1])
         if m:
             last_ts, seen = batch[S.TS].iloc[-1], seen + m
         tail = lambda x, n: x[max(0, len(x) - n) :].tolist()
