@@ -8,8 +8,12 @@ sizes differ by no more than two linked sets may, so a tile holds the sets of on
 band below. Tiles of more than ``TILE`` rows are cut into blocks that meet block by block.
 
 *Signatures.* In a tile each set is a bitmap into which its shingles are hashed; the size follows the band. A bit that
-only one of two sets has stands for a shingle that the other has not, so bit counts bound the overlap from above. Pairs
-within the bound are decided by the sorted arrays themselves.
+only one of two sets has stands for a shingle that the other has not, so bit counts bound the overlap from above.
+
+*Clusters.* A tile does not name its pairs within the bound, whose number is the square of a family's size, but says which
+of its sets they connect: at most one row per set. The components of all tiles' rows are clusters, and linked sets
+lie in one. The sorted arrays of a cluster meet in blocks of bounded size, where all its pairs of different components
+are decided; a block names at most one link per set.
 
 *Common shingles.* The order puts rare shingles first: those that several sets have near their start go behind all
 others, so a set whose shared passages are less than four fifths of it meets no other. The shared ones are kept as a
@@ -244,27 +248,64 @@ def links_exactly(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _linked_block(block: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """(u, v) with u < v: components of one block of which two members link; not all of them need be found."""
-    sets = [np.asarray(g, dtype=np.int64).view(np.uint64) for g in block["grams"]]
+def _joining(
+    grams: pd.Series, root: np.ndarray, percent: int, tries: int | None = None, role: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """Positions of linked sets, one pair for each two components (``root``, and then what was joined) that become one.
+
+    With ``tries`` a set is compared with no more members of a component, so some links may be missed; with ``role``
+    only probes (2) and targets (1) are compared.
+    """
+    sets = [np.asarray(g, dtype=np.int64).view(np.uint64) for g in grams]
     order = np.argsort([len(g) for g in sets], kind="stable")
     sets = [sets[i] for i in order]
-    root = block["root"].to_numpy()[order]
-    label = pd.factorize(root)[0]
+    label = pd.factorize(root[order])[0]
+    probe, target = (True, True) if role is None else (role[order] & 2 > 0, role[order] & 1 > 0)
     sizes = np.array([len(g) for g in sets])
     marks = signatures(sets, 1 << max(6, math.ceil(math.log2(2 * sizes.max()))))
     found = []
     for i in range(1, len(sets)):
-        able = may_link(marks[i : i + 1], sizes[i : i + 1], marks[:i], sizes[:i], percent)[0]
+        apart = label[:i] != label[i]
+        if role is not None:
+            apart &= (probe[:i] & target[i]) | (target[:i] & probe[i])
+        near = np.flatnonzero(apart)
+        if not len(near):
+            continue
+        able = may_link(marks[i : i + 1], sizes[i : i + 1], marks[near], sizes[near], percent)[0]
         tried: dict[int, int] = {}
-        for j in np.flatnonzero(able & (label[:i] != label[i])).tolist():
-            if label[i] == label[j] or tried.get(label[j], 0) >= TRIES:
+        for j in near[able].tolist():
+            if label[i] == label[j]:
                 continue
-            tried[label[j]] = tried.get(label[j], 0) + 1
+            if tries is not None:
+                if tried.get(label[j], 0) >= tries:
+                    continue
+                tried[label[j]] = tried.get(label[j], 0) + 1
             if links_exactly(sets[i], sets[j], percent):
-                found.append((min(root[i], root[j]), max(root[i], root[j])))
+                found.append((int(order[i]), int(order[j])))
                 label[label == label[j]] = label[i]
-    return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+    return found
+
+
+def _named(pairs: list[tuple[int, int]], names: np.ndarray) -> pd.DataFrame:
+    """(u, v) with u < v: the names at the pairs' positions."""
+    both = names[np.array(pairs, dtype=np.int64).reshape(-1, 2)]
+    return pd.DataFrame({"u": both.min(axis=1), "v": both.max(axis=1)}, dtype="int64")
+
+
+def _linked_block(block: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(u, v) with u < v: components of one block of which two members link; not all of them need be found."""
+    root = block["root"].to_numpy()
+    return _named(_joining(block["grams"], root, percent, TRIES), root)
+
+
+def _linked_clusters(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(u, v) with u < v: links that join all linked components of each block, for all blocks of one call."""
+    node, root, role = (rows[c].to_numpy() for c in ("node", "root", "role"))
+    found = []
+    for at in rows.groupby(["cluster", "i", "j"], sort=False).indices.values():
+        pairs = _joining(rows["grams"].iloc[at], root[at], percent, role=role[at])
+        found += [(at[x], at[y]) for x, y in pairs]
+    return _named(found, node)
 
 
 def family_roots(index: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame | None:
@@ -313,6 +354,25 @@ def family_roots(index: DataFrame, sets: DataFrame, params: JaccardParams) -> Da
     return roots.select("node", "root")
 
 
+def _in_blocks(met: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` and i, j, role: the blocks of each row's group, which has ``main``, its largest component, ``ka``
+    blocks of targets and ``ko`` of probes. Any two rows of different components meet as probe and target."""
+    met = met.withColumns(
+        {
+            "probe": F.col("root") != F.col("main"),
+            "a": F.pmod(F.xxhash64("node"), F.col("ka")).cast("int"),
+            "o": F.pmod(F.xxhash64("node", F.lit(1)), F.col("ko")).cast("int"),
+        }
+    )
+    places = F.expr(
+        "concat("
+        "transform(sequence(0, ko - 1), x -> named_struct('i', x, 'j', a, 'role', if(probe and x = o, 3, 1))),"
+        "if(probe, transform(filter(sequence(0, ka - 1), y -> y != a), y -> named_struct('i', o, 'j', y, 'role', 2)),"
+        " array()))"
+    )
+    return met.select(*columns, F.explode(places).alias("p")).select(*columns, "p.*")
+
+
 def _tile_rows(index: DataFrame, params: JaccardParams) -> tuple[DataFrame, int]:
     """(token, band, i, j, role, node, n, root, own) and how many Python calls the rows are worth.
 
@@ -343,21 +403,7 @@ def _tile_rows(index: DataFrame, params: JaccardParams) -> tuple[DataFrame, int]
     load = groups.agg(F.sum(F.col("ko") * (100 * F.col("all") + F.col("w")) + F.col("ka") * 100 * (F.col("all") - F.col("most"))))
     calls = max(1, -(-int(load.first()[0] or 0) // CALL))
     met = rows.join(groups.select("token", "band", "main", "ka", "ko"), ["token", "band"])
-    met = met.withColumns(
-        {
-            "probe": F.col("root") != F.col("main"),
-            "a": F.pmod(F.xxhash64("node"), F.col("ka")).cast("int"),
-            "o": F.pmod(F.xxhash64("node", F.lit(1)), F.col("ko")).cast("int"),
-        }
-    )
-    places = F.expr(
-        "concat("
-        "transform(sequence(0, ko - 1), x -> named_struct('i', x, 'j', a, 'role', if(probe and x = o, 3, 1))),"
-        "if(probe, transform(filter(sequence(0, ka - 1), y -> y != a), y -> named_struct('i', o, 'j', y, 'role', 2)),"
-        " array()))"
-    )
-    columns = ["token", "band", "node", "n", "root", "own"]
-    return met.select(*columns, F.explode(places).alias("p")).select(*columns, "p.*"), calls
+    return _in_blocks(met, ["token", "band", "node", "n", "root", "own"]), calls
 
 
 def _marks(sets: DataFrame, params: JaccardParams) -> DataFrame:
@@ -379,8 +425,24 @@ def _marks(sets: DataFrame, params: JaccardParams) -> DataFrame:
     )
 
 
+def _reached(near: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each component of a symmetric matrix of neighbours: its first member, and the others; single ones are left out."""
+    waiting = near.any(axis=1)
+    for first in np.flatnonzero(waiting).tolist():
+        if not waiting[first]:
+            continue
+        waiting[first] = False
+        new, parts = near[first] & waiting, []
+        while new.any():
+            waiting &= ~new
+            parts.append(np.flatnonzero(new))
+            new = near[new].any(axis=0) & waiting
+        yield first, np.concatenate(parts)
+
+
 def _tile_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of different components that the signatures of a tile allow, for all tiles of one call."""
+    """(u, v) with u < v, for all tiles of one call: what connects the sets of each tile that the pairs of different
+    components connect which signatures allow. A tile has fewer of them than sets; u and v need not be such a pair."""
     node, root, n = rows["node"].to_numpy(), rows["root"].to_numpy(), rows["n"].to_numpy()
     own, role, mark = rows["own"].to_numpy(), rows["role"].to_numpy(), rows["mark"].to_numpy()
     low, high = [], []
@@ -392,9 +454,18 @@ def _tile_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         probe, target = places[p], places[t]
         able = may_link(words[p], n[probe], words[t], n[target], percent)
         able &= (root[probe][:, None] != root[target]) & (own[probe][:, None] | own[target])
-        x, y = np.nonzero(able)
-        low.append(np.minimum(node[probe[x]], node[target[y]]))
-        high.append(np.maximum(node[probe[x]], node[target[y]]))
+        if not able.any():
+            continue
+        if len(places) == 2:
+            parts = [(0, np.array([1]))]
+        else:
+            near = np.zeros((len(places), len(places)), dtype=bool)
+            near[np.ix_(p, t)] = able
+            parts = _reached(near | near.T)
+        for first, others in parts:
+            a, b = node[places[first]], node[places[others]]
+            low.append(np.minimum(a, b))
+            high.append(np.maximum(a, b))
     if not low:
         return pd.DataFrame({"u": [], "v": []}, dtype="int64")
     return pd.DataFrame({"u": np.concatenate(low), "v": np.concatenate(high)}).drop_duplicates()
@@ -406,31 +477,48 @@ def _rooted(index: DataFrame, family: DataFrame | None) -> DataFrame:
     return cut(index.join(family, "node", "left").withColumn("root", F.coalesce("root", "node")))
 
 
-def tile_links(index: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame:
-    """(u, v), written: every link between different components (``root``) of ``index``."""
-    placed, calls = _tile_rows(index, params)
-    rows = cut(placed)
+def tile_clusters(rows: DataFrame, calls: int, sets: DataFrame, params: JaccardParams) -> DataFrame:
+    """(node, cluster), written: the sets of ``rows`` in tiles (written) that signatures connect with others."""
     marks = _marks(_perhaps(sets, cut(rows.select("node").distinct())), params)
     call = F.pmod(F.xxhash64("token", "band", "i", "j"), F.lit(calls))
-    pairs = cut(
+    near = (
         rows.join(marks, ["node", "band"])
         .withColumn("call", call)
         .groupBy("call")
         .applyInPandas(lambda some: _tile_pairs(some, params.percent), "u long, v long")
-        .distinct()
     )
-    both = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    grams = cut(_perhaps(sets, both).select("node", "grams"))
+    found = components(near)
+    heads = found.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct()
+    return cut(found.select("node", F.col("root").alias("cluster")).unionByName(heads))
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            met = zip(_lists(batch.column(2)), _lists(batch.column(3)))
-            good = pa.array([links_exactly(a, b, params.percent) for a, b in met], pa.bool_())
-            yield batch.select([0, 1]).filter(good)
 
-    a = grams.select(F.col("node").alias("u"), F.col("grams").alias("a"))
-    b = grams.select(F.col("node").alias("v"), F.col("grams").alias("b"))
-    return cut(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(decide, "u long, v long"))
+def tile_links(index: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame:
+    """(u, v), written: links that join all linked components (``root``) of ``index``."""
+    placed, calls = _tile_rows(index, params)
+    rows = cut(placed)
+    clusters = tile_clusters(rows, calls, sets, params)
+    members = cut(clusters.join(rows.select("node", "n", "root").distinct(), "node"))
+    blocks = lambda w, c: F.ceil(F.greatest(w / BLOCK_SHINGLES, c / BLOCK_SETS, F.lit(1))).cast("int")
+    size = F.struct("c", "root")
+    groups = (
+        members.groupBy("cluster", "root")
+        .agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+        .groupBy("cluster")
+        .agg(
+            F.max_by("root", size).alias("main"),
+            blocks(F.sum("w"), F.sum("c")).alias("ka"),
+            blocks(F.sum("w") - F.max_by("w", size), F.sum("c") - F.max("c")).alias("ko"),
+        )
+    )
+    met = cut(_in_blocks(members.join(groups, "cluster"), ["cluster", "node", "n", "root"]))
+    calls = max(1, -(-int(met.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))
+    grams = _perhaps(sets, members.select("node")).select("node", "grams")
+    return cut(
+        met.drop("n")
+        .join(grams, "node")
+        .groupBy(F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(calls)).alias("call"))
+        .applyInPandas(lambda some: _linked_clusters(some, params.percent), "u long, v long")
+    )
 
 
 def jaccard_classes(

@@ -135,6 +135,31 @@ def test_a_family_does_not_meet_itself_pair_by_pair(spark, docs):
         assert more <= 2.5 * few and large <= 2.5 * max(small, few)
 
 
+def test_a_tile_names_no_more_rows_than_sets():
+    """Also in a family too small to be a crowd, whose pairs are all within the bound."""
+    rng = np.random.default_rng(2)
+    for g in (8, 16, 32):
+        base = rng.integers(0, 2**63, 200, dtype=np.uint64)
+        sets = [np.unique(np.append(base, rng.integers(0, 2**63, 5, dtype=np.uint64))) for _ in range(g)]
+        marks = [bytes(m) for m in J.signatures(sets, 1024)]
+        tile = {"token": 1, "band": 2, "i": 0, "j": 0, "node": range(g), "n": 205, "root": range(g)}
+        made = J._tile_pairs(J.pd.DataFrame({**tile, "own": True, "role": 3, "mark": marks}), 80)
+        assert len(made) == g - 1 and set(made["u"]) | set(made["v"]) == set(range(g))
+
+
+@pytest.mark.parametrize("families", [True, False])
+def test_clusters_in_many_blocks(docs, monkeypatch, families):
+    """Clusters cut into blocks, with components on both sides or none, give the same classes."""
+    monkeypatch.setattr(J, "BLOCK_SETS", 5)
+    if not families:
+        monkeypatch.setattr(J, "family_roots", lambda *a: None)
+    rng = random.Random(9)
+    base, rows = rng.choices(WORDS, k=150), corpus(rng, 30)
+    for k in range(24):  # some of these link, many only nearly
+        rows.append((2000 + k, " ".join(edited(rng, base, 2 + k % 4))))
+    assert rows_of(J.jaccard_classes(docs(rows), J.JaccardParams(crowd=6))) == brute(rows)
+
+
 def test_query_against_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = QUERIES["op13_jaccard_join"](spark, sf)
