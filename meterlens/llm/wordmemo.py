@@ -3,7 +3,8 @@
 For encoders that lower-case, drop white space and cut a text into runs of letters, single digits and runs of marks
 before any merging: such a text's ids are those of its pieces, one after the other. Texts of Latin-1 letters and ASCII
 are cut here, with the encoder's own pattern over single bytes, and each distinct piece is encoded by the library once
-and remembered. All other texts, and those with the strings of special tokens, go to the library whole.
+and remembered. Runs of letters are in the normalizer's form already, so they go, in the characters of the encoder's byte
+table, to the library's model alone, without the steps before it. All other texts, and those with the strings of special tokens, go to the library whole.
 
 A memo has a bounded number of entries; when it is full it becomes the older memo, whose entries are taken over as they
 are met, and the one before is dropped.
@@ -35,8 +36,13 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         self.library = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.library.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self.vocab_size = self.library.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         known = json.loads(self.library.to_str())
@@ -46,6 +52,7 @@ class WordEncoder:
             bool(suffix)
             and (known.get("normalizer") or {}).get("normalizers") == NORMAL
             and steps[0].get("pattern") == {"Regex": PATTERN}
+            and [step["type"] for step in steps[1:]] == ["ByteLevel"]
         )
         self.word_end = np.zeros(self.vocab_size, dtype=bool)
         if self.by_piece:
@@ -71,7 +78,8 @@ class WordEncoder:
                 memo[piece] = self._whole(piece.decode("latin-1")).tobytes()
         for at in range(0, len(runs), 2000):
             some = runs[at : at + 2000]
-            ids = self._whole(b" ".join(some).decode("latin-1"))
+            text = b" ".join(some).decode("latin-1").translate(self.table)
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.word_end[ids]) + 1
             if len(ends) == len(some) and ends[-1] == len(ids):
                 raw, a = ids.tobytes(), 0

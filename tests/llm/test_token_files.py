@@ -27,6 +27,16 @@ def test_words_give_the_ids_of_the_whole_text():
             assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+def test_new_words_need_the_model_alone(monkeypatch):
+    """Runs of ASCII and Latin-1 letters, each letter at every place of a word, without the steps before the merges."""
+    letters = [chr(c) for c in range(256) if chr(c).isalpha() and chr(c) not in "ªµº"]
+    text = " ".join(a + b + c for a, b, c in zip(letters, letters[7:] + letters[:7], letters[20:] + letters[:20]))
+    ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    mine = wordmemo.WordEncoder(PATH)
+    monkeypatch.setattr(mine, "_whole", lambda text: pytest.fail("a run of letters went through all steps"))
+    assert mine.encode_batch([text])[0].tolist() == ids
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(wordmemo, "MEMO_PIECES", 10)
     mine, lib = wordmemo.WordEncoder(PATH), Tokenizer.from_file(PATH)
