@@ -4,15 +4,16 @@ A passage counts when 50 consecutive words (a window) also start in a document w
 the corpus itself, so it cannot be broadcast whole; it is cut into shards that meet just the text they can match:
 
 1. *Anchors.* Of the 8-word shingles of a window the one with the least hash is its anchor. Equal windows have equal
-   anchors, so a window can only be repeated in documents that share its anchor. All windows of an anchor lie in its
-   *context*, at most 42 words to either side. Consecutive windows mostly share one, so a text has about one anchor in
-   22 words. Each is written down with a hash of its context; the words stay where they are. A context that a text
-   repeats is one row with all its places.
+   anchors, so a window can only be repeated in documents that share its anchor. Consecutive windows mostly share one,
+   so a text has about one anchor in 22 words. The windows that chose an anchor are its *context*. Each is written
+   down with a hash of its words; the words stay where they are. A context that a text repeats is one row with all its
+   places.
 2. *Sharing.* Anchors of one document alone, nearly all, are dropped by a map-side aggregation. Of equal contexts the
    first document keeps its own and all later ones are repeated whole, decided by a hash join.
 3. *Automata.* Where an anchor has different contexts (the ends of passages, edited copies), these are gathered in
    reference shards of bounded size. A shard's task reads its contexts by ascending doc_id, streams each through the
-   suffix automaton of those before it, takes the maximal spans matched over 50 words or more, and then adds it.
+   suffix automaton of those before it, takes the maximal spans matched over 50 words or more, and then adds it. Of a
+   context only the runs take part whose shingles all stand in another document's context of that anchor.
    An anchor with more than ``CROWD`` contexts would fill a shard: its windows are compared by their hashes in an
    aggregation instead, which spreads any number of them.
 4. *Removal.* The spans go back to their documents. Only documents with spans are shuffled with their texts; a
@@ -26,12 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from meterlens.llm import bitfilter
 from meterlens.llm.automaton import SuffixAutomaton, spans_above
 from meterlens.llm.tables import small_batches
+from meterlens.llm.wordhash import joined, mixed, parts, ranges
 from meterlens.session import cut
 
 WINDOW = 50
@@ -65,18 +66,6 @@ def _powers(base: int, size: int) -> np.ndarray:
     return np.cumprod(factors, dtype=np.uint64)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(w) for w in (text or "").encode().split()], dtype=np.uint64)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    h = h ^ (h >> np.uint64(32))
-    return h * np.uint64(0xD6E8FEB86659FD93)
-
-
 class Rolling:
     """Hashes of runs of a document's words."""
 
@@ -86,16 +75,21 @@ class Rolling:
 
     def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of words[start:end] for arrays of bounds."""
-        return _mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def anchors(words: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of the shingle with the least hash, the leftmost of equals, of each window."""
-    n, inside = len(words), WINDOW - SHINGLE + 1
-    found_h, found_p = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-    for at in range(0, max(0, n - WINDOW + 1), PIECE):
-        stop = min(n, at + PIECE + WINDOW - 1)
-        where = np.arange(at, stop - SHINGLE + 1)
+def anchor_runs(rolling: Rolling, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, lo, hi) of anchors: the windows that start at lo to hi have theirs at ``position``.
+
+    The anchor is the shingle with the least hash, the leftmost of equals. ``windows`` are ascending starts.
+    """
+    inside = WINDOW - SHINGLE + 1
+    picks = [np.zeros(0, dtype=np.int64)]
+    for at in range(0, len(rolling.sums), PIECE):
+        some = windows[slice(*np.searchsorted(windows, (at, at + PIECE)))]
+        if not len(some):
+            continue
+        where = np.arange(some[0], some[-1] + inside)
         h = rolling.runs(where, where + SHINGLE)
         # The low bits hold the position, so that the least of equal hashes is the leftmost.
         least = (h >> np.uint64(21) << np.uint64(21)) | np.arange(len(h), dtype=np.uint64)
@@ -105,12 +99,17 @@ def anchors(words: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray
             width *= 2
         if width < inside:
             least = np.minimum(least[: width - inside], least[inside - width :])
-        picked = least[np.concatenate(([True], least[1:] != least[:-1]))]
-        p = (picked & np.uint64((1 << 21) - 1)).astype(np.int64)
-        found_h.append(h[p])
-        found_p.append(p + at)
-    position, first = np.unique(np.concatenate(found_p), return_index=True)
-    return np.concatenate(found_h)[first], position
+        picks.append((least[some - some[0]] & np.uint64((1 << 21) - 1)).astype(np.int64) + some[0])
+    pick = np.concatenate(picks)
+    first = np.flatnonzero(np.diff(pick, prepend=-1))
+    last = np.append(first[1:], len(pick))[: len(first)] - 1
+    position = pick[first]
+    return rolling.runs(position, position + SHINGLE), position, windows[first], windows[last]
+
+
+def anchors(words: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of the anchors of all windows of a text."""
+    return anchor_runs(rolling, np.arange(max(0, len(words) - WINDOW + 1)))[:2]
 
 
 def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -122,6 +121,10 @@ def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(joined(lengths), pa.int32()), pa.array(values, pa.int32()))
+
+
 def occurrences(documents: DataFrame) -> DataFrame:
     """(anchor, ctx, id, th, size, starts): the anchors of each (id, th, text), a row for each distinct context.
 
@@ -130,34 +133,26 @@ def occurrences(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
-            ids, ths = (batch.column(k).to_numpy() for k in (0, 1))
-            made: list[list[np.ndarray]] = [[] for _ in range(5)]
-            starts: list[np.ndarray] = [np.zeros(0, dtype=np.int32)]
-            counts: list[np.ndarray] = [np.zeros(1, dtype=np.int32)]
-            for k, text in enumerate(batch.column(2)):
-                words = word_hashes(text.as_py())
-                n = len(words)
-                if n < WINDOW:
-                    continue
-                rolling = Rolling(words, powers)
-                h, p = anchors(words, rolling)
-                start, end = np.maximum(p + SHINGLE - WINDOW, 0), np.minimum(p + WINDOW, n)
-                # The place of the anchor belongs to the context.
-                ctx = _mixed(rolling.runs(start, end) + (p - start).astype(np.uint64))
-                distinct, first, of, times = np.unique(ctx, return_index=True, return_inverse=True, return_counts=True)
-                full = lambda v, m=len(distinct): np.full(m, v, dtype=np.int64)
-                for out, column in zip(made, (h[first], distinct, full(ids[k]), full(ths[k]), (end - start)[first])):
-                    out.append(column)
-                starts.append(start[np.argsort(of, kind="stable")].astype(np.int32))
-                counts.append(times.astype(np.int32))
-            kinds = [np.uint64, np.uint64, np.int64, np.int64, np.int32]
-            columns = [np.concatenate([np.zeros(0, dtype=t), *m]).astype(t) for t, m in zip(kinds, made)]
-            columns[:2] = [c.view(np.int64) for c in columns[:2]]
-            offsets = np.cumsum(np.concatenate(counts), dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(starts)))
+        for rows, words, bounds in (part for batch in batches for part in parts(batch, "text")):
+            rolling = Rolling(words, powers)
+            windows = ranges(bounds[:-1], np.maximum(np.diff(bounds) - WINDOW + 1, 0))
+            anchor, position, start, hi = anchor_runs(rolling, windows)
+            end = hi + WINDOW
+            # The place of the anchor belongs to the context.
+            ctx = mixed(rolling.runs(start, end) + (position - start).astype(np.uint64))
+            text = np.searchsorted(bounds, start, side="right") - 1
+            order = np.lexsort((ctx, text))
+            t, c = text[order], ctx[order]
+            new = np.flatnonzero((np.diff(t, prepend=-1) != 0) | (np.diff(c, prepend=c[:1]) != 0))
+            of, times = order[new], np.diff(np.append(new, len(order)))
+            ids, ths = (rows.column(k).to_numpy()[text[of]] for k in ("id", "th"))
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, columns), lists], ["anchor", "ctx", "id", "th", "size", "starts"]
+                [
+                    *map(pa.array, (anchor[of].view(np.int64), ctx[of].view(np.int64), ids, ths)),
+                    pa.array(end[of] - start[of], pa.int32()),
+                    _lists(start[order] - bounds[t], times),
+                ],
+                ["anchor", "ctx", "id", "th", "size", "starts"],
             )
 
     return documents.select("id", "th", "text").mapInArrow(
@@ -175,43 +170,101 @@ def _contexts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
         F.collect_list(F.struct("anchor", "size", "starts", "crowded")).alias("wanted")
     )
     rows = documents.select("id", "th", "text").join(per_text, ["id", "th"]).select("id", "th", "text", "wanted")
+    names = ["anchor", "id", "th", "starts", "words", "window"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        names = ["anchor", "id", "th", "starts", "words", "window"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int64()]
-        for batch in batches:
-            for i, th, text, asked in zip(*(batch.column(k) for k in range(4))):
-                words = word_hashes(text.as_py())
-                rolling = Rolling(words, powers)
-                i, th, out = i.as_py(), th.as_py(), []
-                for w in asked.as_py():
-                    starts = np.array(w["starts"], dtype=np.int32)
-                    a = int(starts[0])
-                    if not w["crowded"]:
-                        out.append((w["anchor"], i, th, starts, words[a : a + w["size"]].tobytes(), None))
-                        continue
-                    inside = np.arange(w["size"] - WINDOW + 1)
-                    hashes = rolling.runs(a + inside, a + inside + WINDOW).view(np.int64).tolist()
-                    out += [(w["anchor"], i, th, starts + k, None, h) for k, h in zip(inside.tolist(), hashes)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), kinds)], names
-                )
+        for rows, words, bounds in (part for batch in batches for part in parts(batch, "text")):
+            asked = rows.column("wanted")
+            text = np.repeat(np.arange(rows.num_rows), asked.value_lengths().to_numpy())
+            anchor, size, starts, crowded = asked.flatten().flatten()
+            anchor, size = anchor.to_numpy(), size.to_numpy().astype(np.int64)
+            crowded = crowded.to_numpy(zero_copy_only=False)
+            places, places_of = starts.flatten().to_numpy(), joined(starts.value_lengths().to_numpy())
+            at = bounds[text] + places[places_of[:-1]]
+            ids, ths = (rows.column(k).to_numpy()[text] for k in ("id", "th"))
+
+            of = np.flatnonzero(~crowded)
+            times = np.diff(places_of)[of]
+            held = words[ranges(at[of], size[of])]
+            columns = [
+                *map(pa.array, (anchor[of], ids[of], ths[of])),
+                _lists(places[ranges(places_of[of], times)], times),
+                pa.Array.from_buffers(
+                    pa.binary(), len(of), [None, *map(pa.py_buffer, ((8 * joined(size[of])).astype(np.int32), held))]
+                ),
+                pa.nulls(len(of), pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+            # A row per window of a crowded context; its places are the context's, moved by the window's.
+            of = np.flatnonzero(crowded)
+            inside = size[of] - WINDOW + 1
+            moved = ranges(np.zeros(len(of), dtype=np.int64), inside)
+            of = np.repeat(of, inside)
+            times = np.diff(places_of)[of]
+            start = at[of] + moved
+            hashes = Rolling(words, powers).runs(start, start + WINDOW).view(np.int64)
+            columns = [
+                *map(pa.array, (anchor[of], ids[of], ths[of])),
+                _lists(places[ranges(places_of[of], times)] + np.repeat(moved, times), times),
+                pa.nulls(len(of), pa.binary()),
+                pa.array(hashes),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.mapInArrow(run, "anchor long, id long, th long, starts array<int>, words binary, window long")
 
 
+def _long_runs(flags: np.ndarray) -> zip:
+    """(start, end) of the runs of words whose shingles are all flagged, where they hold a window."""
+    edges = np.flatnonzero(np.diff(flags.astype(np.int8), prepend=0, append=0))
+    start, end = edges[::2], edges[1::2] + SHINGLE - 1
+    long = end - start >= WINDOW
+    return zip(start[long].tolist(), end[long].tolist())
+
+
+def candidate_runs(
+    words: np.ndarray, ends: np.ndarray, ids: np.ndarray, anchor: np.ndarray
+) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Runs of words that may hold windows of smaller ids, and runs that larger ids may ask for.
+
+    The contexts end at ``ends`` and come by ascending id. A window that stands in two contexts of an anchor has all its
+    shingles there, so the runs hold it whole in both.
+    """
+    where = ranges(np.append(0, ends[:-1]), np.diff(ends, prepend=0) - SHINGLE + 1)
+    of = np.searchsorted(ends, where, side="right")
+    key = Rolling(words, Powers()).runs(where, where + SHINGLE) ^ mixed(anchor[of].astype(np.int64).view(np.uint64))
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    times = np.diff(np.append(first, len(order)))
+    by_id = ids[of]
+    earlier, later = np.zeros(len(words), dtype=bool), np.zeros(len(words), dtype=bool)
+    earlier[where[order]] = np.repeat(by_id[order[first]], times) < by_id[order]
+    later[where[order]] = np.repeat(by_id[order[first + times - 1]], times) > by_id[order]
+    return list(_long_runs(earlier)), list(_long_runs(later))
+
+
 def _match_shard(shard: pd.DataFrame) -> pd.DataFrame:
     """Spans of each context that stand in contexts of smaller ids of the same shard."""
+    shard = shard.sort_values("id", kind="stable")
+    ids, ths, starts = shard.id.to_numpy(), shard.th.to_numpy(), shard.starts.to_numpy()
+    ends = np.cumsum(shard.words.str.len().to_numpy(dtype=np.int64) // 8)
+    words = np.frombuffer(b"".join(shard.words), dtype=np.uint64)
+    asked, kept = candidate_runs(words, ends, ids, shard.anchor.to_numpy())
+    # By id, a document's own runs are asked for before they are added.
+    runs = [(k, a, b) for k, some in enumerate((asked, kept)) for a, b in some]
+    of = np.searchsorted(ends, np.array([a for _, a, _ in runs], dtype=np.int64), side="right")
     automaton, found = SuffixAutomaton(), []
-    for _, same in shard.groupby("id", sort=True):
-        new = [np.frombuffer(w, dtype=np.uint64).tolist() for w in same.words]
-        for th, starts, words in zip(same.th, same.starts, new):
-            for a, b in spans_above(automaton.matches(words), WINDOW):
-                found += [(same.id.iloc[0], th, start + a, start + b) for start in starts]
-        for words in {tuple(w) for w in new}:
-            if automaton.matches(words)[-1] < len(words):
-                automaton.add(words)
+    for _, k, a, b, c in sorted((ids[c], k, a, b, c) for (k, a, b), c in zip(runs, of.tolist())):
+        run = words[a:b].tolist()
+        matches = automaton.matches(run)
+        if k:
+            if matches[-1] < len(run):
+                automaton.add(run)
+            continue
+        a -= int(ends[c - 1]) if c else 0
+        found += [(ids[c], ths[c], p + a + s, p + a + e) for s, e in spans_above(matches, WINDOW) for p in starts[c]]
     return pd.DataFrame(found, columns=["id", "th", "start", "end"]).astype(
         {"id": "int64", "th": "int64", "start": "int32", "end": "int32"}
     )
@@ -251,7 +304,7 @@ def repeated_spans(
     again = classes.where("first_id < last_id").select("anchor", "ctx", "first_id")
     whole = (
         busy.join(again, ["anchor", "ctx"])
-        .where((F.col("id") > F.col("first_id")) & (F.col("size") >= WINDOW))
+        .where(F.col("id") > F.col("first_id"))
         .select("id", "th", F.explode("starts").alias("start"), "size")
         .select("id", "th", "start", (F.col("start") + F.col("size")).cast("int").alias("end"))
     )
@@ -306,16 +359,16 @@ def _with_spans(
     )
 
 
-def kept_words(text: str, spans: list[dict] | None) -> tuple[list[bytes], int]:
-    """The words outside the spans, and the number of all words."""
-    words = text.encode().split()
-    if not spans:
+def kept_words(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], int]:
+    """The words outside the spans, which ascend by start, and the number of all words."""
+    words = text.split()
+    if not len(start):
         return words, len(words)
-    out, at = [], 0
-    for span in spans:
-        out += words[at : max(at, span["start"])]
-        at = max(at, span["end"])
-    return out + words[at:], len(words)
+    # Spans that meet are one.
+    reach = np.maximum.accumulate(end)
+    apart = np.flatnonzero(start[1:] > reach[:-1])
+    gaps = zip([0, *reach[apart].tolist(), int(reach[-1])], [int(start[0]), *start[apart + 1].tolist(), len(words)])
+    return [w for a, b in gaps for w in words[a:b]], len(words)
 
 
 def remove_repeats(
@@ -334,12 +387,19 @@ def remove_repeats(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [kept_words(t.as_py(), s.as_py()) for t, s in zip(batch.column(1), batch.column(2))]
-            texts = pa.array([b" ".join(k) for k, _ in rows], pa.binary()).cast(pa.string())
-            n = np.array([n for _, n in rows], dtype=np.int64)
-            kept = np.array([len(k) for k, _ in rows], dtype=np.int64)
+            spans = batch.column("spans")
+            at = joined(spans.value_lengths().fill_null(0).to_numpy())
+            start, end = (c.to_numpy() for c in spans.flatten().flatten())
+            texts, n, kept = [], [], []
+            for text, a, b in zip(batch.column("text").cast(pa.large_binary()), at, at[1:]):
+                words, count = kept_words(text.as_py(), start[a:b], end[a:b])
+                texts.append(b" ".join(words))
+                n.append(count)
+                kept.append(len(words))
+            n, kept = np.array(n, dtype=np.int64), np.array(kept, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), texts, pa.array(n), pa.array(n - kept)], ["doc_id", "text", "n_words", "n_removed"]
+                [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n), pa.array(n - kept)],
+                ["doc_id", "text", "n_words", "n_removed"],
             )
 
     rows = _with_spans(documents, id_col, text_col, crowd, shard, max_filter_bytes)

@@ -2,9 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from meterlens.llm import substring_dedup as S
+from meterlens.llm import substring_dedup as S, wordhash
 from meterlens.llm.automaton import SuffixAutomaton, spans_above
 from meterlens.llm.catalog import QUERIES
 
@@ -67,6 +68,66 @@ def test_every_window_has_its_anchor_among_the_texts(monkeypatch):
         assert (n >= 50) == (len(p) > 0)
 
 
+def test_a_window_is_in_one_context_of_its_text(docs):
+    """Contexts hold the windows of their anchor alone, so no window is compared twice."""
+    rng = random.Random(14)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for n in (0, 49, 50, 51, 130, 700)]
+    texts += ["la " * 300, "do re mi " * 90]
+    held = dict.fromkeys(range(len(texts)), 0)
+    for r in S.occurrences(S._keyed(docs(list(enumerate(texts))), "doc_id", "text")).collect():
+        held[r.id] += (r["size"] - 49) * len(r.starts)
+    assert held == {i: max(0, len(t.split()) - 49) for i, t in enumerate(texts)}
+
+
+def test_anchors_of_many_texts_at_once(monkeypatch):
+    """Texts laid end to end have the anchors that each has alone, however the words are cut into pieces."""
+    rng = random.Random(15)
+    texts = [np.array([rng.randrange(40) for _ in range(n)], dtype=np.uint64) for n in (0, 30, 50, 400, 49, 51, 90)]
+    words, at = np.concatenate(texts), wordhash.joined([len(t) for t in texts])
+    windows = wordhash.ranges(at[:-1], np.maximum(np.diff(at) - 49, 0))
+    want = []
+    for t, a in zip(texts, at.tolist()):
+        h, p = S.anchors(t, S.Rolling(t, S.Powers()))
+        want += zip(h.tolist(), (p + a).tolist())
+    for piece in (70, 1 << 20):
+        monkeypatch.setattr(S, "PIECE", piece)
+        h, p, lo, hi = S.anchor_runs(S.Rolling(words, S.Powers()), windows)
+        assert list(zip(h.tolist(), p.tolist())) == want
+        held = [windows[(windows >= a) & (windows <= b)] for a, b in zip(lo, hi)]
+        assert np.array_equal(np.concatenate(held), windows)
+
+
+@pytest.mark.parametrize("part", [1, 300, 1 << 18])
+def test_word_hashes_of_a_batch(monkeypatch, part):
+    monkeypatch.setattr(wordhash, "PART", part)
+    rng = random.Random(16)
+    letters = "ab\0é \t\n\x0b\x0c\r\x1c\x85\u3000"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(400)]
+    texts += ["", " ", "", " ".join("x" * n for n in (64, 65, 66)), *[" ".join("q" * n for n in range(1, 140))] * 2]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]).slice(5)
+    hash_of, seen = {}, []
+    for rows, hashes, bounds in wordhash.parts(batch, "text"):
+        for text, a, b in zip(rows.column(0).to_pylist(), bounds, bounds[1:]):
+            seen.append(text)
+            words = text.encode().split()
+            assert len(words) == b - a
+            assert all(hash_of.setdefault(w, h) == h for w, h in zip(words, hashes[a:b].tolist()))
+    assert seen == texts[5:] and len(set(hash_of.values())) == len(hash_of)
+
+
+def test_runs_that_meet_an_automaton():
+    """Of contexts only the runs of 50 words and more that another document's context of the anchor has."""
+    fresh = iter(range(1, 10_000))
+    new = lambda n: [next(fresh) for _ in range(n)]
+    shared, short = new(55), new(49)
+    contexts = [(1, 7, new(9) + shared), (2, 7, shared + new(4)), (2, 7, new(3) + short), (3, 7, short + new(20))]
+    contexts += [(4, 8, shared), (5, 9, new(60)), (5, 9, new(60))]
+    ids, anchor, words = zip(*contexts)
+    ends = np.cumsum([len(w) for w in words])
+    asked, kept = S.candidate_runs(np.array(sum(words, []), dtype=np.uint64), ends, np.array(ids), np.array(anchor))
+    assert asked == [(64, 119)] and kept == [(9, 64)]
+
+
 def corpus():
     rng = random.Random(13)
     vocabulary = [f"w{i}" for i in range(4000)] + ["É", "x,", "日本"]
