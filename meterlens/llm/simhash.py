@@ -81,11 +81,14 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(u, v) with u < v: links whose closure joins exactly the fingerprints reachable over at most two bits."""
     index = variants(distinct)
     shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    busy = cut(index.join(shared, "key"))
+    # Merge joins: Spark takes the index for as small as the table it was exploded from, and the written rows for as
+    # small as their files, and would broadcast either whole.
+    busy = cut(index.join(shared.hint("merge"), "key"))
     few = busy.where(F.col("n") <= crowd).select("key", "fp")
     a, b = few.withColumnRenamed("fp", "u"), few.withColumnRenamed("fp", "v")
     pairs = a.join(
-        b, (a.key == b.key) & (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
+        b.hint("merge"),
+        (a.key == b.key) & (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2),
     ).select("u", "v")
     crowded = busy.where(F.col("n") > crowd).select("fp").distinct()
     near = crowded.select(

@@ -7,6 +7,7 @@ import xxhash
 from meterlens.llm import simhash as S
 from meterlens.llm.catalog import QUERIES
 from meterlens.llm.components import components
+from meterlens.session import cut
 
 
 def brute_print(text):
@@ -93,6 +94,26 @@ def test_empty_table(docs):
     assert S.keep_one_of_each(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("job", [S.keep_one_of_each])
+def test_variants_are_not_broadcast(docs, monkeypatch, job):
+    """Spark sizes the variants like the few fingerprints they are exploded from, so it may not choose their join."""
+    plans = []
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def spied(df):
+        plans.append(plan(df))
+        return cut(df)
+
+    links = S.links
+    monkeypatch.setattr(S, "cut", spied)
+    monkeypatch.setattr(S, "links", lambda *a: plans.append(plan(made := links(*a))) or made)
+    job(docs([(i, f"text {i} of many") for i in range(50)]))
+    joined = [p for p in plans if "explode" in p and "Join" in p]
+    assert len(joined) == 2 and not any("Broadcast" in p for p in joined)
+
+
 def test_query_against_brute_force(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     prints = {r.doc_id: brute_print(r.text) for r in rows}
