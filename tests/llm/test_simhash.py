@@ -94,7 +94,7 @@ def test_empty_table(docs):
     assert S.keep_one_of_each(docs([])).count() == 0
 
 
-@pytest.mark.parametrize("job", [S.keep_one_of_each])
+@pytest.mark.parametrize("job", [S.keep_one_of_each, S.near_groups])
 def test_variants_are_not_broadcast(docs, monkeypatch, job):
     """Spark sizes the variants like the few fingerprints they are exploded from, so it may not choose their join."""
     plans = []
